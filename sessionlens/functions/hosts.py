@@ -29,7 +29,9 @@ def string_values(json_text: Column) -> Column:
     opened = F.regexp_replace(json_text, r"\\([^ntrfu])", "\u0001")
     spaced = F.regexp_replace(opened, r"\\[ntrf]", " ")
     plain = F.regexp_replace(spaced, r"\\u[0-9a-fA-F]{4}", "\u0001")
-    return F.regexp_extract_all(plain, F.lit(r'"([^"]*)"(?!:)'), F.lit(1))
+    # a key is consumed with its colon and leaves the group empty
+    found = F.regexp_extract_all(plain, F.lit(r'"[^"]*":|"([^"]*)"'), F.lit(1))
+    return F.filter(found, lambda v: v != "")
 
 
 def egress_hosts(value: Column) -> Column:

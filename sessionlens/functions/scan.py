@@ -128,11 +128,23 @@ def _scan_form(texts: pd.Series) -> pd.Series:
 # ---- columns ------------------------------------------------------------------------------
 
 
+def _hinted(text: Column, pattern: Pattern) -> Column | None:
+    found = [F.contains(text, F.lit(h)) for h in pattern.hints]
+    return reduce(lambda a, b: a | b, found) if found else None
+
+
+def _may_hit(text: Column, pattern: Pattern) -> Column:
+    """The text holds the pattern's shape; its validator is not asked."""
+    shaped = text.rlike(pattern.regex)
+    hinted = _hinted(text, pattern)
+    return shaped if hinted is None else hinted & shaped
+
+
 def _pattern_hits(text: Column, pattern: Pattern) -> Column:
     none = F.array().cast("array<string>")
     values = F.regexp_extract_all(text, F.lit(pattern.regex), F.lit(pattern.group))
-    if pattern.hints:
-        hinted = reduce(lambda a, b: a | b, [F.contains(text, F.lit(h)) for h in pattern.hints])
+    hinted = _hinted(text, pattern)
+    if hinted is not None:
         values = F.when(hinted, values).otherwise(none)
     if pattern.validator:
         valid = COLUMN_VALIDATORS[pattern.validator]
@@ -187,12 +199,13 @@ def scan_form(text: Column) -> Column:
 def redact(text: Column, config: ScanConfig = DEFAULT) -> Column:
     """The text with sensitive values replaced by tags; withheld when one survives.
 
-    A text without hits is returned as it is and never leaves the JVM.
+    A text without the shape of any pattern is returned as it is and never leaves the
+    JVM.  The argument of the Arrow function holds no lambda: Spark fails to match
+    repeated uses of such a function when it does.
     """
     if len(_native_patterns(config)) < len(config.patterns):
         return _exact_redaction(config)(text)
-    native = F.concat(*[_pattern_hits(text, p) for p in config.patterns])
-    affected = ~text.rlike(STABLE_TEXT) | (F.size(native) > 0)
+    affected = reduce(lambda a, b: a | b, [_may_hit(text, p) for p in config.patterns], ~text.rlike(STABLE_TEXT))
     return F.coalesce(_exact_redaction(config)(F.when(affected, text)), text)
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +15,7 @@ from ..functions.jsonvalue import field as json_field
 from ..functions.jsonvalue import schema_problems, text_at
 from ..functions.scan import hits, tag
 from ..plans.blocks import spread_join
+from ..plans.durable import written
 from .events import (
     build_events,
     calls_of,
@@ -50,14 +51,29 @@ class Sessions:
     config: ScanConfig = field(default_factory=ScanConfig)
     strict_call_kind: bool = False
 
+    lines_table: DataFrame | None = None
+    events_table: DataFrame | None = None
+
     @cached_property
     def lines(self) -> DataFrame:
-        return classify_frames(self.frames)
+        return self.lines_table if self.lines_table is not None else classify_frames(self.frames)
 
     @cached_property
     def events(self) -> DataFrame:
+        if self.events_table is not None:
+            return self.events_table
         return build_events(self.lines, self.strict_call_kind)
 
+    def stored(self) -> Sessions:
+        """The same sessions with lines and events written once to the shared folder.
+
+        Parsing and pairing then happen once however many detectors follow, and
+        each detector reads only its columns.
+        """
+        lines = written(self.lines)
+        once = replace(self, lines_table=lines)
+        return replace(once, events_table=written(once.events))
+
     @cached_property
     def calls(self) -> DataFrame:
         return calls_of(self.lines)

@@ -146,4 +146,320 @@ EVENT_SQL = {
     "all_findings": f"WITH {WIRE}, {_FINDINGS} SELECT session_id, subcategory, severity, count(*) AS findings, min(seq) AS first_seq FROM f GROUP BY ALL",
 }
 
-ORACLES = {**EVENT_SQL}
+# ---- roll-ups ----------------------------------------------------------------------------
+
+_ALL = f"WITH {WIRE}, {_FINDINGS}"
+_SEVERE = "sv AS (SELECT session_id, seq, max(severity) FILTER (WHERE kind <> 'info') AS severity, bool_or(kind = 'info') AS is_info FROM f GROUP BY 1, 2)"
+_CONSOLE = """CASE WHEN role = 'raw' THEN 'raw (unparsed line)' WHEN kind = 'tool_call' THEN 'tools/call ' || tool
+    WHEN kind = 'tool_result' THEN 'result id=' || id WHEN method IS NOT NULL THEN method ELSE 'result id=' || id END"""
+_TEXT = f"substr(ts, 12, 8) || ' ' || CASE WHEN actor = 'client' THEN '→' ELSE '←' END || ' ' || {_CONSOLE}"
+
+ROLLUP_SQL = {
+    "session_verdicts": f"""{_ALL}, x AS (SELECT session_id, coalesce(max(severity), 0) AS max_severity,
+          count(*) FILTER (WHERE severity = 3) AS severity_3, count(*) FILTER (WHERE severity = 2) AS severity_2,
+          count(*) FILTER (WHERE severity = 1) AS severity_1
+        FROM (SELECT DISTINCT session_id FROM e) LEFT JOIN (SELECT * FROM f WHERE kind <> 'info') USING (session_id) GROUP BY 1)
+      SELECT *, ['CLEAN', 'WORTH A LOOK', 'SHOULD NOT HAPPEN', 'HOSTILE OR HALLUCINATED'][max_severity + 1] AS verdict,
+        ['behavior matched declaration', 'low-severity anomalies present', 'protocol contract broken',
+         'calls or requests outside any declaration'][max_severity + 1] AS verdict_text FROM x""",
+    "session_summary": f"""{_ALL}, called AS (SELECT session_id, tool, count(*) AS calls FROM e WHERE kind = 'tool_call' GROUP BY 1, 2),
+        t AS (SELECT session_id, count(d.tool) AS declared_tools, coalesce(sum(calls), 0)::BIGINT AS calls, count(called.tool) AS called_tools,
+          count(*) FILTER (WHERE called.tool IS NULL) AS unused_declared,
+          coalesce(sum(calls) FILTER (WHERE d.tool IS NULL), 0)::BIGINT AS fabricated_calls
+          FROM d FULL JOIN called USING (session_id, tool) GROUP BY 1)
+      SELECT x.session_id, frames_parsed, coalesce(declared_tools, 0) AS declared_tools, coalesce(calls, 0) AS calls,
+        coalesce(called_tools, 0) AS called_tools, coalesce(unused_declared, 0) AS unused_declared,
+        coalesce(fabricated_calls, 0) AS fabricated_calls, coalesce(v.n, 0) AS context_violations
+      FROM (SELECT session_id, count(*) FILTER (WHERE role <> 'raw') AS frames_parsed FROM e GROUP BY 1) x
+      LEFT JOIN t USING (session_id)
+      LEFT JOIN (SELECT session_id, count(*) AS n FROM f WHERE kind <> 'info' AND subcategory <> 'fabricated_tool_call' GROUP BY 1) v USING (session_id)""",
+    "error_taxonomy": f"""WITH {WIRE} SELECT session_id, ord AS seq,
+        CASE WHEN kind = 'state_change' THEN 'protocol_error' ELSE 'tool_error' END AS error_kind,
+        CASE WHEN has_error THEN 'e' || (k % 10) ELSE '{{"content":[],"isError":true}}' END AS message
+      FROM e WHERE (has_error AND kind IN ('state_change', 'tool_result')) OR (kind = 'tool_result' AND t = 'purchase' AND k < 90 AND k % 7 = 0)""",
+    "tool_heatmap": f"""{_ALL}, {_SEVERE} SELECT e.session_id, rt AS tool, count(*) FILTER (WHERE e.kind = 'tool_call') AS calls,
+        count(*) FILTER (WHERE e.kind = 'tool_result' AND (has_error OR (t = 'purchase' AND k < 90 AND k % 7 = 0))) AS errors,
+        coalesce(max(sv.severity), 0) AS max_severity, bool_and(d.tool IS NULL) AS fabricated
+      FROM (SELECT *, CASE WHEN kind = 'tool_call' THEN tool ELSE responds_to END AS rt FROM e WHERE kind IN ('tool_call', 'tool_result')) e
+      LEFT JOIN sv ON sv.session_id = e.session_id AND sv.seq = e.ord
+      LEFT JOIN d ON d.session_id = e.session_id AND d.tool = rt GROUP BY 1, 2 HAVING count(*) FILTER (WHERE e.kind = 'tool_call') > 0""",
+    "session_counters": f"""{_ALL} SELECT session_id, frames, server_requests, gate_on, coalesce(fabricated, 0) AS fabricated, coalesce(violations, 0) AS violations
+      FROM (SELECT session_id, count(*) AS frames, count(*) FILTER (WHERE role = 'server_message') AS server_requests,
+              bool_or(gate IS NOT NULL) AS gate_on FROM e GROUP BY 1)
+      LEFT JOIN (SELECT session_id, count(*) FILTER (WHERE subcategory = 'fabricated_tool_call') AS fabricated,
+              count(*) FILTER (WHERE kind <> 'info' AND subcategory <> 'fabricated_tool_call') AS violations FROM f GROUP BY 1) USING (session_id)""",
+    "report_labels": f"""WITH {WIRE} SELECT CASE WHEN kind = 'tool_call' THEN 'tools/call · ' || tool
+        WHEN kind = 'tool_result' THEN 'tool result · ' || responds_to || CASE WHEN has_error OR (t = 'purchase' AND k < 90 AND k % 7 = 0) THEN ' · ERROR' ELSE '' END
+        WHEN role = 'raw' THEN 'unparseable wire line'
+        WHEN kind = 'message' AND responds_to IS NOT NULL THEN 'reply to ' || responds_to
+        WHEN role = 'server_message' THEN method || ' · server-initiated request'
+        WHEN role = 'client_note' THEN method || ' · notification'
+        WHEN kind = 'message' THEN coalesce(method, 'message') WHEN has_error THEN 'protocol error'
+        WHEN responds_to IS NOT NULL THEN 'response · ' || responds_to ELSE 'state change' END AS label, count(*) AS events FROM e GROUP BY 1""",
+    "timeline_view": f"""{_ALL}, {_SEVERE}, x AS (SELECT e.session_id, row_number() OVER (PARTITION BY e.session_id ORDER BY ord) - 1 AS row_index,
+          count(*) OVER (PARTITION BY e.session_id) AS n, {_TEXT} AS text, coalesce(sv.severity, 0) AS severity, coalesce(is_info, false) AS is_info
+        FROM e LEFT JOIN sv ON sv.session_id = e.session_id AND sv.seq = e.ord)
+      SELECT session_id, row_index, text, severity, is_info, greatest(0, n - 1000) AS collapsed_rows FROM x WHERE row_index >= n - 1000""",
+    "timeline_search": f"""WITH {WIRE} SELECT * FROM (SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY ord) - 1 AS row_index, {_TEXT} AS text FROM e)
+      WHERE contains(lower(text), 'tools/list')""",
+    "findings_view": f"""{_ALL}, x AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY severity DESC, seq, subcategory, explanation) AS rank,
+          count(*) OVER (PARTITION BY session_id) AS n FROM f)
+      SELECT session_id, rank, seq, severity, subcategory, greatest(0, n - 100) AS more_findings FROM x WHERE rank <= 100""",
+    "severity_floor": f"{_ALL} SELECT subcategory, CASE severity WHEN 3 THEN 'error' ELSE 'warning' END AS level, count(*) AS findings FROM f WHERE severity >= 2 GROUP BY 1, 2",
+    "gate_status": f"WITH {WIRE} SELECT session_id, count(*) AS blocked_count FROM e WHERE gate = 'blocked' GROUP BY 1",
+    "policy_verdicts": f"""WITH {WIRE}, u AS (SELECT *, CASE WHEN t = 'signup' THEN tool END AS listed, CASE WHEN t = 'signup' THEN ts END AS listed_at FROM e),
+        x AS (SELECT *, last_value(listed IGNORE NULLS) OVER b AS latest, first_value(listed IGNORE NULLS) OVER a AS nxt,
+                first_value(listed_at IGNORE NULLS) OVER a AS nxt_at FROM u
+              WINDOW b AS (PARTITION BY session_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+                     a AS (PARTITION BY session_id ORDER BY ord ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+        y AS (SELECT *, CASE WHEN latest IS NOT NULL THEN latest
+                WHEN epoch_us(nxt_at::TIMESTAMP) - epoch_us(ts::TIMESTAMP) <= 3600000000 THEN nxt END AS known FROM x WHERE kind = 'tool_call')
+      SELECT session_id, ord AS seq, tool AS tool_name, CASE WHEN known IS NULL THEN 'gate_skipped' WHEN known = tool THEN 'forward' ELSE 'blocked' END AS verdict FROM y""",
+}
+
+# ---- one log per user and day --------------------------------------------------------------
+
+_DAILY = wire(
+    "strftime(ts, '%Y%m%d') || '_s' || (user_id % 10) || '_u' || user_id", "'s' || (user_id % 10) AS server_key,"
+)
+_LOGS = "l AS (SELECT session_id, server_key, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS frames, count(*) FILTER (WHERE gate = 'blocked') AS blocked FROM e GROUP BY 1, 2)"
+_WELCOME = "z AS (SELECT session_id, CASE WHEN t = 'purchase' AND k >= 90 THEN 'srv' || (k % 3) END AS server_name, CASE WHEN t = 'purchase' AND k >= 90 THEN '1.' || (k % 2) END AS server_version, CASE WHEN t = 'purchase' AND k >= 90 THEN 'cap' || (k % 4) END AS cap FROM e WHERE t <> 'error' AND role = 'response' AND responds_to = '<initialize>' QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY ord DESC) = 1)"
+_HASH = "substr(sha256('{\"additionalProperties\":false,\"properties\":{\"n\":{\"type\":\"integer\"},\"q\":{\"type\":\"string\"}},\"required\":[\"q\"],\"type\":\"object\"}'), 1, 12)"
+_ITEMS = f"""{_DECLARED}, {_WELCOME},
+i AS (SELECT session_id, 'declared' AS kind, tool AS item FROM d
+  UNION ALL SELECT DISTINCT session_id, 'called', tool FROM e WHERE kind = 'tool_call'
+  UNION ALL SELECT DISTINCT e.session_id, 'fabricated', e.tool FROM e ANTI JOIN d USING (session_id, tool) WHERE e.kind = 'tool_call'
+  UNION ALL SELECT DISTINCT session_id, 'request', method FROM e WHERE role = 'server_message'
+  UNION ALL SELECT session_id, 'capability', cap FROM z WHERE cap IS NOT NULL)"""
+_DRIFT = f"""{_ITEMS}, {_LOGS},
+o AS (SELECT *, row_number() OVER (PARTITION BY server_key ORDER BY first_ts, session_id) AS nth FROM l LEFT JOIN z USING (session_id)),
+pl AS (SELECT o.server_key, o.nth, i.* FROM i JOIN o USING (session_id)),
+first_seen AS (SELECT *, row_number() OVER (PARTITION BY server_key, kind, item ORDER BY nth) AS rn FROM pl),
+novel AS (SELECT server_key, session_id, CASE kind WHEN 'declared' THEN 'new_declared_tool' WHEN 'fabricated' THEN 'new_fabricated_tool'
+     WHEN 'called' THEN 'new_called_tool' WHEN 'request' THEN 'new_server_request' ELSE 'new_capability' END AS kind,
+   CASE kind WHEN 'declared' THEN 2 WHEN 'fabricated' THEN 3 WHEN 'request' THEN 2 ELSE 1 END AS severity,
+   CASE kind WHEN 'declared' THEN 'server now declares ''' || item || ''' — never in its surface before'
+     WHEN 'fabricated' THEN 'tools/call ''' || item || ''' outside any declared surface, first time in this server''s history'
+     WHEN 'called' THEN '''' || item || ''' called for the first time across all sessions'
+     WHEN 'request' THEN 'server-initiated request ''' || item || ''' never seen before'
+     ELSE 'server now advertises the ''' || item || ''' capability' END AS explanation
+   FROM first_seen fs WHERE rn = 1 AND nth > 1
+    AND NOT (kind = 'called' AND EXISTS (SELECT 1 FROM pl WHERE pl.kind = 'fabricated' AND pl.session_id = fs.session_id AND pl.item = fs.item))),
+listed AS (SELECT DISTINCT server_key, session_id, nth FROM pl WHERE kind = 'declared'),
+prev AS (SELECT *, lag(session_id) OVER (PARTITION BY server_key ORDER BY nth) AS prev_session FROM listed),
+removed AS (SELECT prev.server_key, prev.session_id, 'removed_declared_tool' AS kind, 1 AS severity,
+   '''' || d.tool || ''' disappeared from the declared surface' AS explanation
+   FROM prev JOIN d ON d.session_id = prev.prev_session
+   WHERE NOT EXISTS (SELECT 1 FROM d d2 WHERE d2.session_id = prev.session_id AND d2.tool = d.tool)),
+named AS (SELECT * FROM o WHERE server_name IS NOT NULL),
+renamed AS (SELECT server_key, session_id, 'server_identity_changed' AS kind, 2 AS severity, 'serverInfo.name changed to ''' || server_name || '''' AS explanation
+   FROM (SELECT *, row_number() OVER (PARTITION BY server_key, server_name ORDER BY nth) AS rn, min(nth) OVER (PARTITION BY server_key) AS any_nth FROM named) WHERE rn = 1 AND nth > any_nth),
+upgraded AS (SELECT server_key, session_id, 'server_version_changed' AS kind, 1 AS severity, '''' || server_name || ''' version changed to ' || server_version AS explanation
+   FROM (SELECT *, row_number() OVER (PARTITION BY server_key, server_name, server_version ORDER BY nth) AS rn,
+           min(nth) OVER (PARTITION BY server_key, server_name) AS name_nth FROM named) WHERE rn = 1 AND nth > name_nth),
+g AS (SELECT * FROM novel UNION ALL SELECT * FROM removed UNION ALL SELECT * FROM renamed UNION ALL SELECT * FROM upgraded)"""
+
+DAILY_SQL = {
+    "session_metrics": f"""WITH {_DAILY} SELECT session_id, count(*) AS frames_seen, count(*) FILTER (WHERE gate = 'blocked') AS frames_blocked,
+        round((epoch_us(max(ts)::TIMESTAMP) - epoch_us(min(ts)::TIMESTAMP)) / 1e6, 3) AS session_duration_s FROM e GROUP BY 1""",
+    "session_listing": f"""WITH {_DAILY}, {_LOGS} SELECT session_id, frames,
+        (epoch_us(TIMESTAMP '2024-01-30 23:00:00') - epoch_us(last_ts::TIMESTAMP)) / 1e6 < 5 AS live FROM l""",
+    "health_of_newest": f"""WITH {_DAILY}, {_LOGS}, x AS (SELECT * FROM l ORDER BY session_id DESC LIMIT 10)
+      SELECT count(*) AS sessions, sum(frames)::BIGINT AS frames_seen, sum(blocked)::BIGINT AS frames_blocked,
+        sum(round((epoch_us(last_ts::TIMESTAMP) - epoch_us(first_ts::TIMESTAMP)) / 1e6, 3)) AS session_duration_s,
+        0 AS sessions_missing_metrics, 0 AS detector_errors, 0 AS tail_only_sessions, 'healthy' AS verdict FROM x""",
+    "retention_plan": f"""WITH {_DAILY}, {_LOGS} SELECT session_id, 'delete' AS action FROM l
+        WHERE epoch(TIMESTAMP '2024-01-31 00:00:00') - floor(epoch(last_ts::TIMESTAMP)) >= 864000""",
+    "retention_result": f"""WITH {_DAILY}, {_LOGS} SELECT count(*) AS candidates, count(*) AS deletable, 0 AS protected, count(*) > 100 AS breach FROM l
+        WHERE epoch(TIMESTAMP '2024-01-31 00:00:00') - floor(epoch(last_ts::TIMESTAMP)) >= 864000""",
+    "fingerprints": f"""WITH {_DAILY}, {_LOGS}, {_WELCOME} SELECT session_id, server_key, first_ts, last_ts, server_name, frames AS event_count
+        FROM l LEFT JOIN z USING (session_id)""",
+    "fingerprint_items": f"WITH {_DAILY}, {_ITEMS} SELECT session_id, kind, count(*) AS items FROM i GROUP BY 1, 2",
+    "schema_hashes": f"WITH {_DAILY}, {_ITEMS} SELECT session_id, tool AS item, {_HASH} AS hash FROM d",
+    "drift": f"WITH {_DAILY}, {_DRIFT} SELECT * FROM g",
+    "drift_histogram": f"""WITH {_DAILY}, {_DRIFT} SELECT server_key, l.session_id, coalesce(a, 0) AS severity_3, coalesce(b, 0) AS severity_2,
+        coalesce(c, 0) AS severity_1, coalesce(w, 0) AS worst, coalesce(w, 0) >= 2 AS alert
+      FROM l LEFT JOIN (SELECT session_id, count(*) FILTER (WHERE severity = 3) AS a, count(*) FILTER (WHERE severity = 2) AS b,
+          count(*) FILTER (WHERE severity = 1) AS c, max(severity) AS w FROM g GROUP BY 1) x ON x.session_id = l.session_id""",
+}
+
+# ---- sensitive values -----------------------------------------------------------------------
+#
+# RE2 has no look-around.  A pattern bounded by characters outside its own alphabet
+# matches whole runs of that alphabet, so runs are extracted and matched in full; for
+# private addresses every separator is doubled so that neighbours keep their own.
+
+
+def _values(text: str) -> str:
+    """SQL list of (category, severity, value) hits of a text expression.
+
+    Only the categories whose shapes occur in the tables are restated; the others
+    are covered by fixtures.
+    """
+
+    def runs(alphabet: str, category: str, severity: int, test: str) -> str:
+        return (
+            f"[{{'category': '{category}', 'severity': {severity}, 'value': v}} "
+            f"for v in regexp_extract_all({text}, '[{alphabet}]+') if {test}]"
+        )
+
+    luhn = _luhn("v")
+    parts = [
+        runs("A-Za-z0-9/+=", "aws_secret_key", 3, f"len(v) = 40 AND {_entropy('v')} > 4.0"),
+        runs("0-9", "credit_card", 3,
+             "regexp_full_match(v, '4[0-9]{12}([0-9]{3})?|5[1-5][0-9]{14}|3[47][0-9]{13}|6(011|5[0-9]{2})[0-9]{12}') AND " + luhn),
+        runs("A-Z0-9", "iban", 3, f"regexp_full_match(v, '[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}') AND {_IBAN}"),
+        f"[{{'category': 'email_address', 'severity': 1, 'value': v}} for v in regexp_extract_all({text}, '[A-Za-z0-9._%+-]{{1,64}}@[A-Za-z0-9.-]{{1,255}}\\.[A-Za-z]{{2,}}')]",
+        f"[{{'category': 'private_ip', 'severity': 1, 'value': v}} for v in regexp_extract_all(' ' || regexp_replace({text}, '([^0-9.])', '\\1\\1', 'g') || ' ', "
+        "'[^0-9](10\\.[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}|172\\.(?:1[6-9]|2[0-9]|3[01])\\.[0-9]{1,3}\\.[0-9]{1,3}|192\\.168\\.[0-9]{1,3}\\.[0-9]{1,3})[^0-9]', 1)]",
+    ]
+    joined = " || ".join(parts)
+    return f"list_distinct({joined})"
+
+
+def _luhn(value: str) -> str:
+    return (
+        f"list_sum([CASE WHEN (len({value}) - i) % 2 = 0 THEN substr({value}, i, 1)::INT "
+        f"ELSE (substr({value}, i, 1)::INT * 2) // 10 + (substr({value}, i, 1)::INT * 2) % 10 END "
+        f"for i in range(1, len({value}) + 1)]) % 10 = 0"
+    )
+
+
+_IBAN = (
+    "list_reduce([0] || [CASE WHEN ascii(c) >= 65 THEN ascii(c) - 55 ELSE ascii(c) - 48 END "
+    "for c in string_split(substr(v, 5) || substr(v, 1, 4), '')], "
+    "lambda a, d: CASE WHEN d >= 10 THEN (a * 100 + d) % 97 ELSE (a * 10 + d) % 97 END) = 1"
+)
+
+
+def _entropy(value: str) -> str:
+    """Bits per character: the sum over distinct characters of -p log2 p."""
+    share = f"(len({value}) - len(replace({value}, c, ''))) / len({value})::DOUBLE"
+    return f"list_sum([-({share}) * log2({share}) for c in list_distinct(string_split({value}, ''))])"
+
+
+def _tagged(text: str, hits: str) -> str:
+    """The text with every hit value replaced by its tag, longest value first."""
+    ordered = f"list_sort([{{'n': -len(h.value), 'v': h.value, 'c': h.category}} for h in {hits}])"
+    return (
+        f"list_reduce([{{'n': 0, 'v': {text}, 'c': ''}}] || {ordered}, "
+        "lambda a, h: {'n': 0, 'v': replace(a.v, h.v, '[' || h.c || ' redacted · ' || len(h.v) || ' chars]'), 'c': ''}).v"
+    )
+
+
+_HITS = f"h AS (SELECT doc_id, lang, source, text, unnest({_values('text')}) AS hit FROM documents)"
+_DESCRIPTIONS = """CASE hit.category WHEN 'aws_secret_key' THEN 'AWS secret access key (entropy)' WHEN 'credit_card' THEN 'credit card number (Luhn)'
+    WHEN 'iban' THEN 'International Bank Account Number (IBAN, MOD-97)' WHEN 'email_address' THEN 'email address' ELSE 'private IP address (RFC 1918)' END"""
+_SHOWN = f"x AS (SELECT doc_id, text, {_values('text')} AS hits FROM documents), y AS (SELECT doc_id, text, {_tagged('text', 'hits')} AS shown FROM x)"
+
+TEXT_SQL = {
+    "document_hits": f"WITH {_HITS} SELECT doc_id, hit.category AS category, hit.severity AS severity, hit.value AS value FROM h",
+    "page_hits": f"WITH h AS (SELECT page_id, unnest({_values('html')}) AS hit FROM pages) SELECT page_id, hit.category AS category, count(*) AS values FROM h GROUP BY 1, 2",
+    "argument_leaks": f"""WITH j AS (SELECT doc_id, lang, source, CAST(to_json(text) AS VARCHAR) AS text FROM documents),
+        h AS (SELECT doc_id, lang, source, unnest({_values('text')}) AS hit FROM j)
+      SELECT source AS session_id, doc_id AS seq, 'pii_' || hit.category AS subcategory, hit.severity AS severity,
+        'tools/call ''read_' || lang || ''' argument contains ' || {_DESCRIPTIONS} || ': [' || hit.category || ' redacted · ' || len(hit.value) || ' chars]' AS explanation FROM h""",
+    "result_leaks": f"""WITH j AS (SELECT doc_id, source, CAST(to_json(text) AS VARCHAR) AS text FROM documents),
+        h AS (SELECT doc_id, source, unnest({_values('text')}) AS hit FROM j)
+      SELECT source AS session_id, doc_id * 2 + 1 AS seq, 'pii_in_result_' || hit.category AS subcategory, 3 AS severity,
+        'tool result leaks ' || {_DESCRIPTIONS} AS explanation FROM h WHERE hit.severity = 3""",
+    "redacted_documents": f"WITH {_SHOWN} SELECT doc_id, len(shown) AS chars, shown <> text AS changed, md5(shown) AS digest FROM y",
+    "displayed_documents": f"""WITH {_SHOWN}, z AS (SELECT doc_id, CASE WHEN len(shown) > 50000
+          THEN substr(shown, 1, 50000) || '… [' || (len(shown) - 50000) || ' chars truncated]' ELSE shown END AS shown FROM y)
+      SELECT doc_id, len(shown) AS chars, md5(shown) AS digest FROM z""",
+    "secret_documents": f"""WITH x AS (SELECT source, {_values('text')} AS hits FROM documents)
+      SELECT source, count(*) FILTER (WHERE len([h for h in hits if h.severity >= 3]) > 0) AS documents FROM x GROUP BY 1""",
+    "card_numbers": f"""WITH r AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+')) AS digits FROM documents)
+      SELECT doc_id, digits, {_luhn('digits')} AS valid FROM r WHERE len(digits) >= 13""",
+    "token_entropy": f"""WITH r AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9/+=]{{30,}}')) AS token FROM documents),
+        b AS (SELECT doc_id, token, {_entropy('token')} AS raw FROM r)
+      SELECT doc_id, token, round(raw, 6) AS bits, raw > CASE WHEN regexp_full_match(token, '[0-9a-fA-F]+') THEN 3.0
+          WHEN regexp_matches(token, '[+/=]') THEN 4.5 ELSE 3.7 END AS random FROM b""",
+    "inline_values": f"""WITH w AS (SELECT doc_id, unnest(list_distinct(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'))) AS word FROM documents),
+        c AS (SELECT doc_id, word, regexp_full_match(word, '[\\pL\\pM\\p{{Nd}}\\pN_.\\-/:@]+') AS shaped,
+                CASE WHEN len(word) > 64 THEN substr(word, 1, 63) || '…' ELSE word END AS short FROM w),
+        g AS (SELECT doc_id, word, short, shaped, len([h for h in {_values('short')} if h.severity >= 3]) > 0 AS secret FROM c)
+      SELECT doc_id, count(*) FILTER (WHERE shaped AND NOT secret) AS quoted, count(*) FILTER (WHERE NOT shaped OR secret) AS redacted,
+        (sum(len('[word redacted · ' || CASE WHEN shaped THEN len(short) ELSE len(word) END || ' chars]')) FILTER (WHERE NOT shaped OR secret))::BIGINT AS redacted_chars
+      FROM g GROUP BY 1""",
+}
+
+# ---- hosts -------------------------------------------------------------------------------------
+
+_HOST = "lower(regexp_extract(url, '(?i)https?://([A-Za-z0-9.\\-]+)', 1))"
+_PAGES = f"g AS (SELECT page_id, url, regexp_extract(url, '/([a-z]{{2}})/', 1) AS session_id, {_HOST} AS host FROM pages), q AS (SELECT DISTINCT session_id, host FROM g WHERE contains(url, '?'))"
+
+HOST_SQL = {
+    "egress_findings": f"""WITH {_PAGES} SELECT session_id, page_id * 2 AS seq, 2 AS severity, 'tools/call ''fetch'' reaches ' || host || ' (undeclared)' AS explanation
+        FROM g ANTI JOIN q USING (session_id, host)""",
+    "declared_hosts": f"WITH {_PAGES} SELECT session_id, host FROM q",
+    "fingerprint_hosts": "SELECT lower(regexp_extract(url, '(?i)https?://([^/]+)', 1)) AS host, count(*) AS pages FROM pages GROUP BY 1",
+    "trusted_hosts": "SELECT page_id, regexp_extract(url, 'https?://([^/]+)', 1) AS host, regexp_matches(url, 'https?://[^/]+\\.example\\.net(/|$)') AS trusted FROM pages",
+    "unparsed_lines": """SELECT 'c' || conv_id AS session_id, turn AS seq, CASE WHEN role = 'user' THEN 'client' ELSE 'server' END AS actor, 'message' AS kind,
+        'text' AS part_kind, true AS unparsed, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS parent_seq, 't' || turn AS clock, len(text) AS chars FROM conversations""",
+}
+
+# ---- source trees and dependencies ----------------------------------------------------------------
+
+_SECRET = "(?i)\\b(?:api[_-]?key|apikey|secret|token|password|passwd)\\s*[=:]\\s*[\"\'\']([A-Za-z0-9_\\-]{16,})[\"\'\']"
+_AUDIT = f"""fl AS (SELECT source AS repo, 'd' || doc_id || '.js' AS path, text, regexp_extract_all(text, '{_SECRET}') AS found, regexp_extract_all(text, '{_SECRET}', 1) AS secret FROM documents),
+af AS (SELECT repo, path, 'secret-hardcoded' AS rule, 'critical' AS severity,
+    len(substr(text, 1, instr(text, found[1]) - 1)) - len(replace(substr(text, 1, instr(text, found[1]) - 1), chr(10), '')) + 1 AS line,
+    'possible hardcoded API key/secret: ''' || substr(secret[1], 1, 4) || '…(redacted)''' AS detail, len(found) AS count FROM fl WHERE len(found) > 0
+  UNION ALL SELECT DISTINCT repo, '.', 'no-license', 'info', 0, 'no LICENSE/COPYING file found', 1 FROM fl),
+sc AS (SELECT repo, CASE WHEN bool_or(rule = 'secret-hardcoded') THEN 75 ELSE 100 END AS score FROM af GROUP BY 1)"""
+_DEPS = """dp AS (SELECT DISTINCT 's' || l_suppkey AS repo, l_partkey AS part, CASE WHEN l_partkey % 2 = 0 THEN 'npm' ELSE 'pypi' END AS ecosystem,
+    CASE WHEN l_partkey % 2 = 0 THEN 'package.json' ELSE 'requirements.txt' END AS manifest FROM lineitem),
+rg AS (SELECT p_partkey AS part, p_size, CASE WHEN p_size % 10 = 0 THEN 'not_found' WHEN p_size % 10 = 1 THEN 'error' ELSE 'ok' END AS status FROM part),
+jn AS (SELECT * FROM dp LEFT JOIN rg USING (part))"""
+
+TREE_SQL = {
+    "audit_findings": f"WITH {_AUDIT} SELECT * FROM af",
+    "audit_deductions": f"WITH {_AUDIT} SELECT repo, rule, severity, 25 AS points, sum(count)::BIGINT AS hits FROM af WHERE severity = 'critical' GROUP BY 1, 2, 3",
+    "audit_scores": f"WITH {_AUDIT} SELECT repo, score, CASE WHEN score >= 90 THEN 'A' ELSE 'C' END AS grade FROM sc",
+    "audit_profiles": "SELECT source AS repo, 'node' AS runtime, count(*) AS files_scanned, 0 AS depth_ast, count(*) AS depth_pattern, 0 AS dependency_count FROM documents GROUP BY 1",
+    "rule_prevalence": f"""WITH {_AUDIT} SELECT rule, count(DISTINCT repo) AS servers, round(100.0 * count(DISTINCT repo) / (SELECT count(DISTINCT repo) FROM fl), 1) AS pct FROM af GROUP BY 1""",
+    "survey_scores": f"WITH {_AUDIT} SELECT count(*) AS servers_audited, list_sort(list(score))[count(*) // 2 + 1] AS median_score FROM sc",
+    "audit_sarif": f"""WITH {_AUDIT} SELECT repo AS document, section, lines, CASE WHEN section IN (1, 3) THEN lines - 1 ELSE CASE WHEN section = 4 THEN 0 ELSE 0 END END AS commas FROM (
+        SELECT repo, section, CASE section WHEN 1 THEN count(DISTINCT rule) WHEN 3 THEN count(*) ELSE 1 END AS lines FROM af, (SELECT unnest([0, 1, 2, 3, 4]) AS section) GROUP BY 1, 2)""",
+    "audit_advisory": f"""WITH {_AUDIT} SELECT repo AS document, CASE severity WHEN 'critical' THEN 3 ELSE 1 END AS severity,
+        '- **[`' || severity || '`] `' || rule || '`** — `base/' || path || ':' || line || '`: flagged by this rule. Open the file to inspect.' AS text FROM af""",
+    "provenance_findings": f"""WITH {_DEPS}, al AS (
+        SELECT repo, ecosystem, manifest, 'prov-not-in-registry' AS rule, 'high' AS severity, 'declared dependency not found in the ' || ecosystem || ' registry (possible typosquat or private-name confusion)' AS detail FROM jn WHERE status = 'not_found'
+        UNION ALL SELECT repo, ecosystem, manifest, 'prov-deprecated', 'medium', 'the latest release is marked ' || CASE ecosystem WHEN 'pypi' THEN 'yanked' ELSE 'deprecated' END || ' by the registry' FROM jn WHERE status = 'ok' AND p_size % 7 = 0
+        UNION ALL SELECT repo, ecosystem, manifest, 'prov-stale', 'low', 'newest release is ' || (p_size * 30) || ' days old (> 730); the package may be unmaintained' FROM jn WHERE status = 'ok' AND p_size * 30 > 730
+        UNION ALL SELECT repo, ecosystem, manifest, 'prov-single-maintainer', 'note', 'the package has a single maintainer (bus-factor 1)' FROM jn WHERE status = 'ok' AND ecosystem = 'npm' AND p_size % 4 = 0
+        UNION ALL SELECT repo, ecosystem, manifest, 'prov-unsigned', 'note', 'no build provenance / signature attestation on the latest release' FROM jn WHERE status = 'ok' AND p_size % 3 <> 0
+        UNION ALL SELECT repo, '', '', 'prov-unavailable', 'note', count(*) || ' dependenc' || CASE WHEN count(*) = 1 THEN 'y' ELSE 'ies' END || ' could not be checked (registry unreachable and no cache); provenance is incomplete' FROM jn WHERE status IS NULL GROUP BY repo)
+      SELECT repo, ecosystem, manifest, rule, severity, detail, count(*) AS packages FROM al GROUP BY ALL""",
+    "provenance_notes": f"""WITH {_DEPS} SELECT repo, 'note' AS severity, count(*) || ' dependenc' || CASE WHEN count(*) = 1 THEN 'y' ELSE 'ies' END
+        || ' could not be checked (registry unreachable and no cache); provenance is incomplete' AS detail FROM jn WHERE status IS NULL OR status = 'error' GROUP BY repo""",
+    "registry_facts": f"""WITH {_DEPS} SELECT 'p' || part AS name, status, p_size % 7 = 0 AS deprecated, strftime(DATE '2026-07-05' - (p_size * 30)::INTEGER, '%Y-%m-%d') AS newest,
+        CASE WHEN part % 2 = 1 THEN NULL WHEN p_size % 4 = 0 THEN 1 ELSE 2 END AS maintainers, p_size % 3 = 0 AS signed FROM rg""",
+}
+
+# ---- reports of sessions ---------------------------------------------------------------------------
+
+REPORT_SQL = {
+    "session_sarif": f"""{_ALL}, num AS (SELECT session_id, ord AS seq, row_number() OVER (PARTITION BY session_id ORDER BY ord) AS line FROM e)
+      SELECT DISTINCT f.session_id, subcategory || ':' || f.seq AS print, CASE severity WHEN 3 THEN 'error' WHEN 2 THEN 'warning' ELSE 'note' END AS level, line
+      FROM f JOIN num USING (session_id, seq) WHERE kind <> 'info' AND subcategory <> 'fabricated_tool_call'""",
+    "runtime_advisory": f"""{_ALL} SELECT session_id AS document, seq AS ord, severity, '- **[' || CASE severity WHEN 3 THEN 'critical' ELSE 'warning' END || ']' ||
+        CASE subcategory WHEN 'premature_call' THEN ' Premature call** — a tools/call arrived before notifications/initialized.'
+          WHEN 'surface_change' THEN ' Surface change** — the tool list changed mid-session; delta: `' || replace(regexp_extract(explanation, '\\[''(.*)''\\]', 1), ''', ''', '`, `') || '`.'
+          ELSE '** flagged by `' || subcategory || '` at severity ' || severity || '.' END AS text FROM f WHERE severity >= 2""",
+    "session_report": f"""{_ALL} SELECT e.session_id, row_number() OVER (PARTITION BY e.session_id ORDER BY ord) - 1 AS row_index,
+        CASE WHEN e.kind = 'tool_call' THEN 'tools/call · ' || tool
+        WHEN e.kind = 'tool_result' THEN 'tool result · ' || responds_to || CASE WHEN has_error OR (t = 'purchase' AND k < 90 AND k % 7 = 0) THEN ' · ERROR' ELSE '' END
+        WHEN role = 'raw' THEN 'unparseable wire line' WHEN e.kind = 'message' AND responds_to IS NOT NULL THEN 'reply to ' || responds_to
+        WHEN role = 'server_message' THEN method || ' · server-initiated request' WHEN role = 'client_note' THEN method || ' · notification'
+        WHEN e.kind = 'message' THEN coalesce(method, 'message') WHEN has_error THEN 'protocol error'
+        WHEN responds_to IS NOT NULL THEN 'response · ' || responds_to ELSE 'state change' END AS label,
+        coalesce(request, lag(ord) OVER (PARTITION BY e.session_id ORDER BY ord)) AS parent_seq, CASE WHEN orphaned THEN 1 ELSE 0 END AS severity,
+        CASE WHEN role = 'raw' THEN 'text' WHEN e.kind = 'tool_call' THEN 'tool_use' WHEN e.kind = 'tool_result' THEN 'tool_result'
+             WHEN e.kind = 'state_change' AND has_error THEN 'error' ELSE 'json' END AS part_kind FROM e""",
+    "log_writer": f"""WITH {WIRE} SELECT session_id, 'wire' AS record_kind, CASE WHEN role = 'raw' THEN NULL WHEN actor = 'client' THEN 'c2s' ELSE 's2c' END AS dir,
+        count(*) AS records, sum(ord)::BIGINT AS seqs, min(ts) AS first_ts, count(gate) AS gated FROM e GROUP BY 1, 2, 3""",
+}
+
+ORACLES = {**EVENT_SQL, **ROLLUP_SQL, **DAILY_SQL, **TEXT_SQL, **HOST_SQL, **TREE_SQL, **REPORT_SQL}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -24,6 +25,17 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written as a table in the shared folder and read back.
+
+    Unlike a checkpoint the result is columnar: later plans read the columns they
+    use and push their filters down.
+    """
+    folder = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Reliable checkpoint of ``df``."""
     shared_dir(df.sparkSession)

@@ -8,10 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bridge
+from .functions.catalogue import entropy, entropy_by_alphabet, luhn
+from .functions.hosts import is_trusted, netloc_hosts
+from .functions.scan import display, hits, inline_value, looks_like_secret, redact
+from .operators import audit as a
 from .operators import detectors as d
+from .operators import drift as dr
+from .operators import policy as p
+from .operators import provenance as pv
+from .operators import rollups as r
 from .operators.events import with_parents
 from .plans.blocks import with_row_number
 from .session import configure
+from .sinks import reports
+from .sources.logs import parse_records
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -118,3 +128,453 @@ def all_findings(spark, folder):
     return found.groupBy("session_id", "subcategory", "severity").agg(
         F.count("*").alias("findings"), F.min("seq").alias("first_seq")
     )
+
+
+# ---- roll-ups -----------------------------------------------------------------------------
+
+
+def wire_findings(s: d.Sessions) -> DataFrame:
+    """Findings of the detectors that look at the protocol, not at payload text."""
+    return d.detect(
+        s,
+        (
+            d.fabricated_calls, d.surface_changes, d.call_order, d.schema_violations,
+            d.server_requests, d.orphaned_responses, d.gate_actions,
+        ),
+    )
+
+
+CONTEXT = (d.surface_changes, d.call_order, d.schema_violations, d.server_requests, d.orphaned_responses)
+
+
+@query
+def session_verdicts(spark, folder):
+    s = logs(spark, folder)
+    return r.verdicts(s.frames.select("session_id").distinct(), wire_findings(s))
+
+
+@query
+def session_summary(spark, folder):
+    s = logs(spark, folder)
+    return r.session_summary(s, d.detect(s, CONTEXT))
+
+
+@query
+def error_taxonomy(spark, folder):
+    return r.error_taxonomy(logs(spark, folder).events)
+
+
+@query
+def tool_heatmap(spark, folder):
+    s = logs(spark, folder)
+    return r.tool_heatmap(s, wire_findings(s)).orderBy(
+        "session_id", F.desc("max_severity"), F.desc("calls")
+    )
+
+
+@query
+def session_counters(spark, folder):
+    s = logs(spark, folder)
+    return r.session_counters(s, wire_findings(s))
+
+
+@query
+def report_labels(spark, folder):
+    events = logs(spark, folder).events
+    return events.groupBy(r.report_label().alias("label")).agg(F.count("*").alias("events"))
+
+
+@query
+def timeline_view(spark, folder):
+    s = logs(spark, folder)
+    rows = r.newest_rows(r.timeline(s.events, wire_findings(s)))
+    return rows.select("session_id", "row_index", "text", "severity", "is_info", "collapsed_rows")
+
+
+@query
+def timeline_search(spark, folder):
+    s = logs(spark, folder)
+    found = r.search(r.timeline(s.events, d.orphaned_responses(s)), F.col("text"), "TOOLS/LIST")
+    return found.select("session_id", "row_index", "text")
+
+
+@query
+def findings_view(spark, folder):
+    top = r.top_findings(wire_findings(logs(spark, folder)))
+    return top.select("session_id", "rank", "seq", "severity", "subcategory", "more_findings")
+
+
+@query
+def severity_floor(spark, folder):
+    kept = r.at_least(wire_findings(logs(spark, folder)), 2)
+    return kept.groupBy("subcategory", r.severity_level(F.col("severity")).alias("level")).agg(
+        F.count("*").alias("findings")
+    )
+
+
+@query
+def gate_status(spark, folder):
+    return r.gate_status(logs(spark, folder).frames)
+
+
+@query
+def policy_verdicts(spark, folder):
+    return p.policy_verdicts(logs(spark, folder).lines, hold=3600.0)
+
+
+# ---- log directory ------------------------------------------------------------------------
+
+
+def daily(spark: SparkSession, folder: str) -> d.Sessions:
+    return d.Sessions(bridge.daily_frames(bridge.table(spark, folder, "events")))
+
+
+def day_logs(spark: SparkSession, folder: str) -> DataFrame:
+    """The daily logs as a directory listing; the last frame gives the modification time."""
+    events = bridge.daily_frames(bridge.table(spark, folder, "events"))
+    return events.groupBy("session_id").agg(
+        F.max(F.to_timestamp("ts")).alias("mtime"),
+        F.count("*").alias("frames"),
+        F.lit(False).alias("tail_only"),
+        F.lit(False).alias("unreadable"),
+    )
+
+
+@query
+def session_metrics(spark, folder):
+    return r.session_metrics(daily(spark, folder).frames).select(
+        "session_id", "frames_seen", "frames_blocked", "session_duration_s"
+    )
+
+
+@query
+def session_listing(spark, folder):
+    listing = r.live_sessions(day_logs(spark, folder), F.lit("2024-01-30 23:00:00").cast("timestamp"))
+    return listing.select("session_id", "frames", "live")
+
+
+@query
+def health_of_newest(spark, folder):
+    s = daily(spark, folder)
+    found = d.detect(s, (d.orphaned_responses,))
+    return r.health(day_logs(spark, folder), r.session_metrics(s.frames), found, 10).drop("log_bytes")
+
+
+@query
+def retention_plan(spark, folder):
+    s = daily(spark, folder)
+    now = F.lit("2024-01-31 00:00:00").cast("timestamp")
+    plan = r.retention_plan(day_logs(spark, folder), d.orphaned_responses(s), "10d", now)
+    return plan.select("session_id", "action")
+
+
+@query
+def retention_result(spark, folder):
+    s = daily(spark, folder)
+    now = F.lit("2024-01-31 00:00:00").cast("timestamp")
+    plan = r.retention_plan(day_logs(spark, folder), d.orphaned_responses(s), "240h", now)
+    return r.retention_result(plan, 100)
+
+
+# ---- drift --------------------------------------------------------------------------------
+
+
+def day_prints(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    s = daily(spark, folder)
+    key = dr.file_server_name(F.col("session_id"))
+    return dr.fingerprints(s, key), dr.fingerprint_items(s)
+
+
+@query
+def fingerprints(spark, folder):
+    prints, _ = day_prints(spark, folder)
+    return prints.select("session_id", "server_key", "first_ts", "last_ts", "server_name", "event_count")
+
+
+@query
+def fingerprint_items(spark, folder):
+    _, items = day_prints(spark, folder)
+    return items.groupBy("session_id", "kind").agg(F.count("*").alias("items"))
+
+
+@query
+def schema_hashes(spark, folder):
+    _, items = day_prints(spark, folder)
+    return items.filter("kind = 'declared'").select("session_id", "item", "hash")
+
+
+@query
+def drift(spark, folder):
+    prints, items = day_prints(spark, folder)
+    return dr.drift(prints, items).select("server_key", "session_id", "kind", "severity", "explanation")
+
+
+@query
+def drift_histogram(spark, folder):
+    prints, items = day_prints(spark, folder)
+    return dr.drift_histogram(prints, dr.drift(prints, items))
+
+
+# ---- sensitive values ---------------------------------------------------------------------
+
+
+def text_of(spark: SparkSession, folder: str) -> DataFrame:
+    return bridge.table(spark, folder, "documents").select("doc_id", "lang", "source", "text")
+
+
+@query
+def document_hits(spark, folder):
+    found = text_of(spark, folder).select("doc_id", F.explode(hits(F.col("text"))).alias("hit"))
+    return found.select(
+        "doc_id", F.col("hit.category").alias("category"), F.col("hit.severity").alias("severity"),
+        F.col("hit.value").alias("value"),
+    )
+
+
+@query
+def page_hits(spark, folder):
+    pages = bridge.table(spark, folder, "pages")
+    found = pages.select("page_id", F.explode(hits(F.col("html"))).alias("hit"))
+    return found.groupBy("page_id", F.col("hit.category").alias("category")).agg(F.count("*").alias("values"))
+
+
+@query
+def argument_leaks(spark, folder):
+    s = d.Sessions(bridge.document_calls(bridge.table(spark, folder, "documents")))
+    return d.argument_leaks(s).select("session_id", "seq", "subcategory", "severity", "explanation")
+
+
+@query
+def result_leaks(spark, folder):
+    s = d.Sessions(bridge.document_results(bridge.table(spark, folder, "documents")))
+    return d.result_leaks(s).select("session_id", "seq", "subcategory", "severity", "explanation")
+
+
+@query
+def redacted_documents(spark, folder):
+    shown = text_of(spark, folder).withColumn("shown", redact(F.col("text")))
+    return shown.select(
+        "doc_id", F.length("shown").alias("chars"), (F.col("shown") != F.col("text")).alias("changed"),
+        F.md5("shown").alias("digest"),
+    )
+
+
+@query
+def displayed_documents(spark, folder):
+    shown = text_of(spark, folder).withColumn("shown", display(F.col("text")))
+    return shown.select("doc_id", F.length("shown").alias("chars"), F.md5("shown").alias("digest"))
+
+
+@query
+def secret_documents(spark, folder):
+    texts = text_of(spark, folder)
+    return texts.groupBy("source").agg(F.count_if(looks_like_secret(F.col("text"))).alias("documents"))
+
+
+@query
+def card_numbers(spark, folder):
+    runs = text_of(spark, folder).select(
+        "doc_id", F.explode(F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0))).alias("digits")
+    )
+    return runs.filter(F.length("digits") >= 13).select("doc_id", "digits", luhn(F.col("digits")).alias("valid"))
+
+
+@query
+def token_entropy(spark, folder):
+    tokens = text_of(spark, folder).select(
+        "doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9/+=]{30,}"), F.lit(0))).alias("token")
+    )
+    return tokens.select(
+        "doc_id", "token", F.round(entropy(F.col("token")), 6).alias("bits"),
+        entropy_by_alphabet(F.col("token")).alias("random"),
+    )
+
+
+@query
+def inline_values(spark, folder):
+    words = text_of(spark, folder).select(
+        "doc_id", F.array_distinct(F.split("text", r"\s+")).alias("words")
+    ).select("doc_id", F.explode("words").alias("word"))
+    shown = words.select("doc_id", inline_value(F.col("word"), "word").alias("shown"))
+    quoted = F.col("shown").startswith("`")
+    return shown.groupBy("doc_id").agg(
+        F.count_if(quoted).alias("quoted"), F.count_if(~quoted).alias("redacted"),
+        F.sum(F.when(~quoted, F.length("shown"))).alias("redacted_chars"),
+    )
+
+
+# ---- hosts --------------------------------------------------------------------------------
+
+
+@query
+def egress_findings(spark, folder):
+    s = d.Sessions(bridge.page_frames(bridge.table(spark, folder, "pages")))
+    return d.egress(s).select("session_id", "seq", "severity", "explanation")
+
+
+@query
+def declared_hosts(spark, folder):
+    s = d.Sessions(bridge.page_frames(bridge.table(spark, folder, "pages")))
+    return d.declared_hosts(s)
+
+
+@query
+def fingerprint_hosts(spark, folder):
+    pages = bridge.table(spark, folder, "pages")
+    return pages.select("page_id", F.explode(netloc_hosts(F.col("url"))).alias("host")).groupBy("host").agg(
+        F.count("*").alias("pages")
+    )
+
+
+@query
+def trusted_hosts(spark, folder):
+    pages = bridge.table(spark, folder, "pages")
+    host = F.regexp_extract("url", "https?://([^/]+)", 1)
+    return pages.select("page_id", host.alias("host"), is_trusted(F.regexp_replace(host, r"example\.net$", "windows.net")).alias("trusted"))
+
+
+# ---- unparsed lines -----------------------------------------------------------------------
+
+
+def talks(spark: SparkSession, folder: str) -> d.Sessions:
+    return d.Sessions(bridge.conversation_frames(bridge.table(spark, folder, "conversations")))
+
+
+@query
+def unparsed_lines(spark, folder):
+    events = with_parents(talks(spark, folder).events)
+    return events.select(
+        "session_id", "seq", "actor", "kind", "part_kind", "unparsed",
+        F.col("parent.seq").alias("parent_seq"), r.clock(F.col("ts")).alias("clock"),
+        F.length("raw").alias("chars"),
+    )
+
+
+# ---- source trees -------------------------------------------------------------------------
+
+
+def repos(spark: SparkSession, folder: str) -> DataFrame:
+    return bridge.document_sources(bridge.table(spark, folder, "documents"))
+
+
+@query
+def audit_findings(spark, folder):
+    return a.audit_findings(repos(spark, folder)).select(
+        "repo", "path", "rule", "severity", "line", "detail", "count"
+    )
+
+
+@query
+def audit_deductions(spark, folder):
+    return a.deductions(a.audit_findings(repos(spark, folder)))
+
+
+@query
+def audit_scores(spark, folder):
+    sources = repos(spark, folder)
+    return a.scores(sources, a.audit_findings(sources))
+
+
+@query
+def audit_profiles(spark, folder):
+    return a.profiles(repos(spark, folder)).select(
+        "repo", "runtime", "files_scanned", "depth_ast", "depth_pattern", "dependency_count"
+    )
+
+
+@query
+def rule_prevalence(spark, folder):
+    sources = repos(spark, folder)
+    return a.prevalence(sources, a.audit_findings(sources)).orderBy(F.desc("pct"))
+
+
+@query
+def survey_scores(spark, folder):
+    sources = repos(spark, folder)
+    return a.score_summary(a.scores(sources, a.audit_findings(sources)))
+
+
+@query
+def audit_sarif(spark, folder):
+    sources = repos(spark, folder)
+    found = a.audit_findings(sources)
+    lines = reports.audit_sarif(found, a.scores(sources, found))
+    return lines.groupBy("document", "section").agg(
+        F.count("*").alias("lines"), F.count_if(F.startswith("text", F.lit(","))).alias("commas")
+    )
+
+
+@query
+def audit_advisory(spark, folder):
+    lines = reports.static_lines(a.audit_findings(repos(spark, folder)), 1, "base")
+    return lines.select("document", "severity", "text")
+
+
+# ---- dependencies -------------------------------------------------------------------------
+
+
+@query
+def provenance_findings(spark, folder):
+    deps = bridge.supplier_deps(bridge.table(spark, folder, "lineitem"))
+    registry = bridge.part_registry(bridge.table(spark, folder, "part"))
+    found = pv.provenance(deps, registry, F.lit("2026-07-05").cast("timestamp"))
+    return found.groupBy("repo", "ecosystem", "manifest", "rule", "severity", "detail").agg(
+        F.count("*").alias("packages")
+    )
+
+
+@query
+def provenance_notes(spark, folder):
+    deps = bridge.supplier_deps(bridge.table(spark, folder, "lineitem"))
+    registry = bridge.part_registry(bridge.table(spark, folder, "part")).filter("status <> 'error'")
+    found = pv.provenance(deps, registry, F.lit("2026-07-05").cast("timestamp"))
+    return found.filter("rule = 'prov-unavailable'").select("repo", "severity", "detail")
+
+
+@query
+def registry_facts(spark, folder):
+    facts = pv.registry_facts(bridge.part_registry(bridge.table(spark, folder, "part")))
+    return facts.select(
+        "name", "status", "deprecated", F.date_format("newest", "yyyy-MM-dd").alias("newest"), "maintainers", "signed"
+    )
+
+
+# ---- reports of sessions ------------------------------------------------------------------
+
+
+@query
+def session_sarif(spark, folder):
+    s = logs(spark, folder).stored()
+    found = d.detect(s, CONTEXT)
+    numbers = reports.line_numbers(with_row_number(s.frames, ["session_id"], "line_no"))
+    lines = reports.session_sarif(found, numbers)
+    result = F.try_parse_json(F.regexp_replace("text", "^,", ""))
+    return lines.filter("section = 3").select(
+        F.col("document").alias("session_id"),
+        F.try_variant_get(result, "$.partialFingerprints.seq", "string").alias("print"),
+        F.try_variant_get(result, "$.level", "string").alias("level"),
+        F.try_variant_get(result, "$.locations[0].physicalLocation.region.startLine", "bigint").alias("line"),
+    ).distinct()
+
+
+@query
+def runtime_advisory(spark, folder):
+    lines = reports.runtime_lines(wire_findings(logs(spark, folder).stored()))
+    return lines.select("document", "ord", "severity", "text")
+
+
+@query
+def session_report(spark, folder):
+    s = logs(spark, folder).stored()
+    rows = reports.report_rows(s, d.orphaned_responses(s))
+    return rows.select("session_id", "row_index", "label", "parent_seq", "severity", "part_kind")
+
+
+@query
+def log_writer(spark, folder):
+    lines = reports.log_lines(logs(spark, folder).frames)
+    back = parse_records(lines.select(F.col("document").alias("session_id"), F.col("position").alias("ord"), F.col("text").alias("value")))
+    return back.groupBy("session_id", "record_kind", "dir").agg(
+        F.count("*").alias("records"), F.sum("seq").alias("seqs"), F.min("ts").alias("first_ts"),
+        F.count_if(F.col("gate").isNotNull()).alias("gated"),
+    )

@@ -1 +1 @@
-"""Session data in and out of Spark."""
+"""Findings and logs written for other tools."""

@@ -1 +1 @@
-"""Session data in and out of Spark."""
+"""Growing logs as Structured Streaming queries."""
