@@ -36,17 +36,21 @@ def string_values(json_text: Column) -> Column:
 
 def egress_hosts(value: Column) -> Column:
     """Lower-case hosts of a VARIANT: URLs in any string, and strings that are a domain."""
-    strings = string_values(F.to_json(value))
+    text = F.to_json(value)
+    # a host needs a scheme or a dot; other texts skip the work
+    nameable = F.contains(text, F.lit("://")) | F.contains(text, F.lit("."))
+    strings = string_values(F.when(nameable, text))
     in_urls = F.flatten(
         F.transform(strings, lambda s: F.regexp_extract_all(s, F.lit(_URL), F.lit(1)))
     )
     trimmed = F.transform(strings, lambda s: F.lower(F.trim(s)))
-    return F.array_distinct(
+    found = F.array_distinct(
         F.concat(
             F.transform(in_urls, lambda h: F.lower(h)),
             F.filter(trimmed, lambda s: s.rlike(_BARE)),
         )
     )
+    return F.coalesce(found, F.array().cast("array<string>"))
 
 
 def netloc_hosts(text: Column) -> Column:

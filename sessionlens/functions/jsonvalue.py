@@ -30,9 +30,8 @@ def present(value: Column) -> Column:
 
 
 def identity_key(request_id: Column) -> Column:
-    """Pairing key of a request id: 1 and "1" differ, 1 and 1.0 agree."""
-    kind = F.when(F.schema_of_variant(request_id) == "STRING", "s:").otherwise("n:")
-    return F.when(present(request_id), F.concat(kind, F.to_json(request_id)))
+    """Pairing key of a request id: its JSON text, so 1 and "1" differ, 1 and 1.0 agree."""
+    return F.when(present(request_id), F.to_json(request_id))
 
 
 def kind_name(value: Column) -> Column:
@@ -65,74 +64,65 @@ def accepts(type_name: Column, kind: Column) -> Column:
     )
 
 
-def schema_problems(args: Column, schema: Column) -> Column:
-    """Problems of call arguments against a declared input schema, as an array of texts.
-
-    Covers required members, additionalProperties=false and top-level member types.
-    """
-    none = F.array().cast("array<string>")
-    no_members = F.create_map().cast("map<string,variant>")
-    given = members(args)
-    properties = F.coalesce(members(field(schema, "$.properties")), no_members)
-    required = F.coalesce(F.try_variant_get(schema, "$.required", "array<string>"), none)
+def schema_parts(schema: Column) -> list[Column]:
+    """What ``schema_problems`` reads of a tool's schema, one row per tool."""
     closed = F.schema_of_variant(field(schema, "$.additionalProperties")).eqNullSafe("BOOLEAN") & (
         ~F.coalesce(F.try_variant_get(schema, "$.additionalProperties", "boolean"), F.lit(True))
     )
+    applies = is_object(schema) & (
+        field(schema, "$.type").isNull() | text_at(schema, "$.type").eqNullSafe("object")
+    )
+    return [
+        F.coalesce(applies, F.lit(False)).alias("applies"),
+        F.coalesce(members(field(schema, "$.properties")), F.create_map().cast("map<string,variant>")).alias("properties"),
+        F.coalesce(F.try_variant_get(schema, "$.required", "array<string>"), F.array().cast("array<string>")).alias("required"),
+        closed.alias("closed"),
+    ]
 
+
+def schema_problems(args: str) -> Column:
+    """Problems of a call's arguments as an array of texts.
+
+    Reads the columns of ``schema_parts`` and ``given``, the arguments' members.  Covers required members, additionalProperties=false and top-level member types.
+    """
+    given, properties = F.col("given"), F.col("properties")
     missing = F.transform(
-        F.filter(required, lambda r: ~F.map_contains_key(given, r)),
+        F.filter("required", lambda r: ~F.map_contains_key(given, r)),
         lambda r: F.concat(F.lit("missing required argument '"), r, F.lit("'")),
     )
-    extra = F.when(
-        closed,
-        F.transform(
-            F.filter(F.map_keys(given), lambda k: ~F.map_contains_key(properties, k)),
-            lambda k: F.concat(
-                F.lit("unexpected argument '"), k, F.lit("' (additionalProperties: false)")
-            ),
-        ),
-    ).otherwise(none)
-
-    def declared_types(name: Column) -> Column:
-        declared = field(properties[name], "$.type")
-        kind = F.schema_of_variant(declared)
-        return F.when(kind == "STRING", F.array(text_at(declared, "$"))).when(
-            kind.startswith("ARRAY"), F.try_variant_get(declared, "$", "array<string>")
-        )
+    extra = F.transform(
+        F.filter(F.map_keys(given), lambda k: F.col("closed") & ~F.map_contains_key(properties, k)),
+        lambda k: F.concat(F.lit("unexpected argument '"), k, F.lit("' (additionalProperties: false)")),
+    )
+
+    def declared(entry: Column) -> Column:
+        return field(F.try_element_at(properties, entry.key), "$.type")
 
     def wrong(entry: Column) -> Column:
-        types = declared_types(entry.key)
-        return (F.coalesce(F.size(types), F.lit(0)) > 0) & ~F.exists(
-            types, lambda t: accepts(t, kind_name(entry.value))
+        kind = F.schema_of_variant(declared(entry))
+        one = accepts(text_at(declared(entry), "$"), kind_name(entry.value))
+        several = F.exists(
+            F.try_variant_get(declared(entry), "$", "array<string>"),
+            lambda t: accepts(t, kind_name(entry.value)),
+        )
+        return (
+            F.when(kind == "STRING", ~one)
+            .when(kind.startswith("ARRAY") & (F.to_json(declared(entry)) != "[]"), ~several)
+            .otherwise(F.lit(False))
         )
 
     def wrong_text(entry: Column) -> Column:
-        declared = field(properties[entry.key], "$.type")
-        shown = F.when(F.schema_of_variant(declared) == "STRING", text_at(declared, "$")).otherwise(
-            F.concat(
-                F.lit("['"),
-                F.array_join(F.try_variant_get(declared, "$", "array<string>"), "', '"),
-                F.lit("']"),
-            )
-        )
+        listed = F.array_join(F.try_variant_get(declared(entry), "$", "array<string>"), "', '")
+        shown = F.when(
+            F.schema_of_variant(declared(entry)) == "STRING", text_at(declared(entry), "$")
+        ).otherwise(F.concat(F.lit("['"), listed, F.lit("']")))
         return F.concat(
-            F.lit("argument '"),
-            entry.key,
-            F.lit("' is "),
-            kind_name(entry.value),
-            F.lit(", schema expects "),
-            shown,
+            F.lit("argument '"), entry.key, F.lit("' is "), kind_name(entry.value),
+            F.lit(", schema expects "), shown,
         )
 
     mistyped = F.transform(F.filter(F.map_entries(given), wrong), wrong_text)
-    applies = is_object(schema) & (
-        field(schema, "$.type").isNull() | text_at(schema, "$.type").eqNullSafe("object")
-    )
     not_object = F.array(
-        F.concat(F.lit("arguments are "), kind_name(args), F.lit(", schema expects object"))
-    )
-    return (
-        F.when(~F.coalesce(applies, F.lit(False)), none)
-        .when(given.isNull(), not_object)
-        .otherwise(F.concat(missing, extra, mistyped))
+        F.concat(F.lit("arguments are "), kind_name(F.col(args)), F.lit(", schema expects object"))
     )
+    return F.when(given.isNull(), not_object).otherwise(F.concat(missing, extra, mistyped))

@@ -9,7 +9,7 @@ it pass a null, which costs nothing.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import pandas as pd
@@ -129,15 +129,28 @@ def _scan_form(texts: pd.Series) -> pd.Series:
 
 
 def _hinted(text: Column, pattern: Pattern) -> Column | None:
-    found = [F.contains(text, F.lit(h)) for h in pattern.hints]
+    searched = F.lower(text) if pattern.any_case else text
+    found = [F.contains(searched, F.lit(h)) for h in pattern.hints]
     return reduce(lambda a, b: a | b, found) if found else None
 
 
-def _may_hit(text: Column, pattern: Pattern) -> Column:
-    """The text holds the pattern's shape; its validator is not asked."""
-    shaped = text.rlike(pattern.regex)
-    hinted = _hinted(text, pattern)
-    return shaped if hinted is None else hinted & shaped
+def _shaped(patterns: Sequence[Pattern]) -> str | None:
+    shapes = [p.shape for p in patterns if p.shape]
+    return "|".join(f"(?:{shape})" for shape in shapes) if shapes else None
+
+
+def _may_hit(text: Column, config: ScanConfig) -> Column:
+    """The text holds the shape of some pattern; no validator is asked."""
+    gates = []
+    for pattern in config.patterns:
+        if not pattern.shape:
+            matched = text.rlike(pattern.regex)
+            hinted = _hinted(text, pattern)
+            gates.append(matched if hinted is None else hinted & matched)
+    shape = _shaped(config.patterns)
+    if shape:
+        gates.append(text.rlike(shape))
+    return reduce(lambda a, b: a | b, gates)
 
 
 def _pattern_hits(text: Column, pattern: Pattern) -> Column:
@@ -159,6 +172,16 @@ def _pattern_hits(text: Column, pattern: Pattern) -> Column:
     )
 
 
+def _native_hits(text: Column, config: ScanConfig) -> Column:
+    """Hits by column expressions; patterns with a shape run only where one occurs."""
+    gated = [p for p in config.patterns if p.shape]
+    parts = [_pattern_hits(text, p) for p in config.patterns if not p.shape]
+    if gated:
+        found = F.concat(*[_pattern_hits(text, p) for p in gated])
+        parts.append(F.when(text.rlike(_shaped(gated)), found).otherwise(F.array().cast(f"array<{HIT}>")))
+    return F.array_distinct(F.concat(*parts))
+
+
 def _native_patterns(config: ScanConfig) -> list[Pattern]:
     return [
         p
@@ -177,8 +200,7 @@ def hits(text: Column, config: ScanConfig = DEFAULT) -> Column:
     if len(_native_patterns(config)) < len(config.patterns):
         return _exact_hits(config)(text)
     exact = _exact_hits(config)(F.when(_needs_offsets(text), text))
-    native = F.array_distinct(F.concat(*[_pattern_hits(text, p) for p in config.patterns]))
-    return F.coalesce(exact, native)
+    return F.coalesce(exact, _native_hits(text, config))
 
 
 def looks_like_secret(text: Column, min_severity: int = 3, config: ScanConfig = DEFAULT) -> Column:
@@ -205,7 +227,7 @@ def redact(text: Column, config: ScanConfig = DEFAULT) -> Column:
     """
     if len(_native_patterns(config)) < len(config.patterns):
         return _exact_redaction(config)(text)
-    affected = reduce(lambda a, b: a | b, [_may_hit(text, p) for p in config.patterns], ~text.rlike(STABLE_TEXT))
+    affected = ~text.rlike(STABLE_TEXT) | _may_hit(text, config)
     return F.coalesce(_exact_redaction(config)(F.when(affected, text)), text)
 
 

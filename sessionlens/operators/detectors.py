@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from ..functions.catalogue import ScanConfig
 from ..functions.hosts import egress_hosts, is_trusted
 from ..functions.jsonvalue import field as json_field
-from ..functions.jsonvalue import schema_problems, text_at
+from ..functions.jsonvalue import members, schema_parts, schema_problems, text_at
 from ..functions.scan import hits, tag
-from ..plans.blocks import spread_join
+from ..plans.blocks import computed_once, keep_matching, spread_join
 from ..plans.durable import written
 from .events import (
     build_events,
@@ -80,7 +80,7 @@ class Sessions:
 
     @cached_property
     def declared(self) -> DataFrame:
-        return declared_tools(self.frames)
+        return declared_tools(self.lines)
 
     @cached_property
     def context(self) -> DataFrame:
@@ -122,10 +122,15 @@ def finding(
 
 def fabricated_calls(s: Sessions) -> DataFrame:
     """Calls of tools the session never declares, before or after."""
-    named = s.declared_names.withColumn("known", F.lit(True))
-    sized = s.declared_names.groupBy("session_id").agg(F.lit(True).alias("any_declared"))
-    strange = spread_join(s.calls, named, ["session_id", "tool_name"]).filter("known IS NULL")
-    rows = spread_join(strange, sized, ["session_id"])
+    group = ["session_id", "tool_name"]
+    sized = s.declared.groupBy("session_id").agg(F.lit(True).alias("any_declared"))
+    # decided once per (session, tool) and block, then joined back to the calls
+    strange = (
+        s.calls.select(*group, "block").distinct()
+        .join(s.declared_names, group, "left_anti")
+        .join(sized, "session_id", "left")
+    )
+    rows = keep_matching(s.calls, strange, [*group, "block"])
     return finding(
         rows, "hallucination", "fabricated_tool_call", 3,
         F.format_string("tools/call '%s' is outside the declared surface", "tool_name"),
@@ -161,12 +166,19 @@ def call_order(s: Sessions) -> DataFrame:
 
 def schema_violations(s: Sessions) -> DataFrame:
     """One finding per problem of a call's arguments against its tool's first schema."""
-    first_schema = s.declared.groupBy("session_id", "tool_name").agg(
-        F.min_by("input_schema", F.struct("ord", "pos")).alias("schema")
+    first_schema = (
+        s.declared.groupBy("session_id", "tool_name")
+        .agg(F.min_by("input_schema", F.struct("ord", "pos")).alias("schema"))
+        .select("session_id", "tool_name", *schema_parts(F.col("schema")))
+        # a schema that asks for nothing still asks for an object
+        .filter("applies")
     )
-    rows = (
-        spread_join(s.calls, first_schema, ["session_id", "tool_name"], "inner")
-        .withColumn("problem", F.explode(schema_problems(F.col("args"), F.col("schema"))))
+    checked = computed_once(
+        spread_join(s.calls, first_schema, ["session_id", "tool_name"], "inner"),
+        members(F.col("args")).alias("given"),
+    )
+    rows = computed_once(checked, schema_problems("args").alias("problems")).withColumn(
+        "problem", F.explode("problems")
     )
     return finding(
         rows, "divergence", "schema_violation", 2,
@@ -249,7 +261,7 @@ def gate_actions(s: Sessions) -> DataFrame:
     action = text_at(mark, "$.action")
     tool = F.coalesce(text_at(mark, "$.tool"), F.lit("None"))
     rows = (
-        s.lines.join(gate_marks(s.frames), ["session_id", "seq"])
+        keep_matching(s.lines, gate_marks(s.frames), ["session_id", "seq"])
         .withColumn("action", action)
         .withColumn("gated_tool", tool)
         .filter(F.col("action").isin("blocked", "injected", "gate_skipped"))
@@ -281,18 +293,18 @@ def gate_actions(s: Sessions) -> DataFrame:
     )
 
 
-def argument_scan(s: Sessions) -> DataFrame:
-    """Calls with the sensitive values and hosts of their arguments."""
-    return s.calls.select(
-        "session_id", "block", "ord", "seq", "tool_name",
-        hits(F.to_json("args"), s.config).alias("hits"),
-        egress_hosts(F.col("args")).alias("hosts"),
+def argument_hits(s: Sessions) -> DataFrame:
+    """Calls with the sensitive values of their arguments."""
+    texts = computed_once(
+        s.calls.select("session_id", "block", "ord", "seq", "tool_name", "args"),
+        F.to_json("args").alias("text"),
     )
+    return computed_once(texts, hits(F.col("text"), s.config).alias("hits"))
 
 
 def argument_leaks(s: Sessions) -> DataFrame:
     """Sensitive values in call arguments, one finding per category and value."""
-    rows = argument_scan(s).select(
+    rows = argument_hits(s).select(
         "session_id", "block", "ord", "seq", "tool_name", F.explode("hits").alias("hit")
     )
     return finding(
@@ -327,7 +339,12 @@ def declared_hosts(s: Sessions) -> DataFrame:
 
 def egress(s: Sessions) -> DataFrame:
     """Calls that reach a host the server never declared."""
-    reached = argument_scan(s).select(
+    naming = computed_once(
+        s.calls.select("session_id", "block", "ord", "seq", "tool_name", "args"),
+        egress_hosts(F.col("args")).alias("hosts"),
+    ).filter(F.size("hosts") > 0)
+    scanned = computed_once(naming, hits(F.to_json("args"), s.config).alias("hits"))
+    reached = scanned.select(
         "session_id", "block", "ord", "seq", "tool_name",
         F.exists("hits", lambda h: h.severity >= 2).alias("sensitive"),
         F.explode("hosts").alias("host"),
@@ -374,10 +391,12 @@ def result_text(frame: Column) -> Column:
 
 def result_leaks(s: Sessions) -> DataFrame:
     """Severity-3 values that come back in tool results."""
-    found = hits(result_text(F.col("frame")), s.config)
+    texts = computed_once(
+        s.events.filter("kind = 'tool_result'"), result_text(F.col("frame")).alias("text")
+    )
     rows = (
-        s.events.filter("kind = 'tool_result'")
-        .withColumn("hit", F.explode(found))
+        computed_once(texts, hits(F.col("text"), s.config).alias("hits"))
+        .withColumn("hit", F.explode("hits"))
         .filter("hit.severity >= 3")
     )
     return finding(

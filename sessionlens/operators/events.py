@@ -21,18 +21,23 @@ def classify_frames(frames: DataFrame) -> DataFrame:
     of an unknown direction, give no event.
     """
     frame = F.col("frame")
-    request_id = field(frame, "$.id")
+    # one cast takes the members an event's role depends on; it is null for no object
+    top = "struct<method:variant,id:variant,result:variant,error:variant>"
+    opened = computed_once(
+        frames.select(*FRAME_COLUMNS), F.try_variant_get(frame, "$", top).alias("top")
+    )
+    request_id = F.col("top.id")
     parsed = computed_once(
-        frames.select(*FRAME_COLUMNS),
-        F.coalesce(is_object(frame), F.lit(False)).alias("parsed"),
-        present(field(frame, "$.method")).alias("has_method"),
-        text_at(frame, "$.method").alias("method"),
+        opened,
+        F.col("top").isNotNull().alias("parsed"),
+        present(F.col("top.method")).alias("has_method"),
+        text_at(F.col("top.method"), "$").alias("method"),
         request_id.isNull().alias("no_id"),
         identity_key(request_id).alias("id_key"),
         F.when(present(request_id), text_at(request_id, "$")).alias("request_id"),
-        (field(frame, "$.result").isNotNull() | field(frame, "$.error").isNotNull()).alias("answers"),
-        present(field(frame, "$.error")).alias("has_error"),
-    )
+        (F.col("top.result").isNotNull() | F.col("top.error").isNotNull()).alias("answers"),
+        present(F.col("top.error")).alias("has_error"),
+    ).drop("top")
     role = (
         F.when(F.expr("NOT parsed AND raw IS NOT NULL"), "raw")
         .when(F.expr("NOT parsed OR dir IS NULL OR dir NOT IN ('c2s', 's2c')"), None)
@@ -165,18 +170,17 @@ def with_parents(events: DataFrame) -> DataFrame:
     ).drop("_previous")
 
 
-def declared_tools(frames: DataFrame) -> DataFrame:
+def declared_tools(lines: DataFrame) -> DataFrame:
     """Every tool definition in any server result, whichever request it answers."""
-    frame = F.col("frame")
-    tools = F.try_variant_get(frame, "$.result.tools", "array<variant>")
+    tools = F.try_variant_get(F.col("frame"), "$.result.tools", "array<variant>")
+    definition = F.col("tool_def")
     return (
-        frames.filter((F.col("dir") == "s2c") & ~present(field(frame, "$.method")))
-        .filter(is_object(frame))
+        lines.filter("role = 'response'")
         .select("session_id", "block", "ord", "seq", F.posexplode(tools).alias("pos", "tool_def"))
-        .withColumn("tool_name", text_at(F.col("tool_def"), "$.name"))
+        .withColumn("tool_name", text_at(definition, "$.name"))
         .filter("tool_name IS NOT NULL")
-        .withColumn("description", text_at(F.col("tool_def"), "$.description"))
-        .withColumn("input_schema", field(F.col("tool_def"), "$.inputSchema"))
+        .withColumn("description", text_at(definition, "$.description"))
+        .withColumn("input_schema", field(definition, "$.inputSchema"))
     )
 
 

@@ -350,7 +350,10 @@ def _tagged(text: str, hits: str) -> str:
 _HITS = f"h AS (SELECT doc_id, lang, source, text, unnest({_values('text')}) AS hit FROM documents)"
 _DESCRIPTIONS = """CASE hit.category WHEN 'aws_secret_key' THEN 'AWS secret access key (entropy)' WHEN 'credit_card' THEN 'credit card number (Luhn)'
     WHEN 'iban' THEN 'International Bank Account Number (IBAN, MOD-97)' WHEN 'email_address' THEN 'email address' ELSE 'private IP address (RFC 1918)' END"""
-_SHOWN = f"x AS (SELECT doc_id, text, {_values('text')} AS hits FROM documents), y AS (SELECT doc_id, text, {_tagged('text', 'hits')} AS shown FROM x)"
+# A value is replaced at its first place only, so a text that repeats one is withheld.
+_SHOWN = f"""x AS (SELECT doc_id, text, {_values('text')} AS hits FROM documents),
+    y AS (SELECT doc_id, text, CASE WHEN len([h for h in hits if len(text) - len(replace(text, h.value, '')) > len(h.value)]) > 0
+        THEN '[redaction unavailable — content withheld]' ELSE {_tagged('text', 'hits')} END AS shown FROM x)"""
 
 TEXT_SQL = {
     "document_hits": f"WITH {_HITS} SELECT doc_id, hit.category AS category, hit.severity AS severity, hit.value AS value FROM h",

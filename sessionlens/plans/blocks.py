@@ -33,6 +33,16 @@ def computed_once(df: DataFrame, *columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*columns))))
 
 
+def balanced(df: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Spread an input of fewer splits than cores by its unique key.
+
+    A small table, or one of few unsplittable row groups, would run its parsing in a
+    few tasks.  An input with enough splits is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *key)
+
+
 def with_previous(df: DataFrame, keys: Sequence[str], payload: Column, out: str) -> DataFrame:
     """Add ``payload`` of the row just before, within ``keys`` in log order."""
     group = [*keys, "block"]
@@ -125,14 +135,27 @@ def with_row_number(df: DataFrame, keys: Sequence[str], out: str, total: str | N
     return numbered.drop("_inside", "_offset", "_total")
 
 
+def keep_matching(rows: DataFrame, facts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join that can only broadcast the facts, never the rows.
+
+    From file sizes Spark may take the rows for the smaller side of an inner join and
+    build a hash table of them; an outer join has no such choice.
+    """
+    joined = rows.join(facts.withColumn("_matched", F.lit(True)), list(keys), "left")
+    kept = computed_once(joined, F.coalesce("_matched", F.lit(False)).alias("_kept"))
+    return kept.filter("_kept").drop("_matched", "_kept")
+
+
 def spread_join(rows: DataFrame, facts: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Join one small fact row per ``keys`` group to rows whose groups may be hot.
 
     The fact rows are repeated once per block the group really has (once for an
     ordinary group, often for a hot one), so the shuffle key is ``(keys, block)``
     and no task gets a whole hot group.  Spark broadcasts the facts when their
-    measured size is under its threshold.
+    measured size is under its threshold.  ``how`` is left or inner.
     """
     group = [*keys, "block"]
-    spread = rows.select(*group).distinct().join(facts, list(keys))
-    return rows.join(spread, group, how)
+    spread = keep_matching(rows.select(*group).distinct(), facts, keys)
+    if how == "inner":
+        return keep_matching(rows, spread, group)
+    return rows.join(spread, group, "left")

@@ -124,7 +124,7 @@ for _detector in (
 
 @query
 def all_findings(spark, folder):
-    found = d.detect(logs(spark, folder))
+    found = d.detect(logs(spark, folder).stored())
     return found.groupBy("session_id", "subcategory", "severity").agg(
         F.count("*").alias("findings"), F.min("seq").alias("first_seq")
     )
@@ -149,13 +149,13 @@ CONTEXT = (d.surface_changes, d.call_order, d.schema_violations, d.server_reques
 
 @query
 def session_verdicts(spark, folder):
-    s = logs(spark, folder)
+    s = logs(spark, folder).stored()
     return r.verdicts(s.frames.select("session_id").distinct(), wire_findings(s))
 
 
 @query
 def session_summary(spark, folder):
-    s = logs(spark, folder)
+    s = logs(spark, folder).stored()
     return r.session_summary(s, d.detect(s, CONTEXT))
 
 
@@ -166,7 +166,7 @@ def error_taxonomy(spark, folder):
 
 @query
 def tool_heatmap(spark, folder):
-    s = logs(spark, folder)
+    s = logs(spark, folder).stored()
     return r.tool_heatmap(s, wire_findings(s)).orderBy(
         "session_id", F.desc("max_severity"), F.desc("calls")
     )
@@ -174,7 +174,7 @@ def tool_heatmap(spark, folder):
 
 @query
 def session_counters(spark, folder):
-    s = logs(spark, folder)
+    s = logs(spark, folder).stored()
     return r.session_counters(s, wire_findings(s))
 
 
@@ -186,7 +186,7 @@ def report_labels(spark, folder):
 
 @query
 def timeline_view(spark, folder):
-    s = logs(spark, folder)
+    s = logs(spark, folder).stored()
     rows = r.newest_rows(r.timeline(s.events, wire_findings(s)))
     return rows.select("session_id", "row_index", "text", "severity", "is_info", "collapsed_rows")
 
@@ -200,13 +200,13 @@ def timeline_search(spark, folder):
 
 @query
 def findings_view(spark, folder):
-    top = r.top_findings(wire_findings(logs(spark, folder)))
+    top = r.top_findings(wire_findings(logs(spark, folder).stored()))
     return top.select("session_id", "rank", "seq", "severity", "subcategory", "more_findings")
 
 
 @query
 def severity_floor(spark, folder):
-    kept = r.at_least(wire_findings(logs(spark, folder)), 2)
+    kept = r.at_least(wire_findings(logs(spark, folder).stored()), 2)
     return kept.groupBy("subcategory", r.severity_level(F.col("severity")).alias("level")).agg(
         F.count("*").alias("findings")
     )
@@ -280,7 +280,7 @@ def retention_result(spark, folder):
 
 
 def day_prints(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    s = daily(spark, folder)
+    s = daily(spark, folder).stored()
     key = dr.file_server_name(F.col("session_id"))
     return dr.fingerprints(s, key), dr.fingerprint_items(s)
 
