@@ -1,0 +1,161 @@
+"""Text scan, validators, redaction and display."""
+
+import base64
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from sessionlens.functions import scan
+from sessionlens.functions.catalogue import (
+    ABA_ROUTING, COLUMN_VALIDATORS, CRYPTO_ADDRESS, HIGH_ENTROPY_TOKEN, VALUE_VALIDATORS, Pattern, ScanConfig,
+    declared_patterns,
+)
+from sessionlens.functions.hosts import egress_hosts, is_trusted, netloc_hosts
+from sessionlens.functions.unicode import FOLD, normalized
+
+AWS = "AK" + "IAIOSFODNN7EXAMPLE"
+GITHUB = "gh" + "p_" + "a1B2" * 9
+HEAD = base64.urlsafe_b64encode(json.dumps({"alg": "HS256", "typ": "JWT"}).encode()).decode().rstrip("=")
+JWT = f"{HEAD}.{'a' * 20}.{'b1C2' * 10}"
+NOT_JWT = "eyJ" + "x" * 20 + "." + "a" * 20 + "." + "b" * 20
+
+
+def one(spark, column, texts):
+    df = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "n int, t string")
+    return [row.v for row in df.select("n", column(F.col("t")).alias("v")).orderBy("n").collect()]
+
+
+def categories(spark, texts, config=ScanConfig()):
+    found = one(spark, lambda c: scan.hits(c, config), texts)
+    return [sorted(h.category for h in hits) for hits in found]
+
+
+VALUES = {
+    "luhn": ["4111111111111111", "4111111111111112", "378282246310005", "41111"],
+    "ssn": ["123-45-6789", "000-45-6789", "666-45-6789", "912-45-6789", "123-00-6789", "123-45-0000"],
+    "iban": ["GB82WEST12345698765432", "GB82WEST12345698765433", "DE89370400440532013000", "XX"],
+    "aba": ["021000021", "021000022", "991000021", "011401533", "12345678"],
+    "jwt": [JWT, NOT_JWT, "a.b", HEAD + ".b"],
+    "uuid4": ["f47ac10b-58cc-4372-a567-0e02b2c3d479", "f47ac10b-58cc-1372-a567-0e02b2c3d479"],
+    "entropy": ["aaaaaaaaaa", "a1B2c3D4e5F6g7H8"],
+    "entropy_high": ["0123456789abcdef0123456789abcdef", "abcdefghijklmnopqrstuvwxyzABCDEF"],
+    "entropy_auto": ["0123456789abcdef", "aaaabbbb", "abcdefghijklmnopqr", "ab+/=", "hello world"],
+}
+
+
+@pytest.mark.parametrize("name", VALUES)
+def test_column_and_value_validators_agree(spark, name):
+    native = one(spark, COLUMN_VALIDATORS[name], VALUES[name])
+    assert [bool(v) for v in native] == [VALUE_VALIDATORS[name](v) for v in VALUES[name]]
+    assert True in native and False in native
+
+
+def test_base58_checksum():
+    good = "1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNa"
+    assert VALUE_VALIDATORS["base58"](good) and not VALUE_VALIDATORS["base58"](good[:-1] + "b")
+
+
+def test_categories(spark):
+    cases = {
+        "key " + AWS: ["aws_access_key"],
+        "X" + AWS + "9": [],
+        GITHUB: ["github_token"],
+        "10.1.2.3 192.168.0.9 172.20.1.1 8.8.8.8": ["private_ip"] * 3,
+        'api_key = "' + "a1B2c3D4e5" * 3 + '"': ["generic_api_key"],
+        "token " + JWT: ["jwt_token"],
+        "token " + NOT_JWT: [],
+        "a@b.example.com a@b.example.com": ["email_address"],
+        "kein Geheimnis, aber schöne Größe": [],
+        "1123-45-6789": [],
+        "1234-123-45-6789": ["ssn"],
+    }
+    assert categories(spark, list(cases)) == list(cases.values())
+
+
+def test_generic_value_inside_a_token_is_part_of_it(spark):
+    assert categories(spark, ["secret " + JWT.rsplit(".", 1)[0] + "." + "aB3dE5gH7jK9mN1pQ3sT5vW7yZ9bC1dE3fG5hJ7k"])[0] == ["jwt_token"]
+
+
+def test_obfuscation_is_seen_through(spark):
+    cyrillic = AWS.replace("A", "А")
+    marked = "".join(c + "̲" for c in AWS)
+    wide = "".join(chr(ord(c) + 0xFEE0) for c in AWS)
+    assert categories(spark, [cyrillic, marked, wide, "​".join(AWS)]) == [["aws_access_key"]] * 4
+
+
+def test_fold_table_and_offsets():
+    assert FOLD[0x1D01] == "AE" and FOLD[0x1D25] == "E" and len(FOLD) == 10 + 12 + 15 + 36 + 38
+    assert normalized("aﬀb́") == ("affb", [0, 1, 1, 2])
+
+
+def test_redaction(spark):
+    texts = [
+        "mail bob@example.org now",
+        "x " + "​".join(AWS) + "​̲ y",
+        "plain text",
+        None,
+        AWS + " and " + AWS,
+    ]
+    got = one(spark, scan.redact, texts)
+    assert got[0] == "mail [email_address redacted · 15 chars] now"
+    assert got[1] == "x [aws_access_key redacted · 20 chars] y"
+    assert got[2:4] == ["plain text", None]
+    assert got[4] == scan.WITHHELD
+
+
+def test_overlapping_spans_merge():
+    scanner = scan._TextScanner((
+        Pattern("first", 1, "abcd", None, ""), Pattern("second", 1, "cdef", None, ""),
+    ))
+    assert scanner.redact("x abcdef y") == "x [first redacted · 6 chars] y"
+
+
+def test_whole_texts_are_scanned(spark):
+    long = "word " * 300_000 + AWS
+    assert categories(spark, [long, "é" + "x" * 10 + "​" + "word " * 300_000 + AWS]) == [["aws_access_key"]] * 2
+
+
+def test_display_and_inline(spark):
+    assert one(spark, scan.display, ["a‮b", None, "tab\tok", "e" + "́" * 6]) == [
+        "a‹U+202E›b", "", "tab\tok", "e" + "́" * 4 + "‹combining…›",
+    ]
+    assert one(spark, lambda c: scan.clamp(c, 3), ["abcdef", "abc"]) == ["abc… [3 chars truncated]", "abc"]
+    got = one(spark, lambda c: scan.inline_value(c, "tool"), ["web_search", "a b", GITHUB, "x" * 70, "`rm`", "ünï"])
+    assert got == [
+        "`web_search`", "[tool redacted · 3 chars]", f"[tool redacted · {len(GITHUB)} chars]",
+        "`" + "x" * 63 + "…`", "[tool redacted · 4 chars]", "`ünï`",
+    ]
+    assert one(spark, scan.escape_html, ["<a href='x'>&"]) == ["&lt;a href=&#x27;x&#x27;&gt;&amp;"]
+
+
+def test_custom_patterns(spark):
+    config = ScanConfig().with_pattern(ABA_ROUTING, HIGH_ENTROPY_TOKEN)
+    assert categories(spark, ["pay 021000021 now", "pay 021000022"], config) == [["aba_routing"], []]
+    coin = ScanConfig().with_pattern(CRYPTO_ADDRESS)
+    assert categories(spark, ["to 1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNa"], coin) == [["crypto_address"]]
+    own = ScanConfig().with_pattern(Pattern("ticket", 2, "T-([0-9]+)", None, "ticket", check=lambda v: v.endswith("7")))
+    assert categories(spark, ["T-17 T-18"], own) == [["ticket"]]
+    assert own.without_custom() == ScanConfig()
+
+
+def test_declared_patterns_are_checked_before_use():
+    good = {"category": "c", "severity": 2, "pattern": "x", "description": "d", "validator": "luhn"}
+    assert declared_patterns([good])[0].validator == "luhn"
+    for change in ({"severity": 4}, {"severity": True}, {"pattern": "("}, {"validator": "nope"}, {"description": None}):
+        with pytest.raises(ValueError):
+            declared_patterns([good, {**good, **change}])
+
+
+def test_hosts(spark):
+    texts = [
+        '{"a":"see http://Evil.example.com:8080/x?y and wss://b.io","k.example.com":1}',
+        '{"a":"collector.io","b":"not a.domain here","c":"me@mail.com","d":["deep.example.org"],"e":"x\\\\n"}',
+        '{"a":"quote \\"in.side.com\\" x","b":"\\thost.com\\n"}',
+    ]
+    got = one(spark, lambda c: egress_hosts(F.parse_json(c)), texts)
+    assert [sorted(g) for g in got] == [["b.io", "evil.example.com"], ["collector.io", "deep.example.org"], ["host.com"]]
+    assert one(spark, netloc_hosts, ["http://u:p@Host.com:99/x, https://b.io). ftp://c.io"]) == [["host.com:99", "b.io"]]
+    assert one(spark, is_trusted, ["a.b.azure.com", "azure.com", "notazure.com", "localhost", "azure.com.evil.io"]) == [
+        True, True, False, True, False,
+    ]
