@@ -133,7 +133,7 @@ def _policy(hold_ms: int, enforce: bool, idle_ms: int) -> Callable[[], StatefulP
                 self.waiting.clear()
             return [(seq, tool, self._verdict(tool, names)) for seq, tool, _ in held]
 
-        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
             names = self._names()
             for batch in rows:
                 out = []
@@ -145,13 +145,13 @@ def _policy(hold_ms: int, enforce: bool, idle_ms: int) -> Callable[[], StatefulP
                     elif names is not None:
                         out.append((row.seq, row.tool_name, self._verdict(row.tool_name, names)))
                     else:
-                        due = timer_values.getCurrentProcessingTimeInMs() + hold_ms
+                        due = timerValues.getCurrentProcessingTimeInMs() + hold_ms
                         self.waiting.appendValue((row.seq, row.tool_name, due))
                         self.handle.registerTimer(due)
                 yield self._frame(key, out)
 
-        def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
-            now = expired.getExpiryTimeInMs()
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            now = expiredTimerInfo.getExpiryTimeInMs()
             held = list(self.waiting.get()) if self.waiting.exists() else []
             late = [h for h in held if h[2] <= now]
             rest = [h for h in held if h[2] > now]

@@ -2,8 +2,6 @@
 
 import json
 
-from pyspark.sql import functions as F
-
 from sessionlens.operators.detectors import Sessions, call_order, detect, fabricated_calls, schema_violations
 from sessionlens.sources.logs import read_records, wire_frames
 from sessionlens.streaming.live import LiveFindings, live_policy, tail_stream
@@ -108,4 +106,3 @@ def test_policy_stream(spark, tmp_path):
         handle.write(json.dumps({"seq": 99, "ts": "t", "dir": "c2s", "frame": {"method": "tools/call", "params": {"name": "x"}}}) + "\n")
     got = run()
     assert ("s", 99, "x", "blocked") in got and ("quiet", 1, "web_search", "gate_skipped") in got
-    assert F is not None
