@@ -208,6 +208,12 @@ def timeline(events: DataFrame, findings: DataFrame) -> DataFrame:
     )
 
 
+def finding_rows(findings: DataFrame, rows: DataFrame) -> DataFrame:
+    """Findings with the index of their event's timeline row; 0 when they have no event."""
+    places = rows.select("session_id", "ord", "row_index")
+    return findings.join(places, ["session_id", "ord"], "left").na.fill(0, ["row_index"])
+
+
 def newest_rows(rows: DataFrame, limit: int = VIEW_ROWS) -> DataFrame:
     """The last rows of every session's timeline, with how many are folded away."""
     return rows.filter(F.col("row_index") >= F.col("rows") - limit).withColumn(

@@ -465,4 +465,14 @@ REPORT_SQL = {
         count(*) AS records, sum(ord)::BIGINT AS seqs, min(ts) AS first_ts, count(gate) AS gated FROM e GROUP BY 1, 2, 3""",
 }
 
-ORACLES = {**EVENT_SQL, **ROLLUP_SQL, **DAILY_SQL, **TEXT_SQL, **HOST_SQL, **TREE_SQL, **REPORT_SQL}
+LIVE_SQL = {
+    "finding_places": f"""{_ALL}, num AS (SELECT session_id, ord AS seq, row_number() OVER (PARTITION BY session_id ORDER BY ord) - 1 AS row_index FROM e)
+      SELECT session_id, seq, subcategory, row_index FROM f_server JOIN num USING (session_id, seq)""",
+    "exported_events": f"""WITH {WIRE} SELECT session_id AS document, '{{"session_id":"' || session_id || '","seq":' || ord || ',"tool_name":"' || tool || '","args":' ||
+        CASE WHEN t = 'view' OR k % 4 = 3 THEN '{{"n":' || k || ',"q":"x"}}' WHEN k % 4 = 0 THEN '{{"n":' || k || '}}'
+             WHEN k % 4 = 1 THEN '{{"q":' || k || '}}' ELSE '{{"extra":true,"q":"x"}}' END || '}}' AS text FROM e WHERE kind = 'tool_call'""",
+    "live_findings": f"""{_ALL} SELECT session_id, seq, subcategory, severity, explanation FROM f
+        WHERE subcategory IN ('fabricated_tool_call', 'orphaned_response', 'schema_violation')""",
+}
+
+ORACLES = {**EVENT_SQL, **ROLLUP_SQL, **DAILY_SQL, **TEXT_SQL, **HOST_SQL, **TREE_SQL, **REPORT_SQL, **LIVE_SQL}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,9 +20,11 @@ from .operators import provenance as pv
 from .operators import rollups as r
 from .operators.events import with_parents
 from .plans.blocks import with_row_number
+from .plans.durable import shared_dir
 from .session import configure
 from .sinks import reports
 from .sources.logs import parse_records
+from .streaming.live import LiveFindings
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -578,3 +581,35 @@ def log_writer(spark, folder):
         F.count("*").alias("records"), F.sum("seq").alias("seqs"), F.min("ts").alias("first_ts"),
         F.count_if(F.col("gate").isNotNull()).alias("gated"),
     )
+
+
+@query
+def finding_places(spark, folder):
+    s = logs(spark, folder).stored()
+    found = d.server_requests(s)
+    rows = r.finding_rows(found, r.timeline(s.events, found))
+    return rows.select("session_id", "seq", "subcategory", "row_index")
+
+
+@query
+def exported_events(spark, folder):
+    events = logs(spark, folder).calls.select("session_id", "seq", "tool_name", "args")
+    return reports.json_rows(events, "session_id")
+
+
+# ---- streams ------------------------------------------------------------------------------
+
+
+def event_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The events table as a stream of frames."""
+    schema = spark.read.parquet(f"{folder}/events.parquet").schema
+    files = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+    return bridge.event_frames(files.parquet(folder))
+
+
+@query
+def live_findings(spark, folder):
+    work = f"{shared_dir(spark)}/live-{uuid.uuid4().hex}"
+    live = LiveFindings(spark, f"{work}/tables", (d.fabricated_calls, d.orphaned_responses, d.schema_violations))
+    live.start(event_stream(spark, folder), f"{work}/checkpoint").awaitTermination()
+    return live.findings().select("session_id", "seq", "subcategory", "severity", "explanation")
