@@ -19,7 +19,7 @@ from .operators import policy as p
 from .operators import provenance as pv
 from .operators import rollups as r
 from .operators.events import with_parents
-from .plans.blocks import with_row_number
+from .plans.blocks import computed_once, with_row_number
 from .plans.durable import shared_dir
 from .session import configure
 from .sinks import reports
@@ -327,7 +327,8 @@ def text_of(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def document_hits(spark, folder):
-    found = text_of(spark, folder).select("doc_id", F.explode(hits(F.col("text"))).alias("hit"))
+    scanned = computed_once(text_of(spark, folder), hits(F.col("text")).alias("hits"))
+    found = scanned.select("doc_id", F.explode("hits").alias("hit"))
     return found.select(
         "doc_id", F.col("hit.category").alias("category"), F.col("hit.severity").alias("severity"),
         F.col("hit.value").alias("value"),
@@ -336,8 +337,9 @@ def document_hits(spark, folder):
 
 @query
 def page_hits(spark, folder):
-    pages = bridge.table(spark, folder, "pages")
-    found = pages.select("page_id", F.explode(hits(F.col("html"))).alias("hit"))
+    pages = bridge.table(spark, folder, "pages").select("page_id", "html")
+    scanned = computed_once(pages, hits(F.col("html")).alias("hits"))
+    found = scanned.select("page_id", F.explode("hits").alias("hit"))
     return found.groupBy("page_id", F.col("hit.category").alias("category")).agg(F.count("*").alias("values"))
 
 
