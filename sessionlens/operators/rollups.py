@@ -314,7 +314,7 @@ def health(logs: DataFrame, metrics: DataFrame, findings: DataFrame, last: int =
             F.count_if("tail_only").alias("tail_only_sessions"),
         )
     )
-    return total.withColumn(
+    return total.withColumn("session_duration_s", F.round("session_duration_s", 3)).withColumn(
         "verdict", F.when(F.col("detector_errors") == 0, "healthy").otherwise("degraded")
     )
 

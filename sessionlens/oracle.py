@@ -266,7 +266,7 @@ DAILY_SQL = {
         (epoch_us(TIMESTAMP '2024-01-30 23:00:00') - epoch_us(last_ts::TIMESTAMP)) / 1e6 < 5 AS live FROM l""",
     "health_of_newest": f"""WITH {_DAILY}, {_LOGS}, x AS (SELECT * FROM l ORDER BY session_id DESC LIMIT 10)
       SELECT count(*) AS sessions, sum(frames)::BIGINT AS frames_seen, sum(blocked)::BIGINT AS frames_blocked,
-        sum(round((epoch_us(last_ts::TIMESTAMP) - epoch_us(first_ts::TIMESTAMP)) / 1e6, 3)) AS session_duration_s,
+        round(sum(round((epoch_us(last_ts::TIMESTAMP) - epoch_us(first_ts::TIMESTAMP)) / 1e6, 3)), 3) AS session_duration_s,
         0 AS sessions_missing_metrics, 0 AS detector_errors, 0 AS tail_only_sessions, 'healthy' AS verdict FROM x""",
     "retention_plan": f"""WITH {_DAILY}, {_LOGS} SELECT session_id, 'delete' AS action FROM l
         WHERE epoch(TIMESTAMP '2024-01-31 00:00:00') - floor(epoch(last_ts::TIMESTAMP)) >= 864000""",

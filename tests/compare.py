@@ -29,7 +29,7 @@ def cell(value):
     if value is None or value != value:
         return "∅"
     if isinstance(value, float):
-        return f"{value:.6g}"
+        return repr(value)
     return str(value)
 
 
