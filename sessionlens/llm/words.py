@@ -81,13 +81,14 @@ def hash_spans(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.n
     return mixed(h)
 
 
-def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, byte length and row of every word, and the rows' first words (n + 1 entries)."""
+def word_spans(raw: np.ndarray, offsets: np.ndarray, space: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and byte length of every word, and the rows' first words (n + 1 entries);
+    ``space`` marks the bytes outside words."""
     rows = len(offsets) - 1
     if not len(raw):
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(rows + 1, np.int64)
-    word = ~IS_SPACE[raw]
+    word = ~space[raw]
     edge = np.zeros(len(raw) + 1, bool)
     edge[offsets] = True
     begins = word.copy()
