@@ -110,8 +110,11 @@ def statistics(text: pa.Array) -> dict[str, np.ndarray]:
 
 def judged(documents: DataFrame, model: tuple[np.ndarray, float, float, float], threshold: float = THRESHOLD) -> DataFrame:
     """All columns of ``documents`` with the statistics, ``base_failed``, ``probability`` and ``kept``,
-    packed in one column ``verdict`` so that no name can clash."""
+    packed in one last column ``verdict``, renamed where that name is taken."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
+    name = "verdict"
+    while name in documents.columns:
+        name += "_"
     kind = T.StructType(
         [T.StructField(k, T.LongType()) for k in STATISTICS]
         + [T.StructField("base_failed", T.BooleanType()), T.StructField("probability", T.DoubleType()), T.StructField("kept", T.BooleanType())]
@@ -127,9 +130,9 @@ def judged(documents: DataFrame, model: tuple[np.ndarray, float, float, float],
             p = 1 / (1 + np.exp(-np.clip(slope * scores(text, weights, bias) + offset, -30, 30)))
             columns = [pa.array(found[k]) for k in STATISTICS] + [pa.array(failed), pa.array(p), pa.array(~failed & (p >= threshold))]
             verdict = pa.StructArray.from_arrays(columns, names=[f.name for f in kind])
-            yield pa.RecordBatch.from_arrays([*batch.columns, verdict], names=[*batch.schema.names, "verdict"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, verdict], names=[*batch.schema.names, name])
 
-    schema = T.StructType([*documents.schema.fields, T.StructField("verdict", kind)])
+    schema = T.StructType([*documents.schema.fields, T.StructField(name, kind)])
     return documents.mapInArrow(judge, schema)
 
 

@@ -6,14 +6,16 @@ different words a word follows), and these with the continuation counts of both
 together, so an expression that is rare in one class is judged by the shared counts.
 Continuation counts also keep copies of one text from passing for evidence.
 
-The vocabulary is the ``VOCABULARY`` words in the most toxic documents (two at least); other
+Words count by their first bytes, in one pair of models by four and in another by seven: the
+short form joins rare inflections, the long one tells words apart that begin alike.  The
+vocabulary of a model is the ``VOCABULARY`` words in the most toxic documents (two at least); other
 words are one word of their own.  Of the pairs, the ``PAIRS`` most frequent are kept, others back
 off.  Counts cover all labelled rows and are aggregated in Spark; the two bounds make the
 model small enough to broadcast.
 
-A document's margin is the difference of its length-normalised log-likelihoods; a second margin
-is that of its ``STRONGEST`` most toxic words alone, as toxic words may be few in a long text.
-Both become a probability by logistic regression on the calibration fold, of which at most
+A document's margin in a model is the difference of its length-normalised log-likelihoods; a second margin
+is that of its ``STRONGEST`` most toxic words by continuation alone, as toxic words may be few
+in a long text.  The margins become a probability by logistic regression on the calibration fold, of which at most
 ``CALIBRATION_ROWS`` documents are used.
 
 Defined results: a null or empty text has margins of 0; without labelled rows of both kinds
@@ -39,7 +41,7 @@ VOCABULARY, PAIRS, CALIBRATION_ROWS = 1 << 17, 1 << 20, 20_000
 BROADCAST_LABELS = 1_000_000
 STRONGEST = 2
 DISCOUNT = 0.75
-STEMS = tuple(map(int,__import__("os").environ.get("STEM","4,7").split(",")))
+STEMS = (4, 7)
 SHIFT = 18
 NO_WORD = np.ones(256, bool)
 NO_WORD[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
