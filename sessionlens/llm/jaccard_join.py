@@ -3,7 +3,9 @@
 Sets are ordered by one global order: shingles that are frequent in the corpus last, others
 by hash.  Two sets of similarity t share one of their first n - ceil(t n) + 1 shingles, so
 only shingles that occur in the prefixes of two parts of the data (see ``repeats``) are kept,
-and documents without one have no partner.  Documents of one and the same set are one class
+and documents without one have no partner.  With k - 1 more shingles the prefixes share k of
+them: k is a fifth of the smaller set, so that documents with many common phrases, of which
+fewer are elsewhere, are left out as well.  Documents of one and the same set are one class
 from here on.
 
 Classes that share a prefix shingle are compared through its smallest class first.  Classes
@@ -38,13 +40,14 @@ from pyspark.sql import functions as F
 
 from ..plans.durable import written
 from .graph import components
-from .places import with_place
+from .places import discard, with_place
 from .repeats import mark, shared_keys
 from .words import LOWER, hash_spans, mixed, rolling, row_of, slices, text_buffer, word_spans
 
 FREQUENT = 1 << 16
 LOCAL_COUNT = 4
 CLASS_SHIFT = np.uint64(58)
+EXTRA = 5
 PARTNERS_PER_TASK = 256
 
 
@@ -220,12 +223,13 @@ def jaccard_groups(documents: DataFrame, width: int, num: int, den: int, id_colu
         keys, bounds = shingle_sets(text, width, frequent.value)
         n = np.diff(bounds)
         length = n - -(-num * n // den) + 1
+        length = np.minimum(length + np.maximum(n // EXTRA, 1) - 1, n)
         length[n == 0] = 0
         row = np.repeat(np.arange(len(n)), length)
         inside = np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length)
         return keys[bounds[row] + inside], row
 
-    answers = shared_keys(placed, prefixes, int(size * (den - num) / den) // 5)
+    answers = shared_keys(placed, prefixes, int(size * ((den - num) / den + 1 / EXTRA)) // 5)
     kind = placed.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, _file bigint, _row bigint, n_shingles bigint, class_id string, rare array<bigint>, shingles binary"
 
@@ -240,8 +244,10 @@ def jaccard_groups(documents: DataFrame, width: int, num: int, den: int, id_colu
             own = keys[bounds[k] : bounds[k + 1]]
             sigs.append(hashlib.blake2b(own.tobytes(), digest_size=16).hexdigest() if len(own) else None)
             some = token[ends[k] : ends[k + 1]][hit[ends[k] : ends[k + 1]]]
-            rare.append(some.astype(np.int64) if len(some) else None)
-            blobs.append(own.tobytes() if len(some) else None)
+            # the smaller set of a pair may have fewer shingles by the threshold
+            enough = len(some) >= max(1, -(-num * len(own) // den) // EXTRA)
+            rare.append(some.astype(np.int64) if enough else None)
+            blobs.append(own.tobytes() if enough else None)
         return pa.table({
             "doc_id": left.column("doc_id"), "_file": left.column("_file"), "_row": left.column("_row"),
             "n_shingles": pa.array(np.diff(bounds)), "class_id": pa.array(sigs, pa.string()),
@@ -254,10 +260,12 @@ def jaccard_groups(documents: DataFrame, width: int, num: int, den: int, id_colu
         rows.filter("rare IS NOT NULL").groupBy(F.col("class_id").alias("sig"))
         .agg(F.first("n_shingles").alias("n"), F.first("rare").alias("rare"), F.first("shingles").alias("shingles"))
     )
+    slim = written(rows.select("doc_id", "_file", "_row", "n_shingles", "class_id"))
+    discard(rows)
     groups = components(links(sets, num, den), "a", "b")
+    discard(sets)
     return (
-        rows.select("doc_id", "_file", "_row", "n_shingles", "class_id")
-        .join(groups.withColumnRenamed("node", "class_id"), "class_id", "left")
+        slim.join(groups.withColumnRenamed("node", "class_id"), "class_id", "left")
         .select("doc_id", "_file", "_row", "n_shingles", "class_id", F.coalesce("root", "class_id").alias("group_id"))
     )
 
