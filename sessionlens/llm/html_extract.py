@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .places import small_batches
+
 # Frequent words of English, German, French and Spanish.
 STOP_WORDS = frozenset(
     "a about all an and are as at be been but by can for from had has have he her his i if in is it its not of on or "
@@ -201,7 +203,7 @@ def extracted(pages: DataFrame) -> DataFrame:
             texts = [main_text(x.as_py()) for x in batch.column("html")]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    return chosen.mapInArrow(extract, f"page_id {kinds['page_id']}, url {kinds['url']}, text string")
+    return small_batches(chosen).mapInArrow(extract, f"page_id {kinds['page_id']}, url {kinds['url']}, text string")
 
 
 def op4_html_extraction(spark: SparkSession, folder: str) -> DataFrame:

@@ -45,7 +45,7 @@ from .repeats import mark, shared_keys
 from .words import LOWER, hash_spans, mixed, rolling, row_of, slices, text_buffer, word_spans
 
 FREQUENT = 1 << 16
-LOCAL_COUNT = 4
+LOCAL_COUNT, LOCAL_KEYS = 4, 1 << 22
 CLASS_SHIFT = np.uint64(58)
 EXTRA = 5
 PARTNERS_PER_TASK = 256
@@ -90,18 +90,24 @@ def shingle_sets(text: pa.Array, width: int, frequent: tuple[np.ndarray, np.ndar
 def frequent_shingles(placed: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     """At most 65,536 shingles of the most documents, with their class: an order, not a filter.
 
-    Each Arrow batch counts its own shingles and reports those in four or more documents.
+    A task counts its shingles some millions at a time and reports those in four or more documents.
     """
 
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        keys = np.sort(np.concatenate(held))
+        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+        counts = np.diff(np.r_[starts, len(keys)])
+        many = counts >= LOCAL_COUNT
+        return pa.RecordBatch.from_arrays([pa.array(keys[starts[many]].astype(np.int64)), pa.array(counts[many])], names=["key", "docs"])
+
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.uint64)]
         for batch in batches:
-            keys = np.sort(shingle_sets(batch.column("text"), width)[0])
-            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
-            counts = np.diff(np.r_[starts, len(keys)])
-            many = counts >= LOCAL_COUNT
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[starts[many]].astype(np.int64)), pa.array(counts[many])], names=["key", "docs"]
-            )
+            held.append(shingle_sets(batch.column("text"), width)[0])
+            if sum(map(len, held)) >= LOCAL_KEYS:
+                yield counted(held)
+                held = held[:1]
+        yield counted(held)
 
     top = (
         placed.select("text").mapInArrow(local, "key bigint, docs bigint")

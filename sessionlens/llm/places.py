@@ -9,6 +9,13 @@ from pyspark.sql import functions as F
 from ..plans.durable import shared_dir, written
 
 ROWS_SHIFT = 9
+BATCH_ROWS = 1024
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with Arrow batches of its session small enough for rows of long texts."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
 
 
 def with_place(df: DataFrame, **columns: str) -> DataFrame:
@@ -18,6 +25,7 @@ def with_place(df: DataFrame, **columns: str) -> DataFrame:
     Rows of files are known by file and row number, which do not depend on how the scan is
     split or on which executors are alive.  Other frames are written once to the shared folder.
     """
+    small_batches(df)
     chosen = [F.col(f"`{old}`").alias(new) for new, old in columns.items()]
     try:
         placed = df.select(

@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from ..plans.durable import written
 from .features import calibrate, fit_logistic, scores
+from .places import small_batches
 from .words import hash_spans, row_of, slices, text_buffer, windows, word_spans
 
 TRAINING_ROWS = 1500
@@ -133,7 +134,7 @@ def judged(documents: DataFrame, model: tuple[np.ndarray, float, float, float],
             yield pa.RecordBatch.from_arrays([*batch.columns, verdict], names=[*batch.schema.names, name])
 
     schema = T.StructType([*documents.schema.fields, T.StructField(name, kind)])
-    return documents.mapInArrow(judge, schema)
+    return small_batches(documents).mapInArrow(judge, schema)
 
 
 def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.durable import shared_dir
+from .places import small_batches
 from .tokens import encoder, vocabulary
 
 BLOCK = 1024
@@ -259,7 +260,7 @@ def write_token_files(documents: DataFrame, folder: str, tokenizer: str, end_id:
     numbers of token ids, and the coded bytes.
     """
     kind = documents.schema["doc_id"].dataType.simpleString()
-    ordered = documents.select("doc_id", F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = small_batches(documents).select("doc_id", F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, counts, held, total, chunk = [], [], [], 0, 0

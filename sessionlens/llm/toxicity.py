@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.durable import written
+from .places import small_batches
 from .words import LOWER, hash_spans, row_of, slices, text_buffer, word_spans
 
 FOLDS, HELD_OUT, CALIBRATION = 5, 0, 4
@@ -224,7 +225,7 @@ def regression(x: np.ndarray, label: np.ndarray, rounds: int = 100) -> np.ndarra
 def toxic_scores(documents: DataFrame, labels: DataFrame, stems: tuple[int, ...] = STEMS) -> DataFrame:
     """``doc_id, held_out, score, margins`` of every row of ``documents``."""
     spark = documents.sparkSession
-    docs = documents.select("doc_id", "text")
+    docs = small_batches(documents).select("doc_id", "text")
     known = labels.filter("toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label")).filter(fold(F.col("doc_id")) != HELD_OUT)
     # a million ids and labels at most are broadcast, more are joined by a shuffle
     side = F.broadcast(known) if known.count() <= BROADCAST_LABELS else known

@@ -15,7 +15,7 @@ U = np.uint64
 BASE = U(0x9E3779B97F4A7C15)
 MIX1, MIX2 = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 LONG_WORD = 1 << 10
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
