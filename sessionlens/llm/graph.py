@@ -26,7 +26,8 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def components(edges: DataFrame, left: str, right: str) -> DataFrame:
-    """``node`` and ``root`` (the smallest node reachable) of every node with an edge.
+    """``node`` and ``root`` (the smallest node reachable) of every node with an edge, but for
+    the roots themselves.
 
     Null ends and loops are left out; an empty table gives an empty one.  Each round is a
     table in the shared folder; the number of rounds grows with the logarithm of the data.

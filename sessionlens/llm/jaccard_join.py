@@ -163,40 +163,40 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     """
     counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS_PER_TASK).alias("groups"))
     dealt = pairs.join(counts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), "groups"))
-    partners = dealt.join(sets.select(F.col("sig").alias("b"), "shingles"), "b").select("a", "salt", "b", "shingles")
+    partners = dealt.join(sets.select(F.col("set").alias("b"), "shingles"), "b").select("a", "salt", "b", "shingles")
     owners = (
         counts.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("groups") - 1)))
-        .join(sets.select(F.col("sig").alias("a"), "shingles"), "a")
+        .join(sets.select(F.col("set").alias("a"), "shingles"), "a")
         .select(F.col("a").alias("owner"), F.col("salt").alias("part"), F.col("shingles").alias("owned"))
     )
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
-            return pa.table({"a": pa.array([], pa.string()), "b": pa.array([], pa.string())})
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         owner = np.frombuffer(left.column("owned")[0].as_buffer(), np.uint64)
         held = [np.frombuffer(x.as_buffer(), np.uint64) for x in right.column("shingles")]
         names = right.column("b").take(pa.array(probe(owner, held, num, den), pa.int64()))
-        return pa.table({"a": pa.array([left.column("owner")[0].as_py()] * len(names), pa.string()), "b": names})
+        return pa.table({"a": pa.array([left.column("owner")[0].as_py()] * len(names), pa.int64()), "b": names})
 
-    return owners.groupBy("owner", "part").cogroup(partners.groupBy("a", "salt")).applyInArrow(compare, "a string, b string")
+    return owners.groupBy("owner", "part").cogroup(partners.groupBy("a", "salt")).applyInArrow(compare, "a bigint, b bigint")
 
 
 def links(sets: DataFrame, num: int, den: int) -> DataFrame:
     """Linked pairs of classes that connect all classes linked directly or not."""
-    posting = sets.select("sig", "n", F.posexplode("rare").alias("at", "token"))
+    posting = sets.select("set", "n", F.posexplode("rare").alias("at", "token"))
     fits = F.least("n", "n_a") * den >= F.greatest("n", "n_a") * num
     tokens = posting.groupBy("token").agg(
-        F.min("sig").alias("a"), F.max("sig").alias("z"), F.min_by("n", "sig").alias("n_a"), F.count("*").alias("classes")
+        F.min("set").alias("a"), F.max("set").alias("z"), F.min_by("n", "set").alias("n_a"), F.count("*").alias("classes")
     ).filter("a <> z")
-    stars = posting.join(tokens, "token").filter((F.col("sig") != F.col("a")) & fits)
-    first = written(verified(stars.select("a", F.col("sig").alias("b")).distinct(), sets, num, den))
+    stars = posting.join(tokens, "token").filter((F.col("set") != F.col("a")) & fits)
+    first = written(verified(stars.select("a", F.col("set").alias("b")).distinct(), sets, num, den))
     groups = components(first, "a", "b")
 
     # shingles of three classes or more that lie in several components: all pairs across them
-    root = F.coalesce("root", "sig").alias("root")
+    root = F.coalesce("root", "set").alias("root")
     placed = (
         posting.join(tokens.filter("classes > 2").select("token", F.col("a").alias("least")), "token")
-        .join(groups.withColumnRenamed("node", "sig"), "sig", "left").select("token", "sig", "n", "at", "least", root)
+        .join(groups.withColumnRenamed("node", "set"), "set", "left").select("token", "set", "n", "at", "least", root)
     )
     open_tokens = placed.groupBy("token").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s")
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(den / num))).cast("bigint")
@@ -206,10 +206,10 @@ def links(sets: DataFrame, num: int, den: int) -> DataFrame:
     overlap = F.least("x.at", "y.at") + 1 + F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) - 1
     rest = (
         x.join(y, ["token", "band"])
-        .filter("x.sig < y.sig AND x.root <> y.root AND x.sig <> x.least")
+        .filter("x.set < y.set AND x.root <> y.root AND x.set <> x.least")
         .filter(F.least("x.n", "y.n") * den >= F.greatest("x.n", "y.n") * num)
         .filter(overlap * (num + den) >= (F.col("x.n") + F.col("y.n")) * num)
-        .select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b")).distinct()
+        .select(F.col("x.set").alias("a"), F.col("y.set").alias("b")).distinct()
     )
     second = written(verified(written(rest), sets, num, den))
     return first.unionByName(second)
@@ -245,13 +245,17 @@ def jaccard_groups(documents: DataFrame, width: int, num: int, den: int, id_colu
         keys, bounds = shingle_sets(text, width, frequent.value)
         token, row, hit = mark(text, left.column("_row").to_numpy(), right, prefixes)
         ends = np.searchsorted(row, np.arange(len(text) + 1))
+        spot = np.arange(len(row)) - ends[row]
         sigs, rare, blobs = [], [], []
         for k in range(len(text)):
             own = keys[bounds[k] : bounds[k + 1]]
             sigs.append(hashlib.blake2b(own.tobytes(), digest_size=16).hexdigest() if len(own) else None)
-            some = token[ends[k] : ends[k + 1]][hit[ends[k] : ends[k + 1]]]
+            mine = np.flatnonzero(hit[ends[k] : ends[k + 1]]) + ends[k]
+            some = token[mine]
             # the smaller set of a pair may have fewer shingles by the threshold
             enough = len(some) >= max(1, -(-num * len(own) // den) // EXTRA)
+            # the plain prefix is all that pairs are made from
+            some = some[: int(np.searchsorted(spot[mine], len(own) - -(-num * len(own) // den), "right"))]
             rare.append(some.astype(np.int64) if enough else None)
             blobs.append(own.tobytes() if enough else None)
         return pa.table({
@@ -265,14 +269,18 @@ def jaccard_groups(documents: DataFrame, width: int, num: int, den: int, id_colu
     sets = written(
         rows.filter("rare IS NOT NULL").groupBy(F.col("class_id").alias("sig"))
         .agg(F.first("n_shingles").alias("n"), F.first("rare").alias("rare"), F.first("shingles").alias("shingles"))
+        .withColumn("set", F.monotonically_increasing_id())
     )
     slim = written(rows.select("doc_id", "_file", "_row", "n_shingles", "class_id"))
     discard(rows)
+    name = sets.select("set", "sig")
     groups = components(links(sets, num, den), "a", "b")
+    groups = groups.join(name.select(F.col("set").alias("node"), F.col("sig").alias("class_id")), "node")
+    groups = written(groups.join(name.select(F.col("set").alias("root"), F.col("sig").alias("group_id")), "root").select("class_id", "group_id"))
     discard(sets)
     return (
-        slim.join(groups.withColumnRenamed("node", "class_id"), "class_id", "left")
-        .select("doc_id", "_file", "_row", "n_shingles", "class_id", F.coalesce("root", "class_id").alias("group_id"))
+        slim.join(groups, "class_id", "left")
+        .select("doc_id", "_file", "_row", "n_shingles", "class_id", F.coalesce("group_id", "class_id").alias("group_id"))
     )
 
 
