@@ -45,7 +45,7 @@ from .repeats import mark, shared_keys
 from .words import LOWER, hash_spans, mixed, rolling, row_of, slices, text_buffer, word_spans
 
 FREQUENT = 1 << 16
-LOCAL_COUNT, LOCAL_KEYS = 4, 1 << 22
+LOCAL_COUNT, LOCAL_KEYS = 4, 1 << 20
 CLASS_SHIFT = np.uint64(58)
 EXTRA = 5
 PARTNERS_PER_TASK = 256

@@ -11,6 +11,9 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 
+# memory that a batch used goes back to the system, as workers live longer than tasks
+pa.set_memory_pool(pa.system_memory_pool())
+
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15)
 MIX1, MIX2 = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
