@@ -3,7 +3,8 @@
 Every part (a run of rows of one file) sorts its distinct keys and sends them as packed
 slices, one per range of key values.  The task of a range finds the keys that two parts
 share and answers each slice with a bitmap, so the way back costs a bit per key.  A key is
-sent once per part however often it occurs there, so no key makes a range large.
+sent once per part however often it occurs there, so no key makes a range large.  Keys are
+mixed first, so that ranges are alike whatever the keys mean.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .words import mixed
+
 KEYS_PER_RANGE = 1 << 20
 SLICE = "range bigint, _file bigint, _part bigint, first bigint, last bigint, keys binary"
 ANSWER = "range bigint, _file bigint, _part bigint, first bigint, last bigint, bits binary"
@@ -49,7 +52,7 @@ def shared_keys(placed: DataFrame, keys_of: KeysOf, keys: int) -> DataFrame:
             file, part, row = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("_file", "_part", "_row"))
             cut = np.flatnonzero((file[1:] != file[:-1]) | (part[1:] != part[:-1])) + 1
             for a, b in zip([0, *cut.tolist()], [*cut.tolist(), batch.num_rows], strict=True):
-                own = distinct_sorted(keys_of(batch.column("text").slice(a, b - a))[0])
+                own = distinct_sorted(mixed(keys_of(batch.column("text").slice(a, b - a))[0].copy()))
                 which, bounds = ranges_of(own, bits)
                 n = len(which)
                 yield pa.RecordBatch.from_arrays(
@@ -86,13 +89,14 @@ def mark(text: pa.Array, rows: np.ndarray, answers: pa.Table, keys_of: KeysOf) -
     ``rows`` are the ascending row numbers of ``text``.  A key that occurs twice in the part
     counts as well.
     """
-    keys, row = keys_of(text)
+    plain, row = keys_of(text)
+    keys = mixed(plain.copy())
     hit = np.zeros(len(keys), bool)
     order = np.argsort(keys, kind="stable")
     same = keys[order[1:]] == keys[order[:-1]]
     hit[order[1:][same]] = hit[order[:-1][same]] = True
     if not answers.num_rows:
-        return keys, row, hit
+        return plain, row, hit
     first, last, which = (answers.column(k).to_numpy() for k in ("first", "last", "range"))
     bits = answers.column("bits").to_pylist()
     shift = answers.column("bits_of")[0].as_py()
@@ -108,4 +112,4 @@ def mark(text: pa.Array, rows: np.ndarray, answers: pa.Table, keys_of: KeysOf) -
             size = bounds[i + 1] - bounds[i]
             repeated[bounds[i] : bounds[i + 1]] = np.unpackbits(np.frombuffer(bits[k], np.uint8), count=size).view(bool)
         hit[mine] |= repeated[np.searchsorted(own, keys[mine])]
-    return keys, row, hit
+    return plain, row, hit
