@@ -25,8 +25,6 @@ DEFAULT = ScanConfig()
 
 # Fixed value: what replaces a text that cannot be shown safely.
 WITHHELD = "[redaction unavailable — content withheld]"
-# Fixed value: longest text shown in a report field.
-DISPLAY_CHARS = 50_000
 
 
 # ---- one text, inside an Arrow task -----------------------------------------------------
@@ -237,14 +235,16 @@ def reveal(text: Column) -> Column:
     return F.coalesce(_exact_reveal(F.when(~plain, text)), text)
 
 
-def clamp(text: Column, limit: int = DISPLAY_CHARS) -> Column:
-    """A display field of bounded length; the cut is stated in the text."""
+def clamp(text: Column, limit: int | None = None) -> Column:
+    """A display field, of bounded length if the caller names one; the cut is stated in the text."""
+    if limit is None:
+        return text
     note = F.format_string("… [%d chars truncated]", F.length(text) - F.lit(limit))
     return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit), note)).otherwise(text)
 
 
-def display(text: Column, config: ScanConfig = DEFAULT, limit: int = DISPLAY_CHARS) -> Column:
-    """Redact, then reveal, then clamp; a missing text is shown as empty."""
+def display(text: Column, config: ScanConfig = DEFAULT, limit: int | None = None) -> Column:
+    """Redact, then reveal, then clamp if a limit is named; a missing text is shown as empty."""
     return F.coalesce(clamp(reveal(redact(text, config)), limit), F.lit(""))
 
 
@@ -254,14 +254,18 @@ def escape_html(text: Column) -> Column:
     return text
 
 
-def inline_value(text: Column, label: str = "value", cap: int = 64, config: ScanConfig = DEFAULT) -> Column:
-    """An identifier-shaped value as a quoted span, anything else as a tag."""
+def inline_value(text: Column, label: str = "value", cap: int | None = None, config: ScanConfig = DEFAULT) -> Column:
+    """An identifier-shaped value as a quoted span, anything else as a tag.
+
+    The whole value is tested for secrets; ``cap`` shortens only what is shown.
+    """
     flat = F.trim(F.regexp_replace(F.regexp_replace(scan_form(text), r"\s+", " "), r"[\x00-\x1f\x7f]", ""))
-    short = F.when(F.length(flat) > cap, F.concat(F.substring(flat, 1, cap - 1), F.lit("…"))).otherwise(flat)
+    short = flat
+    if cap is not None:
+        short = F.when(F.length(flat) > cap, F.concat(F.substring(flat, 1, cap - 1), F.lit("…"))).otherwise(flat)
     hidden = F.format_string(f"[{label} redacted · %d chars]", F.length(flat))
-    hidden_short = F.format_string(f"[{label} redacted · %d chars]", F.length(short))
     return (
         F.when(F.contains(flat, F.lit("ˋ")) | ~flat.rlike(r"(?U)^[\w.\-/:@]+$"), hidden)
-        .when(looks_like_secret(short, 3, config), hidden_short)
+        .when(looks_like_secret(flat, 3, config), hidden)
         .otherwise(F.concat(F.lit("`"), short, F.lit("`")))
     )

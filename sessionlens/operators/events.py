@@ -104,6 +104,7 @@ def build_events(lines: DataFrame, strict_call_kind: bool = False) -> DataFrame:
     is_answer = F.col("role").isin("response", "client_reply")
     matched = is_answer & F.col("pair_space").isNotNull() & F.coalesce(F.col("before.opens"), F.lit(False))
     real_call = F.col("before.call") if strict_call_kind else ~F.col("before.label").startswith("<")
+    real_call = real_call & (F.col("before.label") != "")  # a call without a tool name has no tool result
     frame = F.col("frame")
     error = field(frame, "$.error")
     kind = (

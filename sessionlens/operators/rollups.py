@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.jsonvalue import field, text_at
 from ..plans.blocks import with_row_number
+from ..plans.durable import with_dense_number
 from .detectors import Sessions
 from .events import with_gate
 
@@ -20,8 +21,8 @@ VERDICTS = {
 # Severity words on the three-step scale, and report levels.
 SEVERITY_WORDS = {"critical": 3, "high": 3, "medium": 2, "low": 1, "note": 1, "info": 1}
 LEVELS = {3: "error", 2: "warning", 1: "note"}
-# Rows of a bounded view, and how long a log counts as live.
-VIEW_ROWS, VIEW_FINDINGS, LIVE_SECONDS = 1000, 100, 5
+# Fixed value: how long a log counts as live.
+LIVE_SECONDS = 5
 
 
 def _lookup(pairs: dict, key: Column) -> Column:
@@ -214,14 +215,25 @@ def finding_rows(findings: DataFrame, rows: DataFrame) -> DataFrame:
     return findings.join(places, ["session_id", "ord"], "left").na.fill(0, ["row_index"])
 
 
-def newest_rows(rows: DataFrame, limit: int = VIEW_ROWS) -> DataFrame:
-    """The last rows of every session's timeline, with how many are folded away."""
+def newest_rows(rows: DataFrame, limit: int | None = None) -> DataFrame:
+    """Every session's timeline, or its last rows, with how many are folded away."""
+    if limit is None:
+        return rows.withColumn("collapsed_rows", F.lit(0).cast("bigint"))
     return rows.filter(F.col("row_index") >= F.col("rows") - limit).withColumn(
         "collapsed_rows", F.greatest(F.lit(0), F.col("rows") - limit)
     )
 
 
-def top_findings(findings: DataFrame, limit: int = VIEW_FINDINGS) -> DataFrame:
+def ranked_findings(findings: DataFrame) -> DataFrame:
+    """All findings of every session with their rank: severity down, then log position.
+
+    Ranks come from a range partitioning, so a hot session spans many tasks.
+    """
+    down = findings.withColumn("_down", -F.col("severity"))
+    return with_dense_number(down, ["session_id"], ["_down", "ord", "subcategory", "explanation"], "rank").drop("_down")
+
+
+def top_findings(findings: DataFrame, limit: int) -> DataFrame:
     """The first findings of every session: severity down, then log position.
 
     Ranked per (session, block) first; only each block's own top rows meet in the

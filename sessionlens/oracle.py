@@ -199,12 +199,11 @@ ROLLUP_SQL = {
     "timeline_view": f"""{_ALL}, {_SEVERE}, x AS (SELECT e.session_id, row_number() OVER (PARTITION BY e.session_id ORDER BY ord) - 1 AS row_index,
           count(*) OVER (PARTITION BY e.session_id) AS n, {_TEXT} AS text, coalesce(sv.severity, 0) AS severity, coalesce(is_info, false) AS is_info
         FROM e LEFT JOIN sv ON sv.session_id = e.session_id AND sv.seq = e.ord)
-      SELECT session_id, row_index, text, severity, is_info, greatest(0, n - 1000) AS collapsed_rows FROM x WHERE row_index >= n - 1000""",
+      SELECT session_id, row_index, text, severity, is_info, 0 AS collapsed_rows FROM x""",
     "timeline_search": f"""WITH {WIRE} SELECT * FROM (SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY ord) - 1 AS row_index, {_TEXT} AS text FROM e)
       WHERE contains(lower(text), 'tools/list')""",
-    "findings_view": f"""{_ALL}, x AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY severity DESC, seq, subcategory, explanation) AS rank,
-          count(*) OVER (PARTITION BY session_id) AS n FROM f)
-      SELECT session_id, rank, seq, severity, subcategory, greatest(0, n - 100) AS more_findings FROM x WHERE rank <= 100""",
+    "findings_view": f"""{_ALL}, x AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY severity DESC, seq, subcategory, explanation) AS rank FROM f)
+      SELECT session_id, rank, seq, severity, subcategory FROM x""",
     "severity_floor": f"{_ALL} SELECT subcategory, CASE severity WHEN 3 THEN 'error' ELSE 'warning' END AS level, count(*) AS findings FROM f WHERE severity >= 2 GROUP BY 1, 2",
     "gate_status": f"WITH {WIRE} SELECT session_id, count(*) AS blocked_count FROM e WHERE gate = 'blocked' GROUP BY 1",
     "policy_verdicts": f"""WITH {WIRE}, u AS (SELECT *, CASE WHEN t = 'signup' THEN tool END AS listed, CASE WHEN t = 'signup' THEN ts END AS listed_at FROM e),
@@ -367,9 +366,8 @@ TEXT_SQL = {
       SELECT source AS session_id, doc_id * 2 + 1 AS seq, 'pii_in_result_' || hit.category AS subcategory, 3 AS severity,
         'tool result leaks ' || {_DESCRIPTIONS} AS explanation FROM h WHERE hit.severity = 3""",
     "redacted_documents": f"WITH {_SHOWN} SELECT doc_id, len(shown) AS chars, shown <> text AS changed, md5(shown) AS digest FROM y",
-    "displayed_documents": f"""WITH {_SHOWN}, z AS (SELECT doc_id, CASE WHEN len(shown) > 50000
-          THEN substr(shown, 1, 50000) || '… [' || (len(shown) - 50000) || ' chars truncated]' ELSE shown END AS shown FROM y)
-      SELECT doc_id, len(shown) AS chars, md5(shown) AS digest FROM z""",
+    "displayed_documents": f"""WITH {_SHOWN}
+      SELECT doc_id, len(shown) AS chars, md5(shown) AS digest FROM y""",
     "secret_documents": f"""WITH x AS (SELECT source, {_values('text')} AS hits FROM documents)
       SELECT source, count(*) FILTER (WHERE len([h for h in hits if h.severity >= 3]) > 0) AS documents FROM x GROUP BY 1""",
     "card_numbers": f"""WITH r AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+')) AS digits FROM documents)
@@ -379,11 +377,10 @@ TEXT_SQL = {
       SELECT doc_id, token, round(raw, 6) AS bits, raw > CASE WHEN regexp_full_match(token, '[0-9a-fA-F]+') THEN 3.0
           WHEN regexp_matches(token, '[+/=]') THEN 4.5 ELSE 3.7 END AS random FROM b""",
     "inline_values": f"""WITH w AS (SELECT doc_id, unnest(list_distinct(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'))) AS word FROM documents),
-        c AS (SELECT doc_id, word, regexp_full_match(word, '[\\pL\\pM\\p{{Nd}}\\pN_.\\-/:@]+') AS shaped,
-                CASE WHEN len(word) > 64 THEN substr(word, 1, 63) || '…' ELSE word END AS short FROM w),
-        g AS (SELECT doc_id, word, short, shaped, len([h for h in {_values('short')} if h.severity >= 3]) > 0 AS secret FROM c)
+        c AS (SELECT doc_id, word, regexp_full_match(word, '[\\pL\\pM\\p{{Nd}}\\pN_.\\-/:@]+') AS shaped FROM w),
+        g AS (SELECT doc_id, word, shaped, len([h for h in {_values('word')} if h.severity >= 3]) > 0 AS secret FROM c)
       SELECT doc_id, count(*) FILTER (WHERE shaped AND NOT secret) AS quoted, count(*) FILTER (WHERE NOT shaped OR secret) AS redacted,
-        (sum(len('[word redacted · ' || CASE WHEN shaped THEN len(short) ELSE len(word) END || ' chars]')) FILTER (WHERE NOT shaped OR secret))::BIGINT AS redacted_chars
+        (sum(len('[word redacted · ' || len(word) || ' chars]')) FILTER (WHERE NOT shaped OR secret))::BIGINT AS redacted_chars
       FROM g GROUP BY 1""",
 }
 

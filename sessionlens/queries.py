@@ -203,8 +203,8 @@ def timeline_search(spark, folder):
 
 @query
 def findings_view(spark, folder):
-    top = r.top_findings(wire_findings(logs(spark, folder).stored()))
-    return top.select("session_id", "rank", "seq", "severity", "subcategory", "more_findings")
+    ranked = r.ranked_findings(wire_findings(logs(spark, folder).stored()))
+    return ranked.select("session_id", "rank", "seq", "severity", "subcategory")
 
 
 @query

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Largest event kept, and the note that stands for a larger one.
-MAX_EVENT_BYTES = 256 * 1024
+# Fixed value: the note that stands for an event over the size limit.
 OVERSIZE = '{"dropped":"sse_frame_dropped_oversize"}'
 
 
@@ -38,13 +37,13 @@ def _meta(event: Column) -> Column:
     return F.when(F.size(fields) > 0, F.map_from_entries(present))
 
 
-def sse_frames(bodies: DataFrame, max_event_bytes: int = MAX_EVENT_BYTES) -> DataFrame:
+def sse_frames(bodies: DataFrame, max_event_bytes: int | None = None) -> DataFrame:
     """Events of captured event-stream bodies as server-to-client lines.
 
     ``bodies`` has session_id, block, ord and body.  Events end at a blank line in
     any of its three spellings; the data lines of an event form one payload, its
     other fields ride along.  An event without data, and an unfinished last event,
-    are kept as raw text; a larger event becomes one note.
+    are kept as raw text; an event over a size limit the caller names becomes one note.
     """
     text = F.regexp_replace("body", "^﻿", "")
     events = bodies.select(
@@ -55,7 +54,7 @@ def sse_frames(bodies: DataFrame, max_event_bytes: int = MAX_EVENT_BYTES) -> Dat
     unfinished = F.col("event_no") == F.col("events") - 1
     data = _data_lines(F.col("event"))
     has_data = F.size(data) > 0
-    oversize = F.octet_length("event") > max_event_bytes
+    oversize = F.lit(False) if max_event_bytes is None else F.octet_length("event") > max_event_bytes
     line = (
         F.when(oversize, F.lit(OVERSIZE))
         .when(unfinished | ~has_data, F.col("event"))

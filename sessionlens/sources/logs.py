@@ -87,7 +87,7 @@ def read_records(
 
     record_kind is wire (a JSON object), raw (not JSON; kept as text), bad (JSON but
     no object) or self (written by a recorder about itself: ``type`` is
-    ``<self_prefix>.<word>``).  By default whole logs are read; a tail cap keeps the
+    ``<self_prefix>.<word>`` and there is no ``frame``, ``raw`` or ``dir``).  By default whole logs are read; a tail cap keeps the
     last bytes of larger logs and flags them.
     """
     lines = read_lines(spark, folder, pattern)
@@ -107,11 +107,12 @@ def parse_records(lines: DataFrame, self_prefix: str = "[A-Za-z0-9_-]+") -> Data
         parsed,
         F.coalesce(is_object(entry), F.lit(False)).alias("_object"),
         text_at(entry, "$.type").alias("type"),
+        F.coalesce(*[F.when(field(entry, f"$.{name}").isNotNull(), True) for name in ("frame", "raw", "dir")], F.lit(False)).alias("_traffic"),
     ).select(
         *[c for c in lines.columns if c != "value"],
         F.when(entry.isNull(), "raw")
         .when(~F.col("_object"), "bad")
-        .when(F.col("type").rlike(rf"^{self_prefix}\."), "self")
+        .when(F.col("type").rlike(rf"^{self_prefix}\.") & ~F.col("_traffic"), "self")
         .otherwise("wire")
         .alias("record_kind"),
         "type",

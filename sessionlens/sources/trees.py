@@ -5,18 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Vendored or generated directories, and the largest file scanned.
+# Vendored or generated directories.
 SKIPPED = (
     "node_modules", ".git", "__pycache__", "venv", ".venv",
     "dist", "build", ".tox", ".mypy_cache", ".pytest_cache",
 )
-MAX_FILE_BYTES = 1_000_000
 
 
-def read_trees(spark: SparkSession, folder: str, max_file_bytes: int | None = MAX_FILE_BYTES) -> DataFrame:
+def read_trees(spark: SparkSession, folder: str, max_file_bytes: int | None = None) -> DataFrame:
     """Files as (repo, path, text); the first directory level names the repository.
 
-    Directories of vendored code are skipped, as are files over the size limit.
+    Directories of vendored code are skipped, as are files over a size limit the caller names.
     Bytes that are no UTF-8 become replacement characters.
     """
     files = (
@@ -30,7 +29,7 @@ def read_trees(spark: SparkSession, folder: str, max_file_bytes: int | None = MA
     return trees(placed, max_file_bytes)
 
 
-def trees(files: DataFrame, max_file_bytes: int | None = MAX_FILE_BYTES) -> DataFrame:
+def trees(files: DataFrame, max_file_bytes: int | None = None) -> DataFrame:
     """(below, length, content) rows as source files of repositories."""
     parts = F.split("below", "/")
     skipped = F.arrays_overlap(F.slice(parts, 1, F.size(parts) - 1), F.array(*[F.lit(d) for d in SKIPPED]))

@@ -124,8 +124,12 @@ def test_display_and_inline(spark):
     got = one(spark, lambda c: scan.inline_value(c, "tool"), ["web_search", "a b", GITHUB, "x" * 70, "`rm`", "ünï"])
     assert got == [
         "`web_search`", "[tool redacted · 3 chars]", f"[tool redacted · {len(GITHUB)} chars]",
-        "`" + "x" * 63 + "…`", "[tool redacted · 4 chars]", "`ünï`",
+        "`" + "x" * 70 + "`", "[tool redacted · 4 chars]", "`ünï`",
     ]
+    assert one(spark, lambda c: scan.inline_value(c, cap=8), ["x" * 70, "x" * 70 + GITHUB]) == [
+        "`" + "x" * 7 + "…`", f"[value redacted · {70 + len(GITHUB)} chars]",
+    ]
+    assert len(one(spark, scan.display, ["x " * 30_000])[0]) == 60_000
     assert one(spark, scan.escape_html, ["<a href='x'>&"]) == ["&lt;a href=&#x27;x&#x27;&gt;&amp;"]
 
 
