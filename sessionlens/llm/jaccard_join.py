@@ -10,9 +10,11 @@ from here on.
 
 Classes that share a prefix shingle are compared through its smallest class first.  Classes
 found connected need no further comparison, so a group of thousands of near copies costs a
-number of comparisons in proportion to its size.  Only shingles whose classes are still in
-several components are joined with themselves, by bands of set sizes and with bounds on the
-overlap left.  Nothing is capped; the frequent shingles only choose the order.
+number of comparisons in proportion to its size.  Only the classes of shingles that still
+lie in several components are compared with each other, block against block inside tasks, by
+sizes, places in the order and sketches of 1,024 parities, each a bound on the overlap; pairs
+that no bound rules out leave the task.  Nothing is capped; the frequent shingles only choose
+the order.
 
 Comparisons of one class with many run over a trie of their ordered sets, held as sorted sets
 with the length of the prefix that neighbours share: overlaps of a shared prefix are counted
@@ -49,6 +51,9 @@ LOCAL_COUNT, LOCAL_KEYS = 4, 1 << 20
 CLASS_SHIFT = np.uint64(58)
 EXTRA = 5
 PARTNERS_PER_TASK = 256
+SKETCH_BITS = 1024
+CLASSES_PER_BLOCK = 1024
+PAIRS_AT_ONCE = 1 << 16
 
 
 def shingle_sets(text: pa.Array, width: int, frequent: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -181,6 +186,85 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return owners.groupBy("owner", "part").cogroup(partners.groupBy("a", "salt")).applyInArrow(compare, "a bigint, b bigint")
 
 
+def sketch(keys: np.ndarray) -> np.ndarray:
+    """Parities of the numbers of shingles in 1,024 buckets, as 16 words.
+
+    Two sets differ in at least as many shingles as their sketches in bits.
+    """
+    odd = np.bincount((keys & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def near(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs ``a, b`` but for those whose sketches differ too much."""
+    ends = {x: sets.select(F.col("set").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}")) for x in "ab"}
+    differ = F.aggregate(
+        F.zip_with("s_a", "s_b", lambda p, q: F.bit_count(p.bitwiseXOR(q)).cast("bigint")), F.lit(0).cast("bigint"), lambda x, y: x + y
+    )
+    both = F.col("n_a") + F.col("n_b")
+    return pairs.join(ends["a"], "a").join(ends["b"], "b").filter((both - differ) * (num + den) >= both * 2 * num).select("a", "b")
+
+
+def across(side: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs ``a, b`` of classes that share a shingle, lie in different components and are not
+    ruled out by sizes, places in their orders or sketches.
+
+    The classes of a shingle are dealt in blocks of about 1,024 and blocks compared inside
+    tasks, so what leaves a task are the pairs that are left, not all pairs.
+    """
+    blocks = F.ceil(F.col("classes") / CLASSES_PER_BLOCK)
+    dealt = (
+        side.withColumn("own", F.pmod(F.xxhash64("set"), blocks))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
+        .select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set", "n", "at", "least", "root", "sketch")
+    )
+    names = ["token", "i", "j", "own", "set", "n", "at", "least", "root"]
+
+    def compared(cols: dict[str, np.ndarray], sketches: np.ndarray, a: int, b: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        c = {k: v[a:b] for k, v in cols.items()}
+        halves, words = c["i"][0] != c["j"][0], sketches[a:b]
+        left = c["n"] - c["at"]
+        step = max(1, PAIRS_AT_ONCE // (b - a))
+        for k in range(0, b - a, step):
+            x = slice(k, k + step)
+            n_x, n_y = c["n"][x, None], c["n"][None]
+            ok = (c["set"][x, None] < c["set"][None]) & (c["root"][x, None] != c["root"][None]) & (c["set"] != c["least"])[x, None]
+            ok &= np.minimum(n_x, n_y) * den >= np.maximum(n_x, n_y) * num
+            overlap = np.minimum(c["at"][x, None], c["at"][None]) + np.minimum(left[x, None], left[None])
+            ok &= overlap * (num + den) >= (n_x + n_y) * num
+            if halves:
+                ok &= c["own"][x, None] != c["own"][None]
+            p, q = np.nonzero(ok)
+            p += k
+            differ = np.bitwise_count((words[p] ^ words[q]).view(np.uint64)).sum(axis=1, dtype=np.int64)
+            both = c["n"][p] + c["n"][q]
+            rest = (both - differ) * (num + den) >= both * 2 * num
+            yield c["set"][p[rest]], c["set"][q[rest]]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cols = {k: np.zeros(0, np.int64) for k in names}
+        sketches = np.zeros((0, SKETCH_BITS // 64), np.int64)
+
+        def done(bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                for x, y in compared(cols, sketches, a, b):
+                    if len(x):
+                        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
+
+        for batch in batches:
+            cols = {k: np.r_[v, batch.column(k).to_numpy()] for k, v in cols.items()}
+            sketches = np.r_[sketches, batch.column("sketch").flatten().to_numpy().reshape(-1, SKETCH_BITS // 64)]
+            new = (cols["token"][1:] != cols["token"][:-1]) | (cols["i"][1:] != cols["i"][:-1]) | (cols["j"][1:] != cols["j"][:-1])
+            # the last block may go on in the next batch
+            bounds = np.r_[0, np.flatnonzero(new) + 1] if len(cols["token"]) else np.zeros(1, np.int64)
+            yield from done(bounds)
+            cols, sketches = {k: v[bounds[-1] :] for k, v in cols.items()}, sketches[bounds[-1] :]
+        if len(sketches):
+            yield from done(np.array([0, len(sketches)]))
+
+    return dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(compare, "a bigint, b bigint")
+
+
 def links(sets: DataFrame, num: int, den: int) -> DataFrame:
     """Linked pairs of classes that connect all classes linked directly or not."""
     posting = sets.select("set", "n", F.posexplode("rare").alias("at", "token"))
@@ -189,28 +273,19 @@ def links(sets: DataFrame, num: int, den: int) -> DataFrame:
         F.min("set").alias("a"), F.max("set").alias("z"), F.min_by("n", "set").alias("n_a"), F.count("*").alias("classes")
     ).filter("a <> z")
     stars = posting.join(tokens, "token").filter((F.col("set") != F.col("a")) & fits)
-    first = written(verified(stars.select("a", F.col("set").alias("b")).distinct(), sets, num, den))
+    stars = near(written(stars.select("a", F.col("set").alias("b")).distinct()), sets, num, den)
+    first = written(verified(written(stars), sets, num, den))
     groups = components(first, "a", "b")
 
-    # shingles of three classes or more that lie in several components: all pairs across them
+    # shingles of three classes or more that lie in several components: block against block
     root = F.coalesce("root", "set").alias("root")
     placed = (
-        posting.join(tokens.filter("classes > 2").select("token", F.col("a").alias("least")), "token")
-        .join(groups.withColumnRenamed("node", "set"), "set", "left").select("token", "set", "n", "at", "least", root)
+        posting.join(tokens.filter("classes > 2").select("token", F.col("a").alias("least"), "classes"), "token")
+        .join(groups.withColumnRenamed("node", "set"), "set", "left").select("token", "set", "n", "at", "least", "classes", root)
     )
     open_tokens = placed.groupBy("token").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s")
-    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(den / num))).cast("bigint")
-    side = placed.join(open_tokens.select("token"), "token").withColumn("band", band)
-    mine = side.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
-    x, y = mine.alias("x"), side.alias("y")
-    overlap = F.least("x.at", "y.at") + 1 + F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) - 1
-    rest = (
-        x.join(y, ["token", "band"])
-        .filter("x.set < y.set AND x.root <> y.root AND x.set <> x.least")
-        .filter(F.least("x.n", "y.n") * den >= F.greatest("x.n", "y.n") * num)
-        .filter(overlap * (num + den) >= (F.col("x.n") + F.col("y.n")) * num)
-        .select(F.col("x.set").alias("a"), F.col("y.set").alias("b")).distinct()
-    )
+    side = placed.join(open_tokens.select("token"), "token").join(sets.select("set", "sketch"), "set")
+    rest = across(side, num, den).distinct()
     second = written(verified(written(rest), sets, num, den))
     return first.unionByName(second)
 
@@ -237,7 +312,7 @@ def jaccard_groups(documents: DataFrame, width: int, num: int, den: int, id_colu
 
     answers = shared_keys(placed, prefixes, int(size * ((den - num) / den + 1 / EXTRA)) // 5)
     kind = placed.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, _file bigint, _row bigint, n_shingles bigint, class_id string, rare array<bigint>, shingles binary"
+    schema = f"doc_id {kind}, _file bigint, _row bigint, n_shingles bigint, class_id string, rare array<bigint>, sketch array<bigint>, shingles binary"
 
     def describe(left: pa.Table, right: pa.Table) -> pa.Table:
         left = left.sort_by("_row").combine_chunks()
@@ -246,7 +321,7 @@ def jaccard_groups(documents: DataFrame, width: int, num: int, den: int, id_colu
         token, row, hit = mark(text, left.column("_row").to_numpy(), right, prefixes)
         ends = np.searchsorted(row, np.arange(len(text) + 1))
         spot = np.arange(len(row)) - ends[row]
-        sigs, rare, blobs = [], [], []
+        sigs, rare, sketches, blobs = [], [], [], []
         for k in range(len(text)):
             own = keys[bounds[k] : bounds[k + 1]]
             sigs.append(hashlib.blake2b(own.tobytes(), digest_size=16).hexdigest() if len(own) else None)
@@ -257,18 +332,20 @@ def jaccard_groups(documents: DataFrame, width: int, num: int, den: int, id_colu
             # the plain prefix is all that pairs are made from
             some = some[: int(np.searchsorted(spot[mine], len(own) - -(-num * len(own) // den), "right"))]
             rare.append(some.astype(np.int64) if enough else None)
+            sketches.append(sketch(own) if enough else None)
             blobs.append(own.tobytes() if enough else None)
         return pa.table({
             "doc_id": left.column("doc_id"), "_file": left.column("_file"), "_row": left.column("_row"),
             "n_shingles": pa.array(np.diff(bounds)), "class_id": pa.array(sigs, pa.string()),
-            "rare": pa.array(rare, pa.list_(pa.int64())), "shingles": pa.array(blobs, pa.binary()),
+            "rare": pa.array(rare, pa.list_(pa.int64())),
+            "sketch": pa.array(sketches, pa.list_(pa.int64())), "shingles": pa.array(blobs, pa.binary()),
         })
 
     place = ["_file", "_part"]
     rows = written(placed.groupBy(*place).cogroup(answers.groupBy(*place)).applyInArrow(describe, schema))
     sets = written(
         rows.filter("rare IS NOT NULL").groupBy(F.col("class_id").alias("sig"))
-        .agg(F.first("n_shingles").alias("n"), F.first("rare").alias("rare"), F.first("shingles").alias("shingles"))
+        .agg(F.first("n_shingles").alias("n"), F.first("rare").alias("rare"), F.first("sketch").alias("sketch"), F.first("shingles").alias("shingles"))
         .withColumn("set", F.monotonically_increasing_id())
     )
     slim = written(rows.select("doc_id", "_file", "_row", "n_shingles", "class_id"))
