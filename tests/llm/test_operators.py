@@ -10,10 +10,10 @@ import pytest
 
 import corpus_pipeline
 from compare import compare, database
-from sessionlens.llm import queries
+from sessionlens.llm import jaccard_join, queries
 from sessionlens.llm.cover_tree import near_duplicates
 from sessionlens.llm.html_extract import extracted, main_text
-from sessionlens.llm.jaccard_join import jaccard_groups, probe
+from sessionlens.llm.jaccard_join import across, jaccard_groups, probe, sketch
 from sessionlens.llm.mixing import mixed_documents
 from sessionlens.llm.packing import best_fit, local_search, packed_documents
 from sessionlens.llm.places import with_place
@@ -103,6 +103,23 @@ def test_trie_probe_finds_the_same_as_sets():
             assert sorted(probe(owner, sets, num, 100)) == expected
 
 
+def test_blocks_lose_no_similar_pair(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "CLASSES_PER_BLOCK", 5)
+    rng = np.random.default_rng(5)
+    base = np.unique(rng.integers(0, 1 << 58, 300).astype(np.uint64))
+    sets = [np.unique(np.r_[base[rng.random(len(base)) > p], rng.integers(0, 1 << 58, int(300 * p)).astype(np.uint64)]) for p in rng.random(40) * 0.3]
+    rows = [(7, 40, k, len(s), 0, 0, k // 2, sketch(s).tolist()) for k, s in enumerate(sets)]
+    side = spark.createDataFrame(rows, "token bigint, classes bigint, set bigint, n bigint, at bigint, least bigint, root bigint, sketch array<bigint>")
+    similar = {
+        (x, y) for x in range(1, 40) for y in range(x + 1, 40)
+        if x // 2 != y // 2 and 100 * len(np.intersect1d(sets[x], sets[y])) >= 90 * len(np.union1d(sets[x], sets[y]))
+    }
+    found = [(r.a, r.b) for r in across(side, 90, 100).collect()]
+    assert len(similar) > 10 and similar <= set(found)
+    assert len(found) == len(set(found)) < 39 * 38 / 2
+    assert across(side.limit(0), 90, 100).count() == 0
+
+
 def test_secret_scan(documents, nothing):
     placed = with_place(documents, doc_id="doc_id", text="text")
     found = placed.join(secret_spans(placed), ["_file", "_row"]).collect()
