@@ -49,6 +49,15 @@ BASE_RULES = (
     Rule("access", "AKIA[A-Z0-9]+", 0, 16),
     Rule("hex", "[0-9a-f]{32,}"),
 )
+#: A private key from its header over all of its body: up to the END line, or, if none comes before
+#: other dashes than those of header fields and marked lines, to the last long run of base64 and the
+#: short line after it.  The body is followed by character classes, which take no stack.
+PEM = (
+    "-----BEGIN [A-Z ]*PRIVATE KEY-----"
+    "(?:[^-]*(?:-[^-]+){0,400}-{5,6}END [A-Z ]*PRIVATE KEY-----"
+    "|(?:[ \\t\\r\\n]*[A-Za-z][A-Za-z-]*: [^\\n]*\\n){0,8}[A-Za-z0-9+/=\\\\ \\t\\r\\n]*[A-Za-z0-9+/=]{20,}"
+    "(?:[ \\t\\r\\n]+[A-Za-z0-9+/]+={1,2}|[ \\t\\r]*\\n[ \\t]*[A-Za-z0-9+/]+[ \\t\\r]*(?:\\n|$))?)?"
+)
 #: Public token formats.
 MORE_RULES = (
     Rule("github", "gh[pousr]_[A-Za-z0-9]{36,}"),
@@ -56,7 +65,7 @@ MORE_RULES = (
     Rule("google", "AIza[A-Za-z0-9_-]{35}"),
     Rule("stripe", "sk_live_[A-Za-z0-9]{24,}"),
     Rule("jwt", "eyJ[A-Za-z0-9_-]{8,}[.]eyJ[A-Za-z0-9_-]{8,}[.][A-Za-z0-9_-]{8,}"),
-    Rule("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("pem", PEM),
 )
 RULES = BASE_RULES + MORE_RULES
 MOST_ALTERNATIVES = 512

@@ -133,6 +133,28 @@ def test_secret_scan(documents, nothing):
     assert trigram_query("(?:abcd|xyz)+q?") == [["abc", "bcd"], ["xyz"]]
 
 
+def test_no_part_of_a_private_key_stays(spark):
+    lines = ["".join("+/AZaz09"[(7 * k + j * j) % 8] for j in range(64)) for k in range(20_000)]
+    begin, end = "-----BEGIN RSA " + "PRIVATE KEY-----", "-----END RSA " + "PRIVATE KEY-----"
+    fields = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF\n\n"
+    body = "\n".join(lines[:25]) + "\nqUiCk9Zz=="
+    texts = {
+        1: (f"a\n{begin}\n{body}\n{end}\nb c.", "a\n[secret]\nb c."),
+        2: (f"a {begin}\n{fields}{body}\n{end} b", "a [secret] b"),
+        3: (f"a {begin}\n{body}\nb c.", "a [secret]\nb c."),
+        4: (f"a {begin}\n{fields}{body}", "a [secret]"),
+        5: (f"a {begin}\\n" + "\\n".join(lines[:9]) + f"\\n{end} b", "a [secret] b"),
+        6: (f"a {begin}\n" + "\n".join(lines) + f"\n{end} b", "a [secret] b"),
+        7: (f"a {begin}\n" + "\n".join(lines), "a [secret]"),
+        8: (f"a {begin}\n{lines[0]}\nqUiCk9Zz\nb - c.\n{begin}\n{body}\n{end} d", "a [secret]b - c.\n[secret] d"),
+        9: (f"a {begin}\n-" + "\n-".join(lines[:99]) + f"\n-{end} b", "a [secret] b"),
+        10: (f"a {begin} is a header, " + "x-" * 20_000 + "y", "a [secret] is a header, " + "x-" * 20_000 + "y"),
+    }
+    docs = spark.createDataFrame([(k, t, len(t)) for k, (t, _) in texts.items()], "doc_id bigint, text string, n_chars bigint")
+    masked = {r.doc_id: r.text for r in corpus_pipeline.secrets(spark, docs, SMALL).collect()}
+    assert masked == {k: want for k, (_, want) in texts.items()}
+
+
 def test_many_secrets_in_one_text(spark):
     text = "é token=abcdefgh " * 700
     placed = with_place(spark.createDataFrame([(1, text)], "doc_id int, text string"), doc_id="doc_id", text="text")
