@@ -22,7 +22,7 @@ from sessionlens.llm.secret_scan import secret_spans, trigram_query
 from sessionlens.llm.substring_dedup import substring_dedup
 from sessionlens.llm.token_files import decode_chunks, encode_chunk, read_token_files, write_token_files
 from sessionlens.llm.tokens import encoder, vocabulary
-from sessionlens.llm.toxicity import toxic_scores
+from sessionlens.llm.toxicity import DISCOUNT, PREFIXES, fit_toxicity, toxic_scores
 
 SMALL = "/root/testdata/sf0.001"
 LONG = " ".join(f"w{k % 701}" for k in range(20_000))
@@ -275,6 +275,60 @@ def test_toxicity(spark, nothing):
     assert toxic_scores(nothing, labels).count() == 0
 
 
+def kneser_ney(training, text):
+    """Mean margin of the words of ``text`` by plain dictionaries of all words and pairs."""
+    split = lambda t: re.findall("[a-z0-9]+", t)
+    pairs = [Counter(), Counter()]
+    for t, c in training:
+        pairs[c].update(zip(["", *split(t)], split(t), strict=False))
+    long, short = PREFIXES
+    forms = [lambda w: w, lambda w: (w[:long],), lambda w: (w[:short], 0)]
+    after = [[Counter(f(w) for _, w in pairs[c]) for c in (0, 1)] for f in forms]
+    every = [set(a[0]) | set(a[1]) for a in after]
+    kinds = [Counter({(w[:long],): 0 for w in every[0]}), Counter()]
+    kinds[0].update((w[:long],) for w in every[0])
+    kinds[1].update((u[0][:short], 0) for u in every[1])
+
+    def p(c, w, k=0):
+        u, total = forms[k](w), len(pairs[c])
+        both = after[k][0][u] + after[k][1][u]
+        if not both and k < 2:
+            return p(c, w, k + 1)
+        if k == 2:
+            if not both:
+                return 1.0
+            rest = (both + 0.5) / (len(pairs[0]) + len(pairs[1]) + 0.5 * (len(every[2]) + 1))
+        else:
+            parent = forms[k + 1](w)
+            seen = after[k + 1][0][parent] + after[k + 1][1][parent]
+            rest = p(c, w, k + 1) * (both + 0.5) / (seen + 0.5 * (kinds[k][parent] + 1))
+        return max(after[k][c][u] - DISCOUNT, 0) / total + DISCOUNT * len(after[k][c]) / total * rest
+
+    def full(c, previous, w):
+        own = {v: n for (u, v), n in pairs[c].items() if u == previous}
+        if not own:
+            return p(c, w)
+        return max(own.get(w, 0) - DISCOUNT, 0) / sum(own.values()) + DISCOUNT * len(own) / sum(own.values()) * p(c, w)
+
+    w = split(text)
+    return float(np.mean([np.log(full(1, u, v) / full(0, u, v)) for u, v in zip(["", *w], w, strict=False)]))
+
+
+def test_toxicity_keeps_every_word_and_pair(spark):
+    rng = np.random.default_rng(3)
+    vocabulary_ = [f"{'abcd'[k % 4] * 3}{'xyz'[k % 3] * (k % 5)}{k % 17}" for k in range(120)]
+    texts = [" ".join(rng.choice(vocabulary_, 12)) + (" vile" * (k % 2) if k % 3 == 0 else "") for k in range(90)]
+    texts += ["onceonly rareword", "unknownwords abcdxyz vilest"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, int(k % 3 == 0 or k == 90)) for k in range(91)], "doc_id bigint, toxic int")
+    training = [(texts[k], int(k % 3 == 0 or k == 90)) for k in range(91) if zlib.crc32(str(k).encode()) % 5 not in (0, 4)]
+    for r in toxic_scores(docs, labels).collect():
+        assert r.margins[0] == pytest.approx(kneser_ney(training, texts[r.doc_id]), abs=1e-5)
+    table = fit_toxicity(spark.createDataFrame([("a b a", 0), ("c d", 1)], "text string, label int"))
+    # four words, five pairs, the begin and as many prefixes of both lengths as words
+    assert table.count() == 4 + 5 + 1 + 4 + 4 and table.select("key").distinct().count() == table.count()
+
+
 def test_near_duplicate_vectors(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(30, 16))
