@@ -8,6 +8,9 @@ of both classes together.  So inflections of a rare word join, words that begin
 apart, and an expression that is rare in one class is judged by the shared counts.
 Continuation counts also keep copies of one text from passing for evidence.
 
+A word is read whole, a run of ASCII letters, digits and other characters; in scripts without
+spaces every character is a word, so their texts are judged by characters and pairs of them.
+
 The models are Spark tables under 64-bit hashes and are never gathered.  The margin of a pair
 in neither class is a sum of a part of each of its words, so a table holds per word these parts
 and per pair what it differs by.  A part of ``1 << PART_SHIFT`` rows of a file asks for each of
@@ -45,6 +48,12 @@ STRONGEST = 2
 DISCOUNT = 0.75
 #: Characters of the prefixes that whole words back off to.
 PREFIXES = (7, 4)
+#: Code points of scripts written without spaces: Thai, Lao, Tibetan, Myanmar, Tai, Khmer,
+#: Kana, Han and the forms made for both.
+UNSPACED = (
+    (0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19FF), (0x1A20, 0x1AAF), (0x2E80, 0x312F), (0x31A0, 0x9FFF),
+    (0xA9E0, 0xA9FF), (0xAA60, 0xAADF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1AFF0, 0x1B16F), (0x20000, 0x3FFFF),
+)
 MARGINS = 2 + 2 * len(PREFIXES)
 PART_SHIFT = 10
 LEVEL = {k: U(k * int(BASE) % 2**64) for k in PREFIXES}
@@ -57,13 +66,42 @@ def fold(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(FOLDS))
 
 
+def code_points(raw: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """The code points of the UTF-8 characters that begin at ``heads``."""
+    padded = np.r_[raw, np.zeros(3, np.uint8)].astype(np.int32)
+    lead = padded[heads]
+    code, more = lead.copy(), [padded[heads + k] & 0x3F for k in (1, 2, 3)]
+    two, three, four = (lead >= 0xC0) & (lead < 0xE0), (lead >= 0xE0) & (lead < 0xF0), lead >= 0xF0
+    code[two] = ((lead & 0x1F) << 6 | more[0])[two]
+    code[three] = ((lead & 0x0F) << 12 | more[0] << 6 | more[1])[three]
+    code[four] = ((lead & 0x07) << 18 | more[0] << 12 | more[1] << 6 | more[2])[four]
+    return code
+
+
 def words_of(text: pa.Array):
     """Yields (first row, last row, bytes, starts, lengths, rows' first words) of lower-cased
-    runs of letters and digits."""
+    runs of letters and digits; a character of a script without spaces is a word."""
     raw, offsets = text_buffer(text)
     for a, b in slices(offsets):
         part, own = LOWER[raw[offsets[a] : offsets[b]]], offsets[a : b + 1] - offsets[a]
-        yield a, b, part, *word_spans(part, own, NO_WORD)
+        starts, lengths, firsts = word_spans(part, own, NO_WORD)
+        wide = np.flatnonzero(part >= 0xE0)
+        code = code_points(part, wide)
+        alone = np.zeros(len(code), bool)
+        for first, last in UNSPACED:
+            alone |= (code >= first) & (code <= last)
+        if alone.any():
+            heads = wide[alone]
+            size = np.where(part[heads] >= 0xF0, 4, 3)
+            ends = starts + lengths
+            # a word begins at such a character and after it, where its run goes on
+            cuts = np.unique(np.concatenate([heads, heads + size]))
+            run = np.searchsorted(starts, cuts, "right") - 1
+            cuts = cuts[(cuts > starts[run]) & (cuts < ends[run])]
+            starts = np.sort(np.concatenate([starts, cuts]))
+            lengths = np.sort(np.concatenate([ends, cuts])) - starts
+            firsts = np.searchsorted(starts, own, "left").astype(np.int64)
+        yield a, b, part, starts, lengths, firsts
 
 
 def prefixes(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:

@@ -22,7 +22,7 @@ from sessionlens.llm.secret_scan import secret_spans, trigram_query
 from sessionlens.llm.substring_dedup import substring_dedup
 from sessionlens.llm.token_files import decode_chunks, encode_chunk, read_token_files, write_token_files
 from sessionlens.llm.tokens import encoder, vocabulary
-from sessionlens.llm.toxicity import DISCOUNT, PREFIXES, fit_toxicity, toxic_scores
+from sessionlens.llm.toxicity import DISCOUNT, PREFIXES, fit_toxicity, toxic_scores, words_of
 
 SMALL = "/root/testdata/sf0.001"
 LONG = " ".join(f"w{k % 701}" for k in range(20_000))
@@ -329,6 +329,19 @@ def test_toxicity_keeps_every_word_and_pair(spark):
     assert table.count() == 4 + 5 + 1 + 4 + 4 and table.select("key").distinct().count() == table.count()
 
 
+def test_toxicity_reads_whole_words_and_unspaced_scripts(spark):
+    texts = ["ab 漢字かな cd漢", "", "ไทย-привет x", "漢", "𠀀𠀁b é"]
+    (_, _, raw, starts, lengths, firsts), = words_of(pa.array(texts))
+    got = [[raw[starts[j] : starts[j] + lengths[j]].tobytes().decode() for j in range(firsts[k], firsts[k + 1])] for k in range(len(texts))]
+    assert got == [["ab", "漢", "字", "か", "な", "cd", "漢"], [], ["ไ", "ท", "ย", "привет", "x"], ["漢"], ["𠀀", "𠀁", "b", "é"]]
+    forms = [("counterfeiting", "counterfactual"), ("天気がとても悪意", "天気がとても良好"), ("предательство", "председатель")]
+    rows = [(k, f"{'one two three four'[: 3 + k % 15]} {forms[k // 2 % 3][k % 2]}") for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, 1 - k % 2) for k in range(600)], "doc_id bigint, toxic int")
+    scored = toxic_scores(docs, labels).filter("held_out").collect()
+    assert scored and all((r.score >= 0.5) == (r.doc_id % 2 == 0) for r in scored)
+
+
 def test_near_duplicate_vectors(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(30, 16))
