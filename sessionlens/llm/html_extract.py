@@ -1,13 +1,17 @@
 """Main text of web pages by block rules in two passes.
 
-A page is cut into blocks at block-level tags.  The first pass decides blocks by where they
-stand (menus, headers, footers, sidebars, notices, adverts, forms and comments are out; what
-else stands in an article or main element is in) and, in pages without such an element, by
-their length, link density and stop-word density.  Short blocks and headings stay open.  In
-the second pass an open block takes the label of its nearest decided neighbours: the common
-one, or else the nearer one's, and the later one's if both are as near (a heading belongs to
-what follows).  Surroundings are nobody's neighbours.  A page without a decided block keeps
-its open ones.
+A page is cut into blocks at block-level tags.  Menus, headers, footers, sidebars, notices,
+adverts, forms and comments known by element, class, id or role are out.  The first pass
+decides all other blocks by their length, link density and stop-word density.  Short blocks
+and headings stay open.  An article or main element is a prior of this pass: if it holds at
+least as much unlinked text as the good blocks beside it, ``PRIOR`` lowers the stop words asked
+for in it and raises those beside it, where short blocks are out; a smaller one (a teaser, a
+card) is judged like the rest of the page.  In the second pass an open block takes the label of
+its nearest decided neighbours: the common one, or else the nearer one's, and the later one's
+if both are as near (a heading belongs to what follows).  Surroundings are nobody's neighbours,
+nor is what stands beside a trusted article for the blocks in it.  A page without a decided
+block, or a trusted article without a good one, keeps its open ones.  A notice or comment in
+full sentences inside an article, without a known name, is not told from the article.
 
 White space includes all that Unicode calls so; a line break inside a block is white space.
 Every kept block is kept whole.
@@ -64,6 +68,7 @@ ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"
 SHORT, LONG = 70, 200
 MOST_LINKED = 0.5
 STOPS_LOW, STOPS_HIGH = 0.1, 0.2
+PRIOR = 0.1
 
 
 def surrounds(name: str, attributes: str, in_article: bool) -> bool:
@@ -156,41 +161,55 @@ def blocks(page: str) -> list[Block]:
     return found
 
 
+def decided(b: Block, prior: float = 0.0) -> bool | None:
+    """A block's label by its own text, None if open; ``prior`` lowers the stop words asked for."""
+    if b.linked > MOST_LINKED * len(b.text):
+        return None if b.heading and prior > 0 else False
+    if b.heading or len(b.text) < SHORT:
+        return None
+    words = b.text.lower().split()
+    stops = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
+    if len(b.text) >= LONG:
+        return stops >= STOPS_LOW - prior
+    return True if stops >= STOPS_HIGH - prior else None
+
+
+def first_pass(page_blocks: list[Block]) -> tuple[list[bool | None], bool]:
+    """Labels, and whether the page's article or main elements are its main part."""
+    labels = [False if b.outside else decided(b) for b in page_blocks]
+    marked = sum(len(b.text) - b.linked for b in page_blocks if b.article and not b.outside)
+    beside = sum(len(b.text) for b, label in zip(page_blocks, labels, strict=True) if label and not b.article)
+    if not any(b.article and not b.outside for b in page_blocks) or marked < beside:
+        return labels, False
+    labels = [False if b.outside else decided(b, PRIOR if b.article else -PRIOR) for b in page_blocks]
+    return [False if label is None and not b.article and not b.heading else label for b, label in zip(page_blocks, labels, strict=True)], True
+
+
 def main_text(page: str | None) -> str:
     """The kept blocks of a page, joined by an empty line."""
     page_blocks = blocks(page or "")
-    marked = any(b.article and not b.outside for b in page_blocks)
-    labels: list[bool | None] = []
-    for b in page_blocks:
-        if b.outside:
-            labels.append(False)
-        elif marked:
-            labels.append(b.article)
-        elif b.linked > MOST_LINKED * len(b.text):
-            labels.append(False)
-        elif b.heading or len(b.text) < SHORT:
-            labels.append(None)
-        else:
-            words = b.text.lower().split()
-            stops = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
-            good = stops >= STOPS_LOW if len(b.text) >= LONG else stops >= STOPS_HIGH
-            labels.append(True if good else (False if len(b.text) >= LONG else None))
-    before: list[tuple[bool, int] | None] = []
-    last = None
-    for k, label in enumerate(labels):
-        last = (label, k) if label is not None and not page_blocks[k].outside else last
-        before.append(last)
-    kept, following = [], None
-    for k in range(len(labels) - 1, -1, -1):
-        label = labels[k]
-        if label is not None:
-            following = following if page_blocks[k].outside else (label, k)
-        else:
-            sides = [s for s in (following, before[k]) if s is not None]
-            label = min(sides, key=lambda s: abs(s[1] - k))[0] if sides else True
+    labels, trusted = first_pass(page_blocks)
+    # an article without a block decided as main text keeps its open ones
+    bare = trusted and not any(label and b.article for b, label in zip(page_blocks, labels, strict=True))
+    sides: list[list[tuple[bool, int]]] = [[] for _ in labels]
+    for way in (range(len(labels) - 1, -1, -1), range(len(labels))):
+        last: dict[bool, tuple[bool, int]] = {}
+        for k in way:
+            b, label = page_blocks[k], labels[k]
+            # blocks beside a trusted article say nothing of the open ones in it
+            groups = (True, False) if b.article or not trusted else (False,)
+            if label is not None and not b.outside:
+                last.update((group, (label, k)) for group in groups)
+            elif label is None and (b.article or not trusted) in last:
+                sides[k].append(last[b.article or not trusted])
+    kept = []
+    for k, (b, label) in enumerate(zip(page_blocks, labels, strict=True)):
+        if label is None:
+            near = sides[k]  # the following one first
+            label = True if bare and b.article else (min(near, key=lambda s: abs(s[1] - k))[0] if near else True)
         if label:
-            kept.append(page_blocks[k].text)
-    return "\n\n".join(reversed(kept))
+            kept.append(b.text)
+    return "\n\n".join(kept)
 
 
 def extracted(pages: DataFrame) -> DataFrame:

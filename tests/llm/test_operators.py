@@ -374,6 +374,26 @@ def test_html(spark):
     assert extracted(frame.limit(0)).count() == 0
 
 
+def test_html_with_missing_or_misleading_markup():
+    story = "The people of the town were at the river and they had seen that it was high. " * 4
+    other = "It is what we have been told by all who were there when the water came in. " * 3
+    lines = "".join(f'<li><a href="/{k}">Another story of the day {k}</a></li>' for k in range(9))
+    want = "\n\n".join(x.strip() for x in ("Title", story, other))
+    # a teaser in the article, the story in a div
+    teaser = '<article><h3><a href="/x">Card</a></h3><p><a href="/x">More of this</a></p></article>'
+    assert main_text(f"<body>{teaser}<div><h1>Title</h1><p>{story}</p><p>{other}</p></div></body>") == want
+    assert main_text(f"<body><div><h1>Title</h1><p>{story}</p><p>{other}</p></div>{teaser}</body>") == want
+    # a list of links inside the article
+    assert main_text(f"<article><h1>Title</h1><p>{story}</p><ul>{lines}</ul><p>{other}</p></article>") == want
+    # a part of the story beside the article, and short lines beside it
+    assert main_text(f"<div>Sign in</div><article><h1>Title</h1><p>{story}</p></article><div>{other}</div><div>Go up</div>") == want
+    # the prior: an article in words without stop words, or of short blocks only
+    plain = "zorp quib larn " * 20
+    assert main_text(f"<div>Sign in</div><article><p>{plain}</p><p>zorp.</p></article><div>{plain}</div>") == f"{plain.strip()}\n\nzorp."
+    assert main_text(f"<div>Sign in</div><main><p>one</p><ul>{lines}</ul><p>two</p></main>") == "one\n\ntwo"
+    assert main_text(f"<p>{plain}</p><h1>Title</h1><p>{story}</p><p>{other}</p>") == want
+
+
 def test_pipeline_stages(spark, documents):
     docs = documents
     kept = corpus_pipeline.near_duplicates(spark, docs, SMALL)
