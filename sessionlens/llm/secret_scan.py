@@ -72,6 +72,16 @@ MOST_ALTERNATIVES = 512
 BREAK = "\0"
 
 
+def _repeated(inner: set[str], times: int) -> set[str]:
+    """Strings of ``times`` inner ones each, or of fewer if there were too many."""
+    out = inner
+    for _ in range(times - 1):
+        if len(out) * len(inner) > MOST_ALTERNATIVES:
+            break
+        out = {a + b for a in out for b in inner}
+    return out
+
+
 def _strings(items) -> set[str]:
     """Lower-cased strings a parsed pattern may match, with breaks for what is not fixed."""
     out = {""}
@@ -92,7 +102,7 @@ def _strings(items) -> set[str]:
             elif least == 0:
                 part = {BREAK}
             else:
-                part = {s * min(least, 8) + BREAK for s in _strings(inner)}
+                part = {s + BREAK for s in _repeated(_strings(inner), min(least, 8))}
         else:
             part = {BREAK}
         out = {a + b for a in out for b in part}

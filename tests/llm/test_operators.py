@@ -18,7 +18,7 @@ from sessionlens.llm.mixing import mixed_documents
 from sessionlens.llm.packing import best_fit, local_search, packed_documents
 from sessionlens.llm.places import with_place
 from sessionlens.llm.quality import fit_quality, judged, statistics
-from sessionlens.llm.secret_scan import secret_spans, trigram_query
+from sessionlens.llm.secret_scan import Rule, secret_spans, trigram_query
 from sessionlens.llm.substring_dedup import substring_dedup
 from sessionlens.llm.token_files import decode_chunks, encode_chunk, read_token_files, write_token_files
 from sessionlens.llm.tokens import encoder, vocabulary
@@ -162,6 +162,34 @@ def test_many_secrets_in_one_text(spark):
     assert [(s.start, s.end) for s in spans] == [m.span() for m in re.finditer("token=abcdefgh", text)]
 
 
+def test_trigram_queries_leave_no_match_out(spark):
+    assert trigram_query("(?:ab|cd){2}") == [["aba", "bab"], ["abc", "bcd"], ["cda", "dab"], ["cdc", "dcd"]]
+    rng = np.random.default_rng(7)
+    pick = lambda *some: some[rng.integers(len(some))]
+
+    def pattern(depth=0):
+        part = lambda: pattern(depth + 1) if depth < 1 else pick("a", "bc", "[ab]", "[abc]", "c", ".")
+        inner = pick(lambda: part() + part(), lambda: f"(?:{part()}|{part()})", lambda: part())()
+        return f"(?:{inner}){pick('', '', '+', '?', '{2}', '{3}', '{2,4}', '*', '{9}')}"
+
+    texts = ["".join(rng.choice(list("abc"), 12)) for _ in range(150)]
+    tried = 0
+    for _ in range(400):
+        p = pattern()
+        query = trigram_query(p)
+        for text in texts if query is not None else ():
+            if re.search(p, text):
+                tried += 1
+                assert any(all(g in text for g in grams) for grams in query), (p, text)
+    assert tried > 1000
+    placed = with_place(spark.createDataFrame([(1, "x abcd y"), (2, "x cabcc y"), (3, "abab"), (4, "ab")], "doc_id int, text string"), doc_id="doc_id", text="text")
+    rules = (Rule("two", "(?:ab|cd){2}"), Rule("three", "[abc]{3}"))
+    found = placed.join(secret_spans(placed, rules), ["_file", "_row"]).collect()
+    assert {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in found} == {
+        1: [("two", 2, 6), ("three", 2, 5)], 2: [("three", 2, 5)], 3: [("two", 0, 4), ("three", 0, 3)],
+    }
+
+
 def test_mixing(documents, nothing):
     rows = mixed_documents(documents, block=4).collect()
     assert len(rows) == documents.count()
