@@ -13,8 +13,9 @@ FRAME_COLUMNS = [
 ]
 
 
-def classify_frames(frames: DataFrame) -> DataFrame:
-    """One row per frame that becomes an event, with its role on the wire.
+def classify_frames(frames: DataFrame, *keep: str) -> DataFrame:
+    """One row per frame that becomes an event, with its role on the wire; ``keep`` names
+    further columns to carry along.
 
     Roles: raw, call, client_note, client_reply, client_request, server_message,
     response.  Lines with neither an object frame nor raw text, and object frames
@@ -24,7 +25,7 @@ def classify_frames(frames: DataFrame) -> DataFrame:
     # one cast takes the members an event's role depends on; it is null for no object
     top = "struct<method:variant,id:variant,result:variant,error:variant>"
     opened = computed_once(
-        frames.select(*FRAME_COLUMNS), F.try_variant_get(frame, "$", top).alias("top")
+        frames.select(*FRAME_COLUMNS, *keep), F.try_variant_get(frame, "$", top).alias("top")
     )
     request_id = F.col("top.id")
     parsed = computed_once(

@@ -9,11 +9,11 @@ from __future__ import annotations
 _K = "CAST(regexp_extract(props, '[0-9]+') AS INTEGER)"
 
 
-def wire(session: str = "'u' || user_id", extra: str = "") -> str:
+def wire(session: str = "'u' || user_id", extra: str = "", source: str = "events") -> str:
     """CTEs k, w (classified lines), p (pairing) and e (events)."""
     return f"""
 k AS (SELECT {session} AS session_id, {extra} event_id AS ord, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS ts,
-             event_type AS t, {_K} AS k FROM events),
+             event_type AS t, {_K} AS k FROM {source}),
 w AS (SELECT *, 't' || (k % 20) AS tool,
         CASE WHEN t = 'click' OR (t = 'view' AND k < 50) THEN 'call'
              WHEN t = 'view' AND k < 60 THEN 'client_note'
@@ -472,4 +472,34 @@ LIVE_SQL = {
         WHERE subcategory IN ('fabricated_tool_call', 'orphaned_response', 'schema_violation')""",
 }
 
-ORACLES = {**EVENT_SQL, **ROLLUP_SQL, **DAILY_SQL, **TEXT_SQL, **HOST_SQL, **TREE_SQL, **REPORT_SQL, **LIVE_SQL}
+# Four growing prefixes of the events, each with sessions of its own.
+_PREFIXES = """(SELECT events.*, n FROM events, (SELECT unnest(range(4)) AS n), (SELECT max(event_id) AS top FROM events)
+                WHERE floor(event_id * 4 / (top + 1)) <= n)"""
+_GROWING = f"WITH {wire(session="n || '|u' || user_id", source=_PREFIXES)}, {_FINDINGS}"
+_WATCHED = f"""{_GROWING}, seen AS (SELECT CAST(split_part(session_id, '|', 1) AS BIGINT) AS after, split_part(session_id, '|', 2) AS session_id,
+      seq, kind, subcategory, severity, explanation FROM f
+      WHERE subcategory IN ('fabricated_tool_call', 'orphaned_response', 'unknown_server_request', 'capability_violation'))"""
+
+GROWING_SQL = {
+    "live_changes": f"{_WATCHED} SELECT after, session_id, seq, subcategory, severity, explanation FROM seen",
+    "live_retractions": f"""{_WATCHED} SELECT after + 1 AS batch, session_id, seq, subcategory, count(*) AS copies FROM
+        (SELECT after, session_id, seq, subcategory, severity, explanation FROM seen WHERE after < 3 EXCEPT ALL
+         SELECT after - 1, session_id, seq, subcategory, severity, explanation FROM seen) GROUP BY ALL""",
+    "live_counters_feed": f"""{_WATCHED}, counted AS (SELECT CAST(split_part(session_id, '|', 1) AS BIGINT) AS batch,
+          split_part(session_id, '|', 2) AS session_id, count(*) AS frames,
+          count(*) FILTER (WHERE role = 'server_message' AND id IS NOT NULL) AS server_requests, bool_or(gate IS NOT NULL) AS gate_on FROM e GROUP BY 1, 2),
+        judged AS (SELECT after AS batch, session_id, count(*) FILTER (WHERE subcategory = 'fabricated_tool_call') AS fabricated,
+          count(*) FILTER (WHERE kind <> 'info' AND subcategory <> 'fabricated_tool_call') AS violations FROM seen GROUP BY 1, 2),
+        shown AS (SELECT batch, session_id, frames, coalesce(fabricated, 0) AS fabricated, coalesce(violations, 0) AS violations, server_requests, gate_on
+          FROM counted LEFT JOIN judged USING (batch, session_id))
+      SELECT a.batch, CASE WHEN b.session_id IS NULL THEN 'insert' ELSE 'update' END AS op, a.*EXCLUDE (batch)
+      FROM shown a LEFT JOIN shown b ON b.session_id = a.session_id AND b.batch = a.batch - 1
+      WHERE b.session_id IS NULL OR (a.frames, a.fabricated, a.violations, a.server_requests, a.gate_on)
+         IS DISTINCT FROM (b.frames, b.fabricated, b.violations, b.server_requests, b.gate_on)""",
+    "live_request_pairing": f"""WITH {WIRE} SELECT session_id, ord AS seq, role, responds_to, request AS request_seq, orphaned
+        FROM e WHERE role IN ('response', 'client_reply')""",
+    "live_open_requests": f"""WITH {WIRE}, z AS (SELECT *, lead(ord) OVER (PARTITION BY session_id, space, id ORDER BY ord) AS later FROM s WHERE space IS NOT NULL)
+      SELECT session_id, space, CAST(id AS VARCHAR) AS id_key, ord AS seq, label FROM z WHERE opens AND later IS NULL""",
+}
+
+ORACLES = {**EVENT_SQL, **ROLLUP_SQL, **DAILY_SQL, **TEXT_SQL, **HOST_SQL, **TREE_SQL, **REPORT_SQL, **LIVE_SQL, **GROWING_SQL}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +25,8 @@ from .plans.durable import shared_dir
 from .session import configure
 from .sinks import reports
 from .sources.logs import parse_records
-from .streaming.live import LiveFindings
+from .streaming.live import LiveFindings, LiveView
+from .streaming.state import PAIRED, live_pairing, open_requests
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -615,3 +617,74 @@ def live_findings(spark, folder):
     live = LiveFindings(spark, f"{work}/tables", (d.fabricated_calls, d.orphaned_responses, d.schema_violations))
     live.start(event_stream(spark, folder), f"{work}/checkpoint").awaitTermination()
     return live.findings().select("session_id", "seq", "subcategory", "severity", "explanation")
+
+
+#: Parts of the events table that arrive one after the other.
+STAGES = 4
+
+
+def growing_events(spark: SparkSession, folder: str, work: str):
+    """The events as a stream of frames whose source grows by a quarter of the ids at a time:
+    yields the part that has just been added, and the stream."""
+    rows = bridge.table(spark, folder, "events")
+    top = rows.agg(F.max("event_id")).first()[0] or 0
+    for part in range(STAGES):
+        rows.filter(F.floor(F.col("event_id") * STAGES / (top + 1)) == part).write.parquet(f"{work}/events/{part}")
+        yield part, bridge.event_frames(spark.readStream.schema(rows.schema).parquet(f"{work}/events/*"))
+
+
+def _live(spark: SparkSession, folder: str, view) -> LiveView:
+    """A view after four batches, each from its own start of the stream."""
+    work = f"{shared_dir(spark)}/live-{uuid.uuid4().hex}"
+    live = LiveView(spark, f"{work}/tables", view, buckets=8)
+    for _, frames in growing_events(spark, folder, work):
+        live.start(frames, f"{work}/checkpoint").awaitTermination()
+    return live
+
+
+def _watched(s: d.Sessions) -> DataFrame:
+    return d.detect(s, (d.fabricated_calls, d.orphaned_responses, d.server_requests))
+
+
+@query
+def live_changes(spark, folder):
+    """The findings after each batch, from the changes alone."""
+    live = _live(spark, folder, _watched)
+    states = [live.replayed(k).withColumn("after", F.lit(k).cast("bigint")) for k in range(STAGES)]
+    return reduce(DataFrame.unionByName, states).select("after", "session_id", "seq", "subcategory", "severity", "explanation")
+
+
+@query
+def live_retractions(spark, folder):
+    """The findings that a later declaration took back, by the batch that brought it."""
+    # details tell what is declared by now: they change while the finding stays
+    gone = _live(spark, folder, lambda s: _watched(s).drop("detail")).changes().filter("op = 'retract'")
+    return gone.select(F.col("batch").cast("bigint").alias("batch"), "session_id", "seq", "subcategory", "copies")
+
+
+@query
+def live_counters_feed(spark, folder):
+    """What a display of session counters would be sent after each batch."""
+    live = _live(spark, folder, lambda s: r.session_counters(s, _watched(s)))
+    shown = ["session_id", "frames", "fabricated", "violations", "server_requests", "gate_on"]
+    return live.feed("session_id").select(F.col("batch").cast("bigint").alias("batch"), "op", *[F.col(f"row.{c}") for c in shown])
+
+
+def _paired(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Answers that four batches gave, and the requests that stay open in the state."""
+    work = f"{shared_dir(spark)}/live-{uuid.uuid4().hex}"
+    for _, frames in growing_events(spark, folder, work):
+        sink = live_pairing(frames).writeStream.format("parquet").option("path", f"{work}/pairs")
+        sink.option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(PAIRED).parquet(f"{work}/pairs"), open_requests(spark, f"{work}/checkpoint")
+
+
+@query
+def live_request_pairing(spark, folder):
+    answers, _ = _paired(spark, folder)
+    return answers.select("session_id", "seq", "role", "responds_to", "request_seq", "orphaned")
+
+
+@query
+def live_open_requests(spark, folder):
+    return _paired(spark, folder)[1].select("session_id", "space", "id_key", "seq", "label")

@@ -1,90 +1,141 @@
-"""Findings and policy verdicts kept current while logs grow."""
+"""Views of sessions kept current while logs grow, with a table of their changes."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
-from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import MapType
 
 from ..functions.catalogue import ScanConfig
-from ..functions.jsonvalue import text_at
 from ..operators.detectors import DETECTORS, Detector, Sessions, detect
-from ..operators.events import classify_frames
-from ..operators.policy import HOLD_SECONDS
-from ..sources.logs import parse_records
-from .tail import SessionTail
 
 FRAME_TYPES = (
-    "session_id string, block bigint, ord bigint, seq bigint, ts string, dir string, "
+    "session_id string, epoch bigint, block bigint, ord bigint, seq bigint, ts string, dir string, "
     "frame variant, raw string, gate variant"
 )
+FRAME_NAMES = [c.split()[0] for c in FRAME_TYPES.split(", ")]
+VERSIONS = "session_id string, epoch bigint"
+BUCKETS = 64
 
 
-def tail_stream(spark: SparkSession, folder: str, tail_cap_bytes: int | None = None) -> DataFrame:
-    """Stream of log records as their lines are completed."""
-    spark.dataSource.register(SessionTail)
-    reader = spark.readStream.format("session_tail")
-    if tail_cap_bytes is not None:
-        reader = reader.option("tail_cap_bytes", str(tail_cap_bytes))
-    return parse_records(reader.load(folder).filter("trim(value) <> ''"))
+class BucketTable:
+    """A table of rows by bucket of their session and by batch.
 
+    A batch overwrites its own parts only, so repeating it changes nothing, and readers of
+    some sessions list and read only the buckets of these.
+    """
 
-class LiveFindings:
-    """Batches of frames and the findings of the sessions they touch, as two tables.
-
-    A later frame can change an earlier answer (a tool declared after its call, a
-    second frame with the same id), so every batch recomputes its touched sessions
-    with the batch plan over all their frames and writes the result under its batch
-    number.  Readers take the newest version of each session, which retracts the
-    older one.  A repeated batch overwrites its own folder, so results are exact
+    def __init__(self, spark: SparkSession, folder: str, buckets: int):
+        self.spark, self.folder, self.buckets = spark, folder, buckets
+        path = spark._jvm.org.apache.hadoop.fs.Path
+        system = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._exists = lambda place: system.exists(path(place))
+
+    def bucket(self):
+        return F.pmod(F.xxhash64("session_id"), F.lit(self.buckets)).cast("int")
+
+    def write(self, rows: DataFrame, number: int) -> None:
+        placed = rows.withColumn("bucket", self.bucket()).withColumn("batch", F.lit(number).cast("bigint"))
+        placed.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+            "bucket", "batch"
+        ).parquet(self.folder)
+
+    def read(self, schema: str, buckets: Sequence[int] | None = None, batch: int | None = None) -> DataFrame:
+        """Rows of some buckets (all by default), of one batch if named, with ``batch`` and ``bucket``."""
+        part = "" if batch is None else f"/batch={batch}"
+        chosen = range(self.buckets) if buckets is None else buckets
+        paths = [p for b in chosen if self._exists(p := f"{self.folder}/bucket={b}{part}")]
+        schema = f"{schema}, bucket int, batch bigint"
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("basePath", self.folder).parquet(*paths)
+
+
+class LiveView:
+    """Rows of a view over a stream of frames, and what each batch changed of them.
+
+    ``view`` turns ``Sessions`` into rows with a ``session_id``; a session's rows must depend
+    on its own frames only.  A later frame can change an earlier answer (a tool declared after
+    its call, a second frame with the same id), so a batch computes the view anew for the
+    sessions it touches, over all their frames, with the batch plan.  Frames, versions and
+    rows lie in buckets of sessions and only the touched buckets are read.  The difference
+    between the new rows and the last ones, as bags, is written under the batch number:
+    ``op`` insert or retract, ``copies``, and the columns of the view.
+
+    A frame of a higher ``epoch`` replaces all earlier ones of its session.  A repeated batch
+    overwrites its own parts and compares with the versions before it, so tables are exact
     after a restart.
     """
 
     def __init__(
-        self, spark: SparkSession, folder: str, detectors: Sequence[Detector] = DETECTORS,
-        config: ScanConfig = ScanConfig(),
+        self, spark: SparkSession, folder: str, view: Callable[[Sessions], DataFrame],
+        config: ScanConfig = ScanConfig(), buckets: int = BUCKETS,
     ):
-        self.spark, self.folder = spark, folder
-        self.detectors, self.config = detectors, config
-
-    def _path(self, table: str, batch: int | None = None) -> str:
-        return f"{self.folder}/{table}" + ("" if batch is None else f"/batch={batch}")
-
-    def frames(self, upto: int | None = None) -> DataFrame:
-        """All frames that still count: those since the last restart of their log."""
-        types = f"{FRAME_TYPES}, restarted boolean, batch bigint"
-        rows = self.spark.read.schema(types).parquet(self._path("frames"))
-        if upto is not None:
-            rows = rows.filter(F.col("batch") <= upto)
-        restarts = rows.filter("restarted").groupBy("session_id").agg(F.max("batch").alias("since"))
-        return (
-            rows.join(restarts, "session_id", "left")
-            .filter("since IS NULL OR batch >= since")
-            .drop("since", "restarted", "batch")
+        self.spark, self.folder, self.view, self.config = spark, folder, view, config
+        self.frames, self.versions, self.rows = (
+            BucketTable(spark, f"{folder}/{name}", buckets) for name in ("frames", "versions", "rows")
         )
 
     def absorb(self, batch: DataFrame, number: int) -> None:
-        """Add a batch of frames and write the new findings of its sessions."""
-        names = [c.split()[0] for c in FRAME_TYPES.split(", ")]
-        if "restarted" not in batch.columns:
-            batch = batch.withColumn("restarted", F.lit(False))
-        batch.select(*names, "restarted").write.mode("overwrite").parquet(self._path("frames", number))
-        written = self.spark.read.parquet(self._path("frames", number))
-        touched = written.select("session_id").distinct()
-        touched.write.mode("overwrite").parquet(self._path("versions", number))
-        current = self.frames(upto=number).join(touched, "session_id", "left_semi")
-        found = detect(Sessions(current, self.config), self.detectors)
-        found.write.mode("overwrite").parquet(self._path("findings", number))
-
-    def findings(self) -> DataFrame:
-        """The newest findings of every session."""
-        versions = self.spark.read.parquet(self._path("versions"))
-        newest = versions.groupBy("session_id").agg(F.max("batch").alias("batch"))
-        return self.spark.read.parquet(self._path("findings")).join(newest, ["session_id", "batch"]).drop("batch")
+        """Add a batch of frames, and write the new rows of its sessions and the changes."""
+        if "epoch" not in batch.columns:
+            batch = batch.withColumn("epoch", F.lit(0).cast("bigint"))
+        self.frames.write(batch.select(*FRAME_NAMES), number)
+        # a batch is read back by its number, as its source may not give the same rows again
+        arrived = self.frames.read(FRAME_TYPES, batch=number)
+        self.versions.write(arrived.groupBy("session_id").agg(F.max("epoch").alias("epoch")), number)
+        versions = self.versions.read(VERSIONS, batch=number)
+        touched = [r.bucket for r in versions.select("bucket").distinct().collect()]
+        now = versions.select("session_id", "epoch")
+        counting = self.frames.read(FRAME_TYPES, touched).filter(F.col("batch") <= number).join(now, ["session_id", "epoch"])
+        made = plain_columns(self.view(Sessions(counting.drop("batch", "bucket", "epoch"), self.config)))
+        self.rows.write(made, number)
+        schema = sql_schema(made)
+        new = self.rows.read(schema, touched, number).drop("batch", "bucket")
+        last = self._newest(touched, number - 1).join(now.select("session_id"), "session_id", "left_semi")
+        old = self.rows.read(schema, touched).join(last, ["session_id", "batch"]).select(*made.columns)
+        bag_difference(new, old).write.mode("overwrite").parquet(f"{self.folder}/changes/batch={number}")
+
+    def _newest(self, buckets: Sequence[int] | None, upto: int | None = None) -> DataFrame:
+        versions = self.versions.read(VERSIONS, buckets)
+        if upto is not None:
+            versions = versions.filter(F.col("batch") <= upto)
+        return versions.groupBy("session_id").agg(F.max("batch").alias("batch"))
+
+    def changes(self) -> DataFrame:
+        """``batch, op, copies`` and the columns of the view, for every change of every batch."""
+        return self.spark.read.parquet(f"{self.folder}/changes")
+
+    def current(self) -> DataFrame:
+        """The view now."""
+        schema = sql_schema(self.changes().drop("op", "copies", "batch"))
+        rows = self.rows.read(schema).join(self._newest(None), ["session_id", "batch"])
+        return rows.drop("batch", "bucket")
+
+    def replayed(self, upto: int) -> DataFrame:
+        """The view after a batch, from the changes alone."""
+        changes = self.changes().filter(F.col("batch") <= upto)
+        names = [c for c in changes.columns if c not in ("batch", "op", "copies")]
+        sign = F.when(F.col("op") == "insert", F.col("copies")).otherwise(-F.col("copies"))
+        kept = changes.groupBy(*names).agg(F.sum(sign).alias("copies")).filter("copies > 0")
+        return kept.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*names)
+
+    def feed(self, *key: str) -> DataFrame:
+        """Changes of a view whose rows have a key: ``batch, op`` (insert, update or delete), the
+        key and ``row``, the new row, or the last one of a deleted key."""
+        changes = self.changes()
+        row = F.struct(*[c for c in changes.columns if c not in ("batch", "op", "copies")])
+        inserted = F.col("op") == "insert"
+        return changes.groupBy("batch", *key).agg(
+            F.max(F.when(inserted, row)).alias("made"), F.max(F.when(~inserted, row)).alias("gone")
+        ).select(
+            "batch",
+            F.when(F.col("gone").isNull(), "insert").when(F.col("made").isNull(), "delete").otherwise("update").alias("op"),
+            *key, F.coalesce("made", "gone").alias("row"),
+        )
 
     def start(self, frames: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
         """Run over a stream of frames; ``trigger`` as for ``DataStreamWriter.trigger``."""
@@ -96,100 +147,35 @@ class LiveFindings:
         )
 
 
-# ---- verdicts per call, with a wait for the first surface -------------------------------------
-
-_VERDICT = StructType([
-    StructField("session_id", StringType()),
-    StructField("seq", LongType()),
-    StructField("tool_name", StringType()),
-    StructField("verdict", StringType()),
-])
-_SURFACE = StructType([StructField("names", ArrayType(StringType()))])
-_WAITING = StructType([
-    StructField("seq", LongType()), StructField("tool_name", StringType()), StructField("due", LongType()),
-])
-
-
-def _policy(hold_ms: int, enforce: bool, idle_ms: int) -> Callable[[], StatefulProcessor]:
-    class Policy(StatefulProcessor):
-        """Latest surface and waiting calls of one session."""
-
-        def init(self, handle: StatefulProcessorHandle) -> None:
-            self.handle = handle
-            self.surface = handle.getValueState("surface", _SURFACE, idle_ms)
-            self.waiting = handle.getListState("waiting", _WAITING, idle_ms)
-
-        def _names(self) -> set[str] | None:
-            return set(self.surface.get()[0]) if self.surface.exists() else None
-
-        def _verdict(self, tool: str, names: set[str]) -> str:
-            if tool in names:
-                return "forward"
-            return "blocked" if enforce else "gate_disabled"
-
-        def _release(self, names: set[str]) -> list[tuple]:
-            held = list(self.waiting.get()) if self.waiting.exists() else []
-            if held:
-                self.waiting.clear()
-            return [(seq, tool, self._verdict(tool, names)) for seq, tool, _ in held]
-
-        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-            names = self._names()
-            for batch in rows:
-                out = []
-                for row in batch.sort_values("ord").itertuples():
-                    if row.surface is not None:
-                        names = set(row.surface)
-                        self.surface.update((sorted(names),))
-                        out += self._release(names)
-                    elif names is not None:
-                        out.append((row.seq, row.tool_name, self._verdict(row.tool_name, names)))
-                    else:
-                        due = timerValues.getCurrentProcessingTimeInMs() + hold_ms
-                        self.waiting.appendValue((row.seq, row.tool_name, due))
-                        self.handle.registerTimer(due)
-                yield self._frame(key, out)
-
-        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-            now = expiredTimerInfo.getExpiryTimeInMs()
-            held = list(self.waiting.get()) if self.waiting.exists() else []
-            late = [h for h in held if h[2] <= now]
-            rest = [h for h in held if h[2] > now]
-            if late:
-                self.waiting.put(rest) if rest else self.waiting.clear()
-            yield self._frame(key, [(seq, tool, "gate_skipped") for seq, tool, _ in late])
-
-        @staticmethod
-        def _frame(key, rows: list[tuple]) -> pd.DataFrame:
-            return pd.DataFrame(
-                [(key[0], *row) for row in rows], columns=["session_id", "seq", "tool_name", "verdict"]
-            )
-
-    return Policy
-
-
-def live_policy(
-    frames: DataFrame, hold: float = HOLD_SECONDS, enforce: bool = True, idle_hours: float = 24.0
-) -> DataFrame:
-    """Stream of verdicts per call: a decision table, it blocks no traffic.
-
-    A call that finds no surface waits; the first listing decides it, or a timer
-    marks it as skipped.  State of a silent session expires after ``idle_hours``.
-    Needs the RocksDB state store.
-    """
-    frame = F.col("frame")
-    tools = F.try_variant_get(frame, "$.result.tools", "array<variant>")
-    names = F.filter(F.transform(tools, lambda t: text_at(t, "$.name")), lambda n: n.isNotNull())
-    rows = (
-        classify_frames(frames)
-        .filter("role IN ('call', 'response', 'server_message')")
-        .select(
-            "session_id", "ord", "seq", F.col("call_name").alias("tool_name"),
-            F.when((F.col("role") != "call") & tools.isNotNull(), names).alias("surface"),
-        )
-        .filter("tool_name IS NOT NULL OR surface IS NOT NULL")
-    )
-    processor = _policy(int(hold * 1000), enforce, int(idle_hours * 3_600_000))
-    return rows.groupBy("session_id").transformWithStateInPandas(
-        processor(), outputStructType=_VERDICT, outputMode="Append", timeMode="ProcessingTime"
+class LiveFindings(LiveView):
+    """The findings of the sessions of a stream; ``detail`` is a list of entries."""
+
+    def __init__(
+        self, spark: SparkSession, folder: str, detectors: Sequence[Detector] = DETECTORS,
+        config: ScanConfig = ScanConfig(), buckets: int = BUCKETS,
+    ):
+        super().__init__(spark, folder, lambda s: detect(s, detectors), config, buckets)
+
+    def findings(self) -> DataFrame:
+        """The newest findings of every session."""
+        return self.current()
+
+
+def plain_columns(rows: DataFrame) -> DataFrame:
+    """Maps as sorted lists of entries, which can be compared."""
+    maps = {f.name for f in rows.schema.fields if isinstance(f.dataType, MapType)}
+    return rows.select(*[F.array_sort(F.map_entries(c)).alias(c) if c in maps else F.col(c) for c in rows.columns])
+
+
+def sql_schema(rows: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+
+
+def bag_difference(new: DataFrame, old: DataFrame) -> DataFrame:
+    """``op, copies`` and the columns: what has to be inserted and retracted to get from the
+    rows of ``old`` to those of ``new``."""
+    signed = new.withColumn("copies", F.lit(1)).unionByName(old.withColumn("copies", F.lit(-1)))
+    net = signed.groupBy(*new.columns).agg(F.sum("copies").alias("copies")).filter("copies <> 0")
+    return net.select(
+        F.when(F.col("copies") > 0, "insert").otherwise("retract").alias("op"), F.abs("copies").alias("copies"), *new.columns
     )
