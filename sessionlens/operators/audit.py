@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from ..functions.jsonvalue import field, members, text_at
-from ..functions.source_scan import GATE, SCRIPT_GATE, file_findings, project_names
+from ..functions.python_facts import project_names, python_facts
+from ..functions.source_rules import (
+    NETWORK_MODULES,
+    PYTHON_CALLS,
+    TEXT_RULES,
+    UNSEEN,
+    WRITING,
+    HIDDEN,
+    candidate,
+    folded,
+    suppression,
+)
+from ..plans.blocks import computed_once
 
 RUBRIC_VERSION = "0.3"
 # Points taken once per rule by its worst severity, in order of severity.
@@ -96,30 +106,6 @@ def file_kind(path: Column) -> Column:
     )
 
 
-_SCAN_RESULT = StructType([
-    StructField("depth", StringType()),
-    StructField("findings", ArrayType(StructType([
-        StructField("rule", StringType()),
-        StructField("line", LongType()),
-        StructField("detail", StringType()),
-        StructField("count", LongType()),
-    ]))),
-])
-
-
-def _file_scan(markers: tuple[str, ...]):
-    @F.pandas_udf(_SCAN_RESULT)
-    def file_scan(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for texts, kinds in batches:
-            rows = [
-                (None, []) if text is None else file_findings(text, kind, markers)
-                for text, kind in zip(texts, kinds, strict=True)
-            ]
-            yield pd.DataFrame(rows, columns=["depth", "findings"])
-
-    return file_scan
-
-
 _PROJECT = StructType([
     StructField("package_name", StringType()),
     StructField("dependency_count", LongType()),
@@ -138,24 +124,137 @@ def project_facts():
     return facts
 
 
-def scan_files(sources: DataFrame, markers: tuple[str, ...] = MARKERS) -> DataFrame:
-    """Every scanned file with its kind, depth and findings: a map over the files.
+def scan_files(sources: DataFrame) -> DataFrame:
+    """Every scanned file with its kind, depth and, for Python, its calls and imports."""
+    files = sources.withColumn("kind", file_kind(F.col("path"))).filter("kind IS NOT NULL")
+    scanned = computed_once(files, python_facts()(F.when(F.col("kind") == "python", F.col("text"))).alias("facts"))
+    depth = F.when(F.col("facts").isNotNull(), "ast").when(F.col("kind").isin("python", "script"), "pattern")
+    return scanned.select("repo", "path", "kind", "text", depth.alias("depth"), "facts")
+
+
+# ---- hits of the rules ------------------------------------------------------------------------
+
+#: Place of the hits of calls and imports among those of the text rules.
+_CALLS = len(TEXT_RULES)
+_MARKER = _CALLS + 1
+_HITS = "array<struct<rule:string,line:bigint,detail:string,same:string>>"
 
-    Only Python files, and texts that hold a word some rule needs, reach Python.
+
+def _quoted(text: Column) -> Column:
+    """Text between quotes, with line ends and tabs written out."""
+    for char, name in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        text = F.replace(text, F.lit(char), F.lit(name))
+    quote = F.when(F.contains(text, F.lit("'")) & ~F.contains(text, F.lit('"')), '"').otherwise("'")
+    return F.concat(quote, text, quote)
+
+
+def _lines(pieces: Column, found: Column) -> Column:
+    """Line of each match, from the text between matches and the matches.
+
+    Only line ends and one mark a match are kept of both, so the marks on a line of what is
+    left are the matches that begin on this line of the text: one pass, however many matches.
     """
-    text = F.col("text")
-    wanted = (
-        (F.col("kind") == "python")
-        | text.rlike(GATE)
-        | ((F.col("kind") == "script") & text.rlike(SCRIPT_GATE))
+    ends = lambda s: F.regexp_replace(s, r"[^\n]+", "")
+    left = F.transform(
+        pieces, lambda s, k: F.concat(ends(s), F.when(k < F.size(found), F.concat(F.lit("x"), ends(F.get(found, k)))).otherwise(""))
     )
-    files = sources.withColumn("kind", file_kind(F.col("path"))).filter("kind IS NOT NULL")
-    scanned = files.withColumn("scan", _file_scan(markers)(F.when(wanted, text), F.col("kind")))
-    return scanned.select(
-        "repo", "path", "kind", "text",
-        F.coalesce("scan.depth", F.when(F.col("kind") == "script", "pattern")).alias("depth"),
-        F.col("scan.findings").alias("findings"),
+    marks = F.split(F.array_join(left, ""), "\n", -1)
+    return F.flatten(F.transform(marks, lambda x, k: F.array_repeat((k + 1).cast("bigint"), F.length(x))))
+
+
+def _called(facts: Column) -> Column:
+    """Hits of calls and imports by the fixed tables."""
+    by_name = F.create_map(*[F.lit(x) for pair in PYTHON_CALLS.items() for x in pair])
+
+    def judged(fact: Column) -> Column:
+        name, line = fact["name"], fact["line"]
+
+        def hit(rule, condition, detail):
+            made = F.struct(rule.alias("rule"), line.alias("line"), detail.alias("detail"), F.lit(None).cast("string").alias("same"))
+            return F.when(condition, made)
+
+        call, spawns = fact["verb"] == "call", name.startswith("subprocess.")
+        reaches = F.substring_index(name, ".", 1).isin(*NETWORK_MODULES)
+        rule = F.try_element_at(by_name, name)
+        return F.filter(F.array(
+            hit(rule, call & rule.isNotNull(), F.concat(name, F.lit("()"))),
+            hit(F.lit("cmd-exec"), call & spawns, F.concat(name, F.lit("()"))),
+            hit(F.lit("shell-injection"), call & spawns & fact["shell"], F.concat(name, F.lit("(shell=True)"))),
+            hit(F.lit("fs-write"), call & (name == "open") & fact["mode"].rlike(WRITING),
+                F.concat(F.lit("open(mode='"), fact["mode"], F.lit("')"))),
+            hit(F.lit("net-egress"), (fact["verb"] == "import") & reaches, F.concat(F.lit("imports "), name)),
+            hit(F.lit("net-egress"), (fact["verb"] == "from") & reaches, F.concat(F.lit("imports from "), name)),
+        ), lambda h: h.isNotNull())
+
+    return F.flatten(F.transform(facts, judged))
+
+
+def _matched() -> Column:
+    """Hits of the text rule of a row, from the columns ``shown``, ``found`` and ``lines``."""
+    rule = F.col("rule")
+    detail = lambda text: (
+        F.when(rule == "secret-hardcoded", F.concat("label", F.lit(": '"), F.substring(text, 1, 4), F.lit("…(redacted)'")))
+        .when(rule == UNSEEN.rule, F.concat(F.size("found").cast("string"), F.lit(" "), "label", F.lpad(F.hex(F.ascii(text)), 4, "0")))
+        .when(F.col("once"), F.col("label"))
+        .otherwise(F.concat("label", F.lit(": "), _quoted(text)))
+    )
+    # a directive that several patterns find at one line is one hit
+    hits = F.transform("shown", lambda text, k: F.struct(
+        rule.alias("rule"), F.get("lines", k).alias("line"),
+        F.when(F.col("no") == _MARKER, text).otherwise(detail(text)).alias("detail"),
+        F.when(rule == "tool-poisoning", text).alias("same"),
+    ))
+    return F.when(F.col("once"), F.slice(hits, 1, 1)).otherwise(hits)
+
+
+def rule_hits(files: DataFrame, markers: tuple[str, ...] = MARKERS) -> DataFrame:
+    """Every hit that its line does not suppress: ``repo, path, no, nth, rule, line, detail, same``.
+
+    One map over the files finds the rules that match, then the rows of these rules only are
+    searched for places.  Hits, not texts, are shuffled, by file.
+    """
+    remark = suppression(markers)
+    rules = (*TEXT_RULES, None, remark)
+    text, kind = F.col("text"), F.col("kind")
+    visible = F.regexp_replace(text, HIDDEN, "")
+    ends = F.regexp_replace(text, "\r\n|[\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]", "\n")
+    read = computed_once(files.select("repo", "path", "kind", "text", "facts"), folded(visible).alias("small"), F.when(text.rlike(HIDDEN), visible).alias("visible"))
+    tried = [
+        candidate(r, F.coalesce("visible", "text") if r.reads == "visible" else text, F.col("small"), kind)
+        for r in TEXT_RULES
+    ]
+    tried.append(F.size(F.coalesce("facts", F.array())) > 0)
+    tried.append(candidate(remark, ends, F.col("small"), kind))
+    numbers = F.filter(F.array(*[F.when(t, F.lit(k)) for k, t in enumerate(tried)]), lambda k: k.isNotNull())
+    rows = read.select("repo", "path", "text", "visible", "facts", F.explode(numbers).alias("no"))
+
+    def of_rule(value) -> Column:
+        return F.element_at(F.array(*[F.lit(value(r)) if r else F.lit(None) for r in rules]), F.col("no") + 1)
+
+    reads = of_rule(lambda r: r.reads)
+    known = computed_once(
+        rows,
+        F.when(reads == "visible", F.coalesce("visible", "text")).when(reads == "lines", ends).when(reads == "raw", text).alias("searched"),
+        of_rule(lambda r: r.regex()).alias("regex"), of_rule(lambda r: r.rule).alias("rule"), of_rule(lambda r: r.label).alias("label"),
+        of_rule(lambda r: r.group).alias("group"), F.coalesce(of_rule(lambda r: r.once), F.lit(False)).alias("once"),
+    )
+    searched = computed_once(
+        known,
+        F.regexp_extract_all("searched", F.col("regex"), F.lit(0)).alias("found"),
+        F.regexp_extract_all("searched", F.col("regex"), F.col("group")).alias("shown"),
+        F.split("searched", F.col("regex"), -1).alias("pieces"),
+    )
+    placed = computed_once(searched, _lines(F.col("pieces"), F.col("found")).alias("lines"))
+    hits = F.when(F.col("no") == _CALLS, _called(F.col("facts"))).otherwise(_matched()).cast(_HITS)
+    each = placed.select("repo", "path", "no", F.posexplode(hits).alias("nth", "hit")).select("repo", "path", "no", "nth", "hit.*")
+    own_line = Window.partitionBy("repo", "path", "line")
+    is_remark = F.col("no") == _MARKER
+    remarked = each.repartition("repo", "path").withColumn(
+        "scope", F.min(F.when(is_remark, F.struct("nth", F.col("detail").alias("names")))).over(own_line)["names"]
     )
+    named = F.transform(F.split("scope", ","), lambda n: F.trim(n))
+    dropped = F.coalesce((F.col("scope") == "") | F.array_contains(named, F.col("rule")), F.lit(False))
+    return remarked.filter(~is_remark & ~dropped).drop("scope")
 
 
 def _surface(count: Column) -> Column:
@@ -184,9 +283,13 @@ def project_rows(sources: DataFrame) -> DataFrame:
 
 def audit_findings(sources: DataFrame, markers: tuple[str, ...] = MARKERS) -> DataFrame:
     """One finding per (repository, rule, file): worst place first, with the hit count."""
-    files = scan_files(sources, markers)
-    in_text = files.select("repo", "path", F.inline("findings")).withColumn(
-        "severity", rule_severity(F.col("rule"))
+    files = scan_files(sources)
+    first = F.min(F.struct("no", "nth", "line", "detail"))
+    once = rule_hits(files, markers).groupBy(
+        "repo", "path", "rule", "line", F.coalesce("same", F.concat_ws("/", "no", "nth")).alias("same")
+    ).agg(first.alias("first"))
+    in_text = once.groupBy("repo", "path", "rule").agg(F.min("first").alias("first"), F.count("*").alias("count")).select(
+        "repo", "path", "rule", "first.line", "first.detail", "count", rule_severity(F.col("rule")).alias("severity")
     )
     manifests = package_facts(files).unionByName(project_rows(sources))
     surface = manifests.filter(F.col("dependency_count") > LARGE).select(
@@ -236,9 +339,9 @@ def scores(repos: DataFrame, findings: DataFrame) -> DataFrame:
     )
 
 
-def profiles(sources: DataFrame, markers: tuple[str, ...] = MARKERS) -> DataFrame:
+def profiles(sources: DataFrame) -> DataFrame:
     """Runtime, depth, size and package facts of every repository."""
-    files = scan_files(sources, markers)
+    files = scan_files(sources)
     counted = files.groupBy("repo").agg(
         F.count("*").alias("files_scanned"),
         F.count_if(F.col("kind") == "python").alias("python_files"),
