@@ -21,6 +21,7 @@ from ..functions.source_rules import (
     suppression,
 )
 from ..plans.blocks import computed_once
+from ..plans.durable import with_dense_number
 
 RUBRIC_VERSION = "0.3"
 # Points taken once per rule by its worst severity, in order of severity.
@@ -310,6 +311,21 @@ def audit_findings(sources: DataFrame, markers: tuple[str, ...] = MARKERS) -> Da
     return in_text.unionByName(surface).unionByName(unlicensed)
 
 
+def explained(findings: DataFrame, rules: DataFrame) -> DataFrame:
+    """Findings with category, title, reason and advice of their rule."""
+    facts = rules.select("rule", "category", "title", "why", "fix")
+    return findings.join(F.broadcast(facts), "rule", "left")
+
+
+def in_report_order(findings: DataFrame) -> DataFrame:
+    """Findings numbered from 1 within each repository: worst first, then by rule and path.
+
+    The numbers come from range partitions, so a repository is not one task.
+    """
+    ranked = findings.withColumn("rank", severity_rank(F.col("severity")))
+    return with_dense_number(ranked, ["repo"], ["rank", "rule", "path"], "nth").drop("rank")
+
+
 def deductions(findings: DataFrame) -> DataFrame:
     """Points per (repository, rule): its worst severity, once."""
     return (
@@ -398,6 +414,14 @@ def prevalence(repos: DataFrame, findings: DataFrame) -> DataFrame:
     )
 
 
+def survey_rows(scored: DataFrame, findings: DataFrame) -> DataFrame:
+    """Every repository with score, grade and its rules (at most one name a rule), numbered
+    from the lowest score; equal scores by name."""
+    tripped = findings.groupBy("repo").agg(F.array_sort(F.collect_set("rule")).alias("rules"))
+    rows = scored.join(tripped, "repo", "left").withColumn("rules", F.coalesce("rules", F.array().cast("array<string>")))
+    return with_dense_number(rows.withColumn("all", F.lit(0)), ["all"], ["score", "repo"], "nth").drop("all")
+
+
 def score_summary(scored: DataFrame) -> DataFrame:
     """Number of repositories and their median score (the upper one of two).
 

@@ -87,6 +87,12 @@ def session_summary(s: Sessions, violations: DataFrame) -> DataFrame:
     )
 
 
+def fabricated_rows(s: Sessions) -> DataFrame:
+    """Every call of a tool that its session never declares: ``session_id, ord, seq, tool``."""
+    strange = s.calls.join(s.declared_names, ["session_id", "tool_name"], "left_anti")
+    return strange.select("session_id", "ord", "seq", F.col("tool_name").alias("tool"))
+
+
 def error_taxonomy(events: DataFrame) -> DataFrame:
     """Protocol errors and failed tool results, one row each, kept apart."""
     frame = F.col("frame")

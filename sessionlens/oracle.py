@@ -502,4 +502,113 @@ GROWING_SQL = {
       SELECT session_id, space, CAST(id AS VARCHAR) AS id_key, ord AS seq, label FROM z WHERE opens AND later IS NULL""",
 }
 
-ORACLES = {**EVENT_SQL, **ROLLUP_SQL, **DAILY_SQL, **TEXT_SQL, **HOST_SQL, **TREE_SQL, **REPORT_SQL, **LIVE_SQL, **GROWING_SQL}
+# ---- audits of trees with every rule ---------------------------------------------------------------
+
+# What the snippets of ``bridge.document_tree`` hold: snippet, rule, line in it, hits, detail.
+_PLANTED = (
+    (0, "shell-injection", 2, 2, "os.system()"), (0, "cmd-exec", 4, 1, "subprocess.run()"), (0, "exec-dynamic", 5, 1, "eval()"),
+    (1, "net-egress", 1, 2, "imports from http"), (1, "fs-write", 3, 1, "open(mode='wb')"), (1, "fs-delete", 5, 1, "shutil.rmtree()"),
+    (3, "exec-dynamic", 1, 2, "pattern match: 'eval ('"),
+    (4, "net-egress", 1, 2, "pattern match: \"require('https')\""), (4, "shell-injection", 2, 1, "pattern match: 'execSync('"),
+    (5, "cmd-exec", 1, 1, "pattern match: 'child_process'"), (5, "fs-delete", 2, 2, "pattern match: 'rmSync('"),
+    (6, "runtime-install", 1, 1, "npx auto-install flag (-y/--yes)"),
+    (7, "unicode-hidden", 1, 1, "2 invisible/bidi character(s), first is U+202E"),
+    (8, "unicode-hidden", 1, 1, "1 invisible/bidi character(s), first is U+200B"), (8, "tool-poisoning", 1, 1, "directive text: 'ignore all\\nprevious instructions'"),
+    (9, "secret-hardcoded", 4, 4, "OpenAI-style secret key: 'sk-a…(redacted)'"),
+    (10, "tool-poisoning", 1, 2, "directive text: 'do not tell the user'"),
+    (14, "secret-hardcoded", 1, 1, "hardcoded Bearer token: 'aaaa…(redacted)'"),
+    (15, "secret-hardcoded", 1, 1, "possible hardcoded API key/secret: '0123…(redacted)'"),
+)
+_SUFFIX = ".py .py .py .js .ts .js .mjs .cjs .js .py .py .json - .py .js .py".split()
+_LEVELS = {
+    "secret-hardcoded": ("critical", "secrets"), "tool-poisoning": ("critical", "tool_poisoning"), "unicode-hidden": ("high", "tool_poisoning"),
+    "exec-dynamic": ("high", "supply_chain"), "shell-injection": ("high", "permissions"), "runtime-install": ("high", "supply_chain"),
+    "cmd-exec": ("note", "permissions"), "fs-delete": ("medium", "permissions"), "fs-write": ("note", "permissions"), "net-egress": ("low", "permissions"),
+}
+
+
+def _quote(value: object) -> str:
+    return str(value) if isinstance(value, int) else "'" + str(value).replace("'", "''") + "'"
+
+
+_TREE = f"""planted(variant, rule, place, hits, detail, severity, category) AS (VALUES {", ".join(
+    "(" + ", ".join(map(_quote, (*row, *_LEVELS[row[1]]))) + ")" for row in _PLANTED)}),
+suffixes AS (SELECT {list(_SUFFIX)} AS s),
+files AS (SELECT doc_id, source || '_' || lang AS repo, doc_id % 16 AS variant, s[doc_id % 16 + 1] AS suffix,
+    len(coalesce(text, '')) - len(replace(coalesce(text, ''), chr(10), '')) + 1 AS before, doc_id % 3 * 20 + 11 AS deps FROM documents, suffixes),
+af AS (SELECT repo, 'd' || doc_id || suffix AS path, rule, severity, category, before + place AS line, detail, hits AS count FROM files JOIN planted USING (variant)
+  UNION ALL SELECT repo, 'd' || doc_id || '/package.json', 'dep-surface', CASE WHEN deps > 50 THEN 'medium' ELSE 'low' END, 'supply_chain', 1,
+    deps || ' direct dependencies declared', 1 FROM files WHERE variant = 11 AND deps > 20
+  UNION ALL SELECT repo, '.', 'no-license', 'info', 'provenance', 0, 'no LICENSE/COPYING file found', 1 FROM files GROUP BY repo
+    HAVING NOT bool_or(variant = 12 AND doc_id % 3 = 0)),
+rk AS (SELECT *, list_position(['critical', 'high', 'medium', 'low', 'note', 'info'], severity) AS rank FROM af),
+ded AS (SELECT repo, rule, ['critical', 'high', 'medium', 'low', 'note', 'info'][min(rank)] AS severity, [25, 15, 8, 3, 0, 0][min(rank)] AS points,
+    sum(count)::BIGINT AS hits FROM rk GROUP BY 1, 2 HAVING [25, 15, 8, 3, 0, 0][min(rank)] > 0),
+scd AS (SELECT repo, greatest(0, 100 - coalesce(sum(points), 0))::INTEGER AS score FROM (SELECT DISTINCT repo FROM files) LEFT JOIN ded USING (repo) GROUP BY 1),
+grd AS (SELECT *, CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 70 THEN 'C' WHEN score >= 60 THEN 'D' ELSE 'F' END AS grade FROM scd),
+prf AS (SELECT repo, CASE WHEN py > 0 AND (js > 0 OR pk > 0) THEN 'mixed' WHEN py > 0 THEN 'python' WHEN js > 0 OR pk > 0 THEN 'node' ELSE 'unknown' END AS runtime,
+    py + js + pk AS files_scanned, py AS python_files, js AS script_files, py - broken AS depth_ast, js + broken AS depth_pattern, dependency_count
+  FROM (SELECT repo, count(*) FILTER (WHERE suffix = '.py') AS py, count(*) FILTER (WHERE suffix IN ('.js', '.ts', '.mjs', '.cjs')) AS js,
+          count(*) FILTER (WHERE suffix = '.json') AS pk, count(*) FILTER (WHERE variant = 2) AS broken,
+          coalesce(max_by(deps, 'd' || doc_id) FILTER (WHERE variant = 11), 0) AS dependency_count FROM files GROUP BY 1) WHERE py + js + pk > 0)"""
+
+_COMMAS = "CASE WHEN row_number() OVER (PARTITION BY document, section ORDER BY position) = 1 THEN '' ELSE ',' END"
+_SESSION_PARTS = f"""decl AS (SELECT DISTINCT session_id, tool FROM d), calls AS (SELECT session_id, ord, tool FROM e WHERE kind = 'tool_call'),
+fab AS (SELECT * FROM calls WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.session_id = calls.session_id AND d.tool = calls.tool)),
+errs AS (SELECT session_id, ord, CASE WHEN kind = 'state_change' AND has_error THEN 'protocol' ELSE 'tool' END AS what,
+    CASE WHEN has_error THEN 'e' || (k % 10) ELSE '{{"content":[],"isError":true}}' END AS message FROM e
+  WHERE (kind = 'state_change' AND has_error) OR (kind = 'tool_result' AND (has_error OR (t = 'purchase' AND k < 90 AND k % 7 = 0))))"""
+_FOUND_JSON = """'{"severity":' || severity || ',"subcategory":"' || subcategory || '","seq":' || seq || ',"explanation":"' || explanation || '"}'"""
+
+
+def _session_document(heads: str, *sections: tuple[str, str]) -> str:
+    """Lines of a JSON document: each section is its name and a SELECT of session_id, position, text."""
+    parts = [f"SELECT session_id AS document, 0 AS section, {heads} || '\"{sections[0][0]}\":[' AS text FROM e GROUP BY session_id"]
+    for k, (_, rows) in enumerate(sections):
+        after = f"],\"{sections[k + 1][0]}\":[" if k + 1 < len(sections) else "]}"
+        parts.append(f"SELECT document, section, {_COMMAS} || text FROM (SELECT session_id AS document, {2 * k + 1} AS section, position, text FROM ({rows}))")
+        parts.append(f"SELECT DISTINCT session_id, {2 * k + 2}, '{after}' FROM e")
+    return f"{_ALL}, {_SESSION_PARTS} " + " UNION ALL ".join(parts)
+
+
+_NAMED = "SELECT session_id, {at} AS position, '\"' || tool || '\"' AS text FROM {rows}"
+_FAB = "SELECT session_id, ord AS position, '{\"seq\":' || ord || ',\"tool\":\"' || tool || '\"}' AS text FROM fab"
+_ERR = "SELECT session_id, ord AS position, '{{\"seq\":' || ord || ',\"message\":\"' || replace(message, '\"', '\\\"') || '\"}}' AS text FROM errs WHERE what = '{what}'"
+_ANY = f"SELECT session_id, (seq, subcategory, explanation) AS position, {_FOUND_JSON} AS text FROM f"
+
+DOCUMENT_SQL = {
+    "tree_findings": f"WITH {_TREE} SELECT repo, row_number() OVER (PARTITION BY repo ORDER BY rank, rule, path) AS nth, path, rule, severity, category, line, detail, count FROM rk",
+    "tree_deductions": f"WITH {_TREE} SELECT repo, rule, severity, points, hits FROM ded",
+    "tree_profiles": f"WITH {_TREE} SELECT * FROM prf",
+    "survey_servers": f"""WITH {_TREE} SELECT row_number() OVER (ORDER BY score, repo) AS nth, repo, score, grade, coalesce(rules, '') AS rules
+        FROM grd LEFT JOIN (SELECT repo, string_agg(DISTINCT rule, ',' ORDER BY rule) AS rules FROM af GROUP BY 1) USING (repo)""",
+    "audit_report": f"""WITH {_TREE}, parts AS (
+        SELECT repo AS document, 1 AS section, (100 - points, rule, '') AS position, '{{"rule":"' || rule || '","severity":"' || severity || '","points":' || points || ',"hits":' || hits || '}}' AS text FROM ded
+        UNION ALL SELECT repo, 3, (rank, rule, path), '{{"rule":"' || rule || '","severity":"' || severity || '","path":"' || path || '","line":' || line || ',"detail":"' ||
+          replace(replace(detail, '\\', '\\\\'), '"', '\\"') || '","count":' || count || ',"why":"w","fix":"f"}}' FROM rk)
+      SELECT document, section, {_COMMAS} || text AS text FROM parts
+      UNION ALL SELECT repo, 0, '{{"rubric_version":"0.3",' || CASE WHEN runtime IS NULL THEN '' ELSE '"profile":{{"runtime":"' || runtime || '","files_scanned":' || files_scanned || ',"dependency_count":' || dependency_count || '}},' END ||
+          '"score":' || score || ',"grade":"' || grade || '","deductions":[' FROM grd LEFT JOIN prf USING (repo)
+      UNION ALL SELECT repo, 2, '],"findings":[' FROM grd UNION ALL SELECT repo, 4, ']}}' FROM grd""",
+    "fabricated_rows": f"{_ALL}, {_SESSION_PARTS} SELECT session_id, ord AS seq, tool FROM fab",
+    "report_surface": f"""{_ALL}, {_SESSION_PARTS} SELECT session_id, 'declared' AS side, tool AS position, tool, false AS fabricated FROM decl
+        UNION ALL SELECT calls.session_id, 'called', lpad(CAST(calls.ord AS VARCHAR), 19, '0'), calls.tool, fab.ord IS NOT NULL FROM calls LEFT JOIN fab ON fab.session_id = calls.session_id AND fab.ord = calls.ord""",
+    "summary_report": _session_document(
+        "'{\"session\":\"' || session_id || '\",\"frames_parsed\":' || count(*) FILTER (WHERE role <> 'raw') || ','",
+        ("declared_tools", _NAMED.format(at="tool", rows="decl")), ("called_tools", _NAMED.format(at="ord", rows="calls")),
+        ("unused_declared", _NAMED.format(at="tool", rows="decl WHERE NOT EXISTS (SELECT 1 FROM calls WHERE calls.session_id = decl.session_id AND calls.tool = decl.tool)")),
+        ("fabricated_calls", _FAB), ("protocol_errors", _ERR.format(what="protocol")), ("tool_errors", _ERR.format(what="tool")), ("context_violations", _ANY),
+    ),
+    "analysis_report": _session_document(
+        "'{\"session\":\"' || session_id || '\",'",
+        ("declared_tools", _NAMED.format(at="tool", rows="decl")), ("called_tools", _NAMED.format(at="ord", rows="calls")),
+        ("fabricated_calls", _FAB), ("annotations", _ANY),
+    ),
+    "recorded_records": f"""WITH {WIRE}, every AS (SELECT session_id, CASE ord % 7 WHEN 0 THEN 'self' WHEN 1 THEN 'raw' WHEN 2 THEN 'bad' END AS record_kind,
+          NULL::BIGINT AS seq, CASE WHEN ord % 7 = 0 THEN ord END AS frames_seen, CASE ord % 7 WHEN 1 THEN len('{{"seq":' || ord) WHEN 2 THEN 3 END AS raw_chars, NULL AS gate FROM e WHERE ord % 7 < 3
+        UNION ALL SELECT session_id, 'wire', ord, NULL, CASE WHEN role = 'raw' THEN len('line ' || k) END, gate FROM e)
+      SELECT session_id, record_kind, count(*) AS records, sum(seq)::BIGINT AS seqs, sum(frames_seen)::BIGINT AS frames_seen, sum(raw_chars)::BIGINT AS raw_chars, count(gate) AS gated FROM every GROUP BY 1, 2""",
+    "recorded_pairing": f"""WITH {WIRE} SELECT session_id, ord AS seq, responds_to, request AS request_seq, orphaned FROM e WHERE role IN ('response', 'client_reply')""",
+}
+
+ORACLES = {**EVENT_SQL, **ROLLUP_SQL, **DAILY_SQL, **TEXT_SQL, **HOST_SQL, **TREE_SQL, **REPORT_SQL, **LIVE_SQL, **GROWING_SQL, **DOCUMENT_SQL}

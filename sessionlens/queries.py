@@ -21,10 +21,10 @@ from .operators import provenance as pv
 from .operators import rollups as r
 from .operators.events import with_parents
 from .plans.blocks import computed_once, with_row_number
-from .plans.durable import shared_dir
+from .plans.durable import shared_dir, written
 from .session import configure
 from .sinks import reports
-from .sources.logs import parse_records
+from .sources.logs import parse_records, read_written, wire_frames
 from .streaming.live import LiveFindings, LiveView
 from .streaming.state import PAIRED, live_pairing, open_requests
 
@@ -688,3 +688,93 @@ def live_request_pairing(spark, folder):
 @query
 def live_open_requests(spark, folder):
     return _paired(spark, folder)[1].select("session_id", "space", "id_key", "seq", "label")
+
+
+# ---- audits of trees with every rule, and reports as JSON -----------------------------------
+
+
+def trees(spark: SparkSession, folder: str) -> DataFrame:
+    return bridge.document_tree(bridge.table(spark, folder, "documents"))
+
+
+@query
+def tree_findings(spark, folder):
+    found = a.in_report_order(a.explained(a.audit_findings(trees(spark, folder)), a.rules_table(spark)))
+    return found.select("repo", "nth", "path", "rule", "severity", "category", "line", "detail", "count")
+
+
+@query
+def tree_deductions(spark, folder):
+    return a.deductions(a.audit_findings(trees(spark, folder)))
+
+
+@query
+def tree_profiles(spark, folder):
+    return a.profiles(trees(spark, folder)).select(
+        "repo", "runtime", "files_scanned", "python_files", "script_files", "depth_ast", "depth_pattern", "dependency_count"
+    )
+
+
+@query
+def survey_servers(spark, folder):
+    sources = trees(spark, folder)
+    found = written(a.audit_findings(sources))
+    return a.survey_rows(a.scores(sources, found), found).select("nth", "repo", "score", "grade", F.array_join("rules", ",").alias("rules"))
+
+
+@query
+def audit_report(spark, folder):
+    sources = trees(spark, folder)
+    found = written(a.audit_findings(sources))
+    facts = a.profiles(sources).select("repo", "runtime", "files_scanned", "dependency_count")
+    lines = reports.audit_lines(a.explained(found, a.rules_table(spark)), a.scores(sources, found), a.deductions(found), facts)
+    # reasons and advice are our own sentences: their presence is compared, not their words
+    bare = F.regexp_replace("text", '"why":"[^"]+","fix":"[^"]+"', '"why":"w","fix":"f"')
+    return lines.select("document", "section", bare.alias("text"))
+
+
+@query
+def summary_report(spark, folder):
+    s = logs(spark, folder).stored()
+    return reports.summary_lines(s, wire_findings(s)).select("document", "section", "text")
+
+
+@query
+def analysis_report(spark, folder):
+    s = logs(spark, folder).stored()
+    return reports.analysis_lines(s, wire_findings(s)).select("document", "section", "text")
+
+
+@query
+def fabricated_rows(spark, folder):
+    return r.fabricated_rows(logs(spark, folder)).select("session_id", "seq", "tool")
+
+
+@query
+def report_surface(spark, folder):
+    return reports.report_surface(logs(spark, folder)).select("session_id", "side", "position", "tool", "fabricated")
+
+
+@query
+def recorded_records(spark, folder):
+    """The events written as session logs, with the recorder's own records, broken and blank
+    lines between them, and read back from the files."""
+    frames = bridge.event_frames(bridge.table(spark, folder, "events"))
+    mine = F.when(F.col("ord") % 7 == 0, F.format_string('{"type":"recorder.metrics","frames_seen":%d}', "ord")).when(
+        F.col("ord") % 7 == 1, F.format_string('{"seq":%d', "ord")).when(F.col("ord") % 7 == 2, "[1]").when(F.col("ord") % 7 == 3, " ")
+    extra = frames.select(F.col("session_id").alias("document"), F.lit(0).alias("section"), F.col("ord").alias("position"), mine.alias("text"))
+    place = f"{shared_dir(spark)}/logs-{uuid.uuid4().hex}"
+    reports.write_lines(reports.log_lines(frames).unionByName(extra.filter("text IS NOT NULL")), place)
+    return read_written(spark, place).groupBy("session_id", "record_kind").agg(
+        F.count("*").alias("records"), F.sum("seq").alias("seqs"), F.sum("frames_seen").alias("frames_seen"),
+        F.sum(F.length("raw")).alias("raw_chars"), F.count_if(F.col("gate").isNotNull()).alias("gated"),
+    )
+
+
+@query
+def recorded_pairing(spark, folder):
+    """Pairing after the events went through log files, whose order is that of their lines."""
+    place = f"{shared_dir(spark)}/logs-{uuid.uuid4().hex}"
+    reports.write_lines(reports.log_lines(bridge.event_frames(bridge.table(spark, folder, "events"))), place)
+    answers = d.Sessions(wire_frames(read_written(spark, place))).events.filter("role IN ('response', 'client_reply')")
+    return answers.select("session_id", "seq", "responds_to", F.col("request.seq").alias("request_seq"), "orphaned")

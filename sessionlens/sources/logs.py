@@ -99,6 +99,21 @@ def read_records(
     return parse_records(lines.withColumn("value", text).filter("value <> ''"), self_prefix)
 
 
+def read_written(spark: SparkSession, folder: str, self_prefix: str = "[A-Za-z0-9_-]+") -> DataFrame:
+    """Records of the logs that ``write_lines`` wrote: a folder a log, its files in order."""
+    lines = read_lines(spark, f"{folder}/document=*", "part-*")
+    part = F.regexp_extract("file_name", r"^part-(\d+)", 1).cast("bigint")
+    # a file of a log is under 1 TiB, so its splits fit below the number of the file
+    block = F.shiftleft(part, SPLIT_BITS) + F.col("block")
+    text = F.regexp_replace("value", r"^\s+|\s+$", "")
+    placed = lines.withColumns({
+        "session_id": F.regexp_extract("file_path", r"/document=([^/]*)/[^/]*$", 1),
+        "ord": F.shiftleft(part, SPLIT_BITS + ROW_BITS) + F.col("ord"), "block": block,
+        "value": text, "tail_only": F.lit(False),
+    })
+    return parse_records(placed.filter("value <> ''"), self_prefix)
+
+
 def parse_records(lines: DataFrame, self_prefix: str = "[A-Za-z0-9_-]+") -> DataFrame:
     """Log lines (column ``value``) as typed records."""
     entry = F.col("entry")
