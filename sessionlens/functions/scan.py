@@ -1,23 +1,24 @@
 """Sensitive-value hits, redaction and display of text columns.
 
-Ordinary texts (ASCII and Latin-1 letters, no token that may contain another) are
-scanned by JVM expressions.  The rest goes through one Arrow function that folds
-look-alikes, keeps offsets and applies the containment rule; rows that do not need
-it pass a null, which costs nothing.
+Texts of ASCII and Latin-1 letters are scanned and redacted by column expressions (see
+``spans``).  The rest goes through one Arrow function that folds look-alikes and keeps
+offsets; rows that do not need it pass a null, which costs nothing.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..plans.blocks import computed_once
 from .catalogue import COLUMN_VALIDATORS, GENERIC, STRUCTURAL, VALUE_VALIDATORS, Pattern, ScanConfig
+from .spans import firsts, islands, let, match_starts, not_inside, spliced
 from .unicode import PLAIN_TEXT, STABLE_TEXT, dropped, normalized, revealed
 
 HIT = "struct<category:string,severity:int,value:string>"
@@ -184,21 +185,72 @@ def _native_patterns(config: ScanConfig) -> list[Pattern]:
     return [
         p
         for p in config.patterns
-        if p.check is None and p.group <= 1 and (p.validator or "luhn") in COLUMN_VALIDATORS
+        if p.check is None and p.group <= 1 and (p.validator or "luhn") in COLUMN_VALIDATORS and p.lead is not None
     ]
 
 
-def _needs_offsets(text: Column) -> Column:
-    """Texts whose exact answer needs folding or the offsets of the containment rule."""
-    return ~text.rlike(STABLE_TEXT) | F.contains(text, F.lit("eyJ"))
+def _matches(text: Column, pattern: Pattern, number: int) -> Column:
+    """What a pattern finds in a text, null where it does not match: the text between matches,
+    the matches, their values, the length before each value and whether it is valid."""
+    lead, regex, group = pattern.lead
+    values = F.regexp_extract_all(text, F.lit(regex), F.lit(group))
+    leads = F.transform(F.regexp_extract_all(text, F.lit(regex), F.lit(1)), F.length) if lead else F.lit(None)
+    valid = F.transform(values, COLUMN_VALIDATORS[pattern.validator]) if pattern.validator else F.lit(None)
+    matched = text.rlike(pattern.regex)
+    hinted = _hinted(text, pattern)
+    return F.when(matched if hinted is None else hinted & matched, F.struct(
+        F.lit(number).alias("no"), F.lit(pattern.category).alias("category"), F.lit(pattern.severity).alias("severity"),
+        F.split(text, regex, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(regex), F.lit(0)).alias("whole"),
+        values.alias("values"), leads.cast("array<int>").alias("leads"), valid.cast("array<boolean>").alias("valid"),
+    ))
+
+
+def _placed(p: Column) -> Column:
+    """Valid hits of one pattern's matches, with their places."""
+    def hit(start: Column, k: Column) -> Column:
+        at = start + F.coalesce(F.get(p["leads"], k), F.lit(0))
+        value = F.get(p["values"], k)
+        return F.struct(
+            at.alias("a"), (at + F.length(value)).alias("b"), p["no"].alias("no"), p["category"].alias("category"),
+            p["severity"].alias("severity"), value.alias("value"), F.coalesce(F.get(p["valid"], k), F.lit(True)).alias("valid"),
+        )
+
+    return F.filter(F.transform(match_starts(p["pieces"], p["whole"]), hit), lambda h: h["valid"])
+
+
+def native_spans(text: Column, config: ScanConfig = DEFAULT, categories: Sequence[str] | None = None) -> Column:
+    """Hits of a text of ASCII and Latin-1 letters with their places, the first of each category
+    and value, without those of generic patterns inside a structural token; ``categories``
+    names some only."""
+    chosen = [(p, k) for k, p in enumerate(config.patterns) if categories is None or p.category in categories]
+    found = F.filter(F.array(*[_matches(text, p, k) for p, k in chosen]), lambda m: m.isNotNull())
+    return let(F.flatten(F.transform(found, _placed)), _kept_spans)
+
+
+def _kept_spans(spans: Column) -> Column:
+    free = not_inside(spans, lambda s: s["category"].isin(*STRUCTURAL), lambda s: s["category"].isin(*GENERIC))
+    return firsts(free, lambda s: F.struct(s["category"], s["value"]), lambda s: F.struct(s["no"], s["a"]))
+
+
+def _tags(text: Column, parts: Column) -> Column:
+    """The text with every island of hits replaced by a tag."""
+    size = lambda p: F.when(p["merged"], p["stop"] - p["start"]).otherwise(F.length(p["head"]["value"]))
+    return spliced(text, parts, lambda p: F.concat(
+        F.lit("["), p["head"]["category"], F.lit(" redacted · "), size(p).cast("string"), F.lit(" chars]")
+    ))
 
 
 def hits(text: Column, config: ScanConfig = DEFAULT) -> Column:
     """Validated sensitive values of a text: array of (category, severity, value)."""
     if len(_native_patterns(config)) < len(config.patterns):
         return _exact_hits(config)(text)
-    exact = _exact_hits(config)(F.when(_needs_offsets(text), text))
-    return F.coalesce(exact, _native_hits(text, config))
+    exact = _exact_hits(config)(F.when(~text.rlike(STABLE_TEXT), text))
+    plain, generic = _native_hits(text, config), lambda h: h["category"].isin(*GENERIC)
+    # only a text that may hold a token needs places, for what lies inside it
+    placed = F.filter(native_spans(text, config, (*STRUCTURAL, *GENERIC)), generic)
+    outside = F.transform(placed, lambda s: F.struct(s["category"].alias("category"), s["severity"].alias("severity"), s["value"].alias("value")))
+    native = F.when(F.contains(text, F.lit("eyJ")), F.concat(F.filter(plain, lambda h: ~generic(h)), outside)).otherwise(plain)
+    return F.coalesce(exact, native)
 
 
 def looks_like_secret(text: Column, min_severity: int = 3, config: ScanConfig = DEFAULT) -> Column:
@@ -216,17 +268,40 @@ def scan_form(text: Column) -> Column:
     return F.coalesce(_scan_form(F.when(~stable, text)), text)
 
 
-def redact(text: Column, config: ScanConfig = DEFAULT) -> Column:
-    """The text with sensitive values replaced by tags; withheld when one survives.
+def redacted(df: DataFrame, config: ScanConfig = DEFAULT, **columns: Column) -> DataFrame:
+    """Columns added by name: each text with sensitive values replaced by tags, withheld when
+    one survives.
 
-    A text without the shape of any pattern is returned as it is and never leaves the
-    JVM.  The argument of the Arrow function holds no lambda: Spark fails to match
-    repeated uses of such a function when it does.
+    A text without the shape of any pattern stays as it is.  Texts of ASCII and Latin-1
+    letters never leave the JVM; their spans, islands and splices are computed one after the
+    other, each once.  With patterns that only Python can check all texts go there.
     """
-    if len(_native_patterns(config)) < len(config.patterns):
-        return _exact_redaction(config)(text)
-    affected = ~text.rlike(STABLE_TEXT) | _may_hit(text, config)
-    return F.coalesce(_exact_redaction(config)(F.when(affected, text)), text)
+    native = len(_native_patterns(config)) == len(config.patterns)
+    names = list(columns)
+
+    def step(rows: DataFrame, prefix: str, value: Callable[[str], Column]) -> DataFrame:
+        return computed_once(rows, *[value(n).alias(f"_{prefix}_{n}") for n in names])
+
+    def col(prefix: str, name: str) -> Column:
+        return F.col(f"_{prefix}_{name}")
+
+    kept = [c for c in df.columns if c not in names]
+    rows = step(df, "text", lambda n: columns[n])
+    if native:
+        stable = lambda n: col("text", n).rlike(STABLE_TEXT)
+        rows = step(rows, "read", lambda n: F.when(stable(n) & _may_hit(col("text", n), config), col("text", n)))
+        rows = step(rows, "spans", lambda n: F.filter(native_spans(col("read", n), config), lambda s: s["b"] > s["a"]))
+        rows = step(rows, "parts", lambda n: islands(col("spans", n), lambda s: F.struct(s["category"], F.length(s["value"]))))
+        rows = step(rows, "made", lambda n: _tags(col("read", n), col("parts", n)))
+        rows = step(rows, "left", lambda n: F.size(native_spans(col("made", n), config)))
+        shown = {n: F.when(col("left", n) > 0, WITHHELD).otherwise(col("made", n)) for n in names}
+        exact = {n: _exact_redaction(config)(F.when(~stable(n), col("text", n))) for n in names}
+        values = {n: F.coalesce(exact[n], shown[n], col("text", n)) for n in names}
+    else:
+        values = {n: _exact_redaction(config)(col("text", n)) for n in names}
+    return computed_once(rows, *[values[n].alias(f"_out_{n}") for n in names]).select(
+        *kept, *[col("out", n).alias(n) for n in names]
+    )
 
 
 def reveal(text: Column) -> Column:
@@ -243,9 +318,16 @@ def clamp(text: Column, limit: int | None = None) -> Column:
     return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit), note)).otherwise(text)
 
 
-def display(text: Column, config: ScanConfig = DEFAULT, limit: int | None = None) -> Column:
-    """Redact, then reveal, then clamp if a limit is named; a missing text is shown as empty."""
-    return F.coalesce(clamp(reveal(redact(text, config)), limit), F.lit(""))
+def shown_form(text: Column, limit: int | None = None) -> Column:
+    """A redacted text as it is displayed; a missing one is empty."""
+    return F.coalesce(clamp(reveal(text), limit), F.lit(""))
+
+
+def displayed(df: DataFrame, config: ScanConfig = DEFAULT, limit: int | None = None, **columns: Column) -> DataFrame:
+    """Columns added by name: redacted, then revealed, then clamped if a limit is named; a missing
+    text is shown as empty."""
+    shown = redacted(df, config, **columns)
+    return shown.withColumns({n: shown_form(F.col(n), limit) for n in columns})
 
 
 def escape_html(text: Column) -> Column:

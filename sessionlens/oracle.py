@@ -425,15 +425,15 @@ TREE_SQL = {
     "audit_advisory": f"""WITH {_AUDIT} SELECT repo AS document, CASE severity WHEN 'critical' THEN 3 ELSE 1 END AS severity,
         '- **[`' || severity || '`] `' || rule || '`** — `base/' || path || ':' || line || '`: flagged by this rule. Open the file to inspect.' AS text FROM af""",
     "provenance_findings": f"""WITH {_DEPS}, al AS (
-        SELECT repo, ecosystem, manifest, 'prov-not-in-registry' AS rule, 'high' AS severity, 'declared dependency not found in the ' || ecosystem || ' registry (possible typosquat or private-name confusion)' AS detail FROM jn WHERE status = 'not_found'
-        UNION ALL SELECT repo, ecosystem, manifest, 'prov-deprecated', 'medium', 'the latest release is marked ' || CASE ecosystem WHEN 'pypi' THEN 'yanked' ELSE 'deprecated' END || ' by the registry' FROM jn WHERE status = 'ok' AND p_size % 7 = 0
-        UNION ALL SELECT repo, ecosystem, manifest, 'prov-stale', 'low', 'newest release is ' || (p_size * 30) || ' days old (> 730); the package may be unmaintained' FROM jn WHERE status = 'ok' AND p_size * 30 > 730
-        UNION ALL SELECT repo, ecosystem, manifest, 'prov-single-maintainer', 'note', 'the package has a single maintainer (bus-factor 1)' FROM jn WHERE status = 'ok' AND ecosystem = 'npm' AND p_size % 4 = 0
-        UNION ALL SELECT repo, ecosystem, manifest, 'prov-unsigned', 'note', 'no build provenance / signature attestation on the latest release' FROM jn WHERE status = 'ok' AND p_size % 3 <> 0
-        UNION ALL SELECT repo, '', '', 'prov-unavailable', 'note', count(*) || ' dependenc' || CASE WHEN count(*) = 1 THEN 'y' ELSE 'ies' END || ' could not be checked (registry unreachable and no cache); provenance is incomplete' FROM jn WHERE status IS NULL GROUP BY repo)
+        SELECT repo, ecosystem, manifest, 'prov-not-in-registry' AS rule, 'high' AS severity, 'the ' || ecosystem || ' registry does not know this dependency: a misspelt name or a private one' AS detail FROM jn WHERE status = 'not_found'
+        UNION ALL SELECT repo, ecosystem, manifest, 'prov-deprecated', 'medium', 'the registry lists the newest release as ' || CASE ecosystem WHEN 'pypi' THEN 'yanked' ELSE 'deprecated' END FROM jn WHERE status = 'ok' AND p_size % 7 = 0
+        UNION ALL SELECT repo, ecosystem, manifest, 'prov-stale', 'low', 'no release for ' || (p_size * 30) || ' days, over the limit of 730' FROM jn WHERE status = 'ok' AND p_size * 30 > 730
+        UNION ALL SELECT repo, ecosystem, manifest, 'prov-single-maintainer', 'note', 'one account alone maintains the package' FROM jn WHERE status = 'ok' AND ecosystem = 'npm' AND p_size % 4 = 0
+        UNION ALL SELECT repo, ecosystem, manifest, 'prov-unsigned', 'note', 'the newest release carries neither signature nor attestation' FROM jn WHERE status = 'ok' AND p_size % 3 <> 0
+        UNION ALL SELECT repo, '', '', 'prov-unavailable', 'note', count(*) || ' dependenc' || CASE WHEN count(*) = 1 THEN 'y' ELSE 'ies' END || ' without an answer of the registry: the check is incomplete' FROM jn WHERE status IS NULL GROUP BY repo)
       SELECT repo, ecosystem, manifest, rule, severity, detail, count(*) AS packages FROM al GROUP BY ALL""",
     "provenance_notes": f"""WITH {_DEPS} SELECT repo, 'note' AS severity, count(*) || ' dependenc' || CASE WHEN count(*) = 1 THEN 'y' ELSE 'ies' END
-        || ' could not be checked (registry unreachable and no cache); provenance is incomplete' AS detail FROM jn WHERE status IS NULL OR status = 'error' GROUP BY repo""",
+        || ' without an answer of the registry: the check is incomplete' AS detail FROM jn WHERE status IS NULL OR status = 'error' GROUP BY repo""",
     "registry_facts": f"""WITH {_DEPS} SELECT 'p' || part AS name, status, p_size % 7 = 0 AS deprecated, strftime(DATE '2026-07-05' - (p_size * 30)::INTEGER, '%Y-%m-%d') AS newest,
         CASE WHEN part % 2 = 1 THEN NULL WHEN p_size % 4 = 0 THEN 1 ELSE 2 END AS maintainers, p_size % 3 = 0 AS signed FROM rg""",
 }
@@ -445,8 +445,8 @@ REPORT_SQL = {
       SELECT DISTINCT f.session_id, subcategory || ':' || f.seq AS print, CASE severity WHEN 3 THEN 'error' WHEN 2 THEN 'warning' ELSE 'note' END AS level, line
       FROM f JOIN num USING (session_id, seq) WHERE kind <> 'info' AND subcategory <> 'fabricated_tool_call'""",
     "runtime_advisory": f"""{_ALL} SELECT session_id AS document, seq AS ord, severity, '- **[' || CASE severity WHEN 3 THEN 'critical' ELSE 'warning' END || ']' ||
-        CASE subcategory WHEN 'premature_call' THEN ' Premature call** — a tools/call arrived before notifications/initialized.'
-          WHEN 'surface_change' THEN ' Surface change** — the tool list changed mid-session; delta: `' || replace(regexp_extract(explanation, '\\[''(.*)''\\]', 1), ''', ''', '`, `') || '`.'
+        CASE subcategory WHEN 'premature_call' THEN ' Early call** — a tool was called before the handshake had ended.'
+          WHEN 'surface_change' THEN ' Changed surface** — later listings differ from the first; difference: `' || replace(regexp_extract(explanation, '\\[''(.*)''\\]', 1), ''', ''', '`, `') || '`.'
           ELSE '** flagged by `' || subcategory || '` at severity ' || severity || '.' END AS text FROM f WHERE severity >= 2""",
     "session_report": f"""{_ALL} SELECT e.session_id, row_number() OVER (PARTITION BY e.session_id ORDER BY ord) - 1 AS row_index,
         CASE WHEN e.kind = 'tool_call' THEN 'tools/call · ' || tool

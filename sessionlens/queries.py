@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from . import bridge
 from .functions.catalogue import entropy, entropy_by_alphabet, luhn
 from .functions.hosts import is_trusted, netloc_hosts
-from .functions.scan import display, hits, inline_value, looks_like_secret, redact
+from .functions.scan import displayed, hits, inline_value, looks_like_secret, redacted
 from .operators import audit as a
 from .operators import detectors as d
 from .operators import drift as dr
@@ -359,7 +359,7 @@ def result_leaks(spark, folder):
 
 @query
 def redacted_documents(spark, folder):
-    shown = text_of(spark, folder).withColumn("shown", redact(F.col("text")))
+    shown = redacted(text_of(spark, folder), shown=F.col("text"))
     return shown.select(
         "doc_id", F.length("shown").alias("chars"), (F.col("shown") != F.col("text")).alias("changed"),
         F.md5("shown").alias("digest"),
@@ -368,7 +368,7 @@ def redacted_documents(spark, folder):
 
 @query
 def displayed_documents(spark, folder):
-    shown = text_of(spark, folder).withColumn("shown", display(F.col("text")))
+    shown = displayed(text_of(spark, folder), shown=F.col("text"))
     return shown.select("doc_id", F.length("shown").alias("chars"), F.md5("shown").alias("digest"))
 
 
@@ -504,7 +504,7 @@ def survey_scores(spark, folder):
 @query
 def audit_sarif(spark, folder):
     sources = repos(spark, folder)
-    found = a.audit_findings(sources)
+    found = written(a.audit_findings(sources))
     lines = reports.audit_sarif(found, a.scores(sources, found))
     return lines.groupBy("document", "section").agg(
         F.count("*").alias("lines"), F.count_if(F.startswith("text", F.lit(","))).alias("commas")
