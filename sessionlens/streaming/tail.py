@@ -67,7 +67,7 @@ def completed_lines(path: str, start: int, stop: int) -> Iterator[tuple[int, byt
 
 
 def listed_logs(spark: SparkSession, folders: list[str], suffix: str) -> DataFrame:
-    """``log, size`` of the files in each folder, listed by one task a folder."""
+    """``log, size, mtime`` of the files in each folder, listed by one task a folder."""
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -79,10 +79,11 @@ def listed_logs(spark: SparkSession, folders: list[str], suffix: str) -> DataFra
                 yield pa.RecordBatch.from_pydict({
                     "log": pa.array([scheme + f.path for f in found], pa.string()),
                     "size": pa.array([f.size for f in found], pa.int64()),
+                    "mtime": pa.array([f.mtime for f in found], pa.timestamp("us", "UTC")),
                 })
 
     rows = spark.createDataFrame([(f,) for f in folders], "folder string")
-    return rows.repartition(len(folders), "folder").mapInArrow(entries, "log string, size bigint")
+    return rows.repartition(len(folders), "folder").mapInArrow(entries, "log string, size bigint, mtime timestamp")
 
 
 def next_offsets(before: DataFrame, listing: DataFrame, tail_cap: int | None) -> DataFrame:

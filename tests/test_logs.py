@@ -1,13 +1,15 @@
 """Reading, writing and reporting session logs on disk."""
 
+import io
 import json
+import random
 
 from pyspark.sql import functions as F
 
 from sessionlens.operators import rollups as r
 from sessionlens.operators.detectors import Sessions, detect
 from sessionlens.sinks import reports
-from sessionlens.sources.capture import OVERSIZE, sse_frames
+from sessionlens.sources.capture import OVERSIZE, TERMINATOR, completed_events, read_captures, sse_frames
 from sessionlens.sources.logs import (
     list_logs, metrics_records, numbered_lines, read_lines, read_records, wire_frames,
 )
@@ -127,6 +129,41 @@ def test_event_stream_bodies(spark):
     assert rows[4].frame.toPython() == json.loads(OVERSIZE)
 
 
+def whole_events(data):
+    at, events = 0, []
+    for found in TERMINATOR.finditer(data):
+        events.append((at, data[at : found.start()], False))
+        at = found.end()
+    return [*events, (at, data[at:], True)]
+
+
+def test_events_of_every_range():
+    rng = random.Random(5)
+    for _ in range(200):
+        data = b"".join(rng.choice([b"\r", b"\n", b"\r\n", b"\n\n", b"a", b"data: x", b"\r\n\r\n"]) for _ in range(rng.randint(1, 30)))
+        for step in (1, 2, 3, 5, 17, 1000):
+            got = [e for at in range(0, len(data), step) for e in completed_events(io.BytesIO(data), at, min(len(data), at + step), len(data))]
+            assert got == whole_events(data), (data, step)
+
+
+def test_captures_in_ranges(spark, tmp_path):
+    parts = [f'id: {k}\r\ndata: {{"id":{k},"result":{{}}}}' for k in range(40)] + [": note", "data: plain", 'data: {"id":\ndata: 7}', " "]
+    ends = ["\n\n", "\r\n\r\n", "\r\r"]
+    body = "\ufeff" + "".join(p + ends[k % 3] for k, p in enumerate(parts)) + 'data: {"id":3'
+    (tmp_path / "one.sse").write_bytes(body.encode())
+    (tmp_path / "two.sse").write_bytes(b'data: {"method":"note"}\n\n')
+    (tmp_path / "none.sse").write_bytes(b"")
+    frames = read_captures(spark, str(tmp_path), range_bytes=50)
+    rows = frames.filter("session_id = 'one'").orderBy("ord").collect()
+    assert [r.seq for r in rows] == list(range(1, 45)) and len({r.ord for r in rows}) == 44
+    assert [r.frame.toPython()["id"] for r in rows[:40]] == list(range(40)) and rows[7].sse_meta == {"id": "7"}
+    assert [r.raw for r in rows[40:]] == [": note", "plain", None, 'data: {"id":3'] and rows[42].frame.toPython() == {"id": 7}
+    bodies = spark.createDataFrame([("s", 0, 1, body)], "session_id string, block bigint, ord bigint, body string")
+    assert [r.raw for r in sse_frames(bodies).orderBy("event_no").collect()] == [r.raw for r in rows]
+    events = Sessions(frames).events.filter("session_id = 'two'").collect()
+    assert [(e.seq, e.role, e.method) for e in events] == [(1, "server_message", "note")] and events[0].ts
+
+
 def test_retention_and_health(spark):
     logs = spark.createDataFrame(
         [(f"s{n}", f"2026-01-0{n} 00:00:00", n == 2, n == 4) for n in range(1, 6)],
