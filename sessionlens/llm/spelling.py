@@ -41,6 +41,8 @@ MIN_CHARS, MIN_COUNT, RATIO = 6, 5, 5
 KEY = MIN_CHARS // 2
 #: Code points of the words that one index may hold.
 SHARD_CHARS = 1 << 17
+#: Shards share tasks beyond this many.
+MOST_TASKS = 1 << 14
 #: Longer words are compared by hashes.
 LONG = 64
 TYPO_EVERY = 199
@@ -94,7 +96,9 @@ def near_words(words: DataFrame, shard_chars: int = SHARD_CHARS, long: int = LON
             F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: _block_role(False, k, F.col("block"))),
         )).alias("roles"),
     ).select("side", "read", "n", F.inline("roles"))
-    found = spread.groupBy("side", "shard").applyInArrow(_searched(long), NEAR)
+    # a task a shard or so: the rows of many shards are few bytes, but not little work
+    dealt = spread.repartition(max(spread.sparkSession.sparkContext.defaultParallelism, min(2 * shards, MOST_TASKS)), "side", "shard")
+    found = dealt.groupBy("side", "shard").applyInArrow(_searched(long), NEAR)
     return found.unionAll(near_long_words(words.filter(F.length("word") > long)))
 
 
