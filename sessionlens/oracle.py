@@ -481,6 +481,7 @@ _WATCHED = f"""{_GROWING}, seen AS (SELECT CAST(split_part(session_id, '|', 1) A
       WHERE subcategory IN ('fabricated_tool_call', 'orphaned_response', 'unknown_server_request', 'capability_violation'))"""
 
 GROWING_SQL = {
+    "live_drift": DAILY_SQL["drift"],
     "live_changes": f"{_WATCHED} SELECT after, session_id, seq, subcategory, severity, explanation FROM seen",
     "live_retractions": f"""{_WATCHED} SELECT after + 1 AS batch, session_id, seq, subcategory, count(*) AS copies FROM
         (SELECT after, session_id, seq, subcategory, severity, explanation FROM seen WHERE after < 3 EXCEPT ALL

@@ -25,6 +25,7 @@ from .plans.durable import shared_dir, written
 from .session import configure
 from .sinks import reports
 from .sources.logs import parse_records, read_written, wire_frames
+from .streaming.history import LiveDrift
 from .streaming.live import LiveFindings, LiveView
 from .streaming.state import PAIRED, live_pairing, open_requests
 
@@ -633,6 +634,22 @@ def growing_events(spark: SparkSession, folder: str, work: str):
         yield part, bridge.event_frames(spark.readStream.schema(rows.schema).parquet(f"{work}/events/*"))
 
 
+@query
+def live_drift(spark, folder):
+    """Drift of four batches of closed sessions, a quarter of the days each, from the index."""
+    work = f"{shared_dir(spark)}/live-{uuid.uuid4().hex}"
+    rows = bridge.table(spark, folder, "events").withColumn("day", F.unix_date(F.to_date("ts")))
+    low, high = rows.agg(F.min("day"), F.max("day")).first()
+    live = LiveDrift(spark, f"{work}/tables", dr.file_server_name(F.col("session_id")), buckets=8)
+    events = rows.drop("day").schema
+    for part in range(STAGES):
+        mine = F.floor((F.col("day") - F.lit(low or 0)) * STAGES / ((high or 0) - (low or 0) + 1)) == part
+        rows.filter(mine).drop("day").write.parquet(f"{work}/events/{part}")
+        frames = bridge.daily_frames(spark.readStream.schema(events).parquet(f"{work}/events/*"))
+        live.start(frames, f"{work}/checkpoint").awaitTermination()
+    return live.findings().select("server_key", "session_id", "kind", "severity", "explanation")
+
+
 def _live(spark: SparkSession, folder: str, view) -> LiveView:
     """A view after four batches, each from its own start of the stream."""
     work = f"{shared_dir(spark)}/live-{uuid.uuid4().hex}"

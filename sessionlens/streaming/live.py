@@ -22,20 +22,20 @@ BUCKETS = 64
 
 
 class BucketTable:
-    """A table of rows by bucket of their session and by batch.
+    """A table of rows by bucket of their key, a session by default, and by batch.
 
     A batch overwrites its own parts only, so repeating it changes nothing, and readers of
-    some sessions list and read only the buckets of these.
+    some keys list and read only the buckets of these.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, buckets: int):
-        self.spark, self.folder, self.buckets = spark, folder, buckets
+    def __init__(self, spark: SparkSession, folder: str, buckets: int, key: str = "session_id"):
+        self.spark, self.folder, self.buckets, self.key = spark, folder, buckets, key
         path = spark._jvm.org.apache.hadoop.fs.Path
         system = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
         self._exists = lambda place: system.exists(path(place))
 
     def bucket(self):
-        return F.pmod(F.xxhash64("session_id"), F.lit(self.buckets)).cast("int")
+        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
 
     def write(self, rows: DataFrame, number: int) -> None:
         placed = rows.withColumn("bucket", self.bucket()).withColumn("batch", F.lit(number).cast("bigint"))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from sessionlens.operators import drift as dr
 from sessionlens.operators.detectors import Sessions
+from sessionlens.streaming.history import LiveDrift
 from wire import call, frames, handshake, result, s2c, tool
 
 OTHER = {"type": "object", "properties": {"query": {"type": "integer"}}}
@@ -73,3 +74,22 @@ def test_last_definition_is_hashed_and_key_order_is_not(spark):
     other = handshake([tool(schema={"a": 2, "b": 1})])
     items = dr.fingerprint_items(Sessions(frames(spark, {"one": log, "two": other}))).filter("kind = 'declared'")
     assert len({row.hash for row in items.collect()}) == 1
+
+
+def test_drift_of_batches_equals_drift_of_all(spark, tmp_path):
+    base = handshake(info={"name": "a", "version": "1"})
+    steps = [
+        base, handshake([tool(), tool("second")], info={"name": "a", "version": "2"}), base,
+        base[:3], handshake([tool(schema=OTHER)]), base + [call(3, "made_up")], base + [call(3, query="http://new.example.com:81/x")],
+        handshake([tool("second")], info={"name": "b", "version": "9"}), base + [call(3), call(4, "made_up"), s2c(id=5, method="roots/list")], base + [call(3, "late")],
+    ]
+    named = {f"202601{n:02d}T000000Z_{'srv' if n != 4 else 'own'}_{n}": entries for n, entries in enumerate(steps, 1)}
+    rows = frames(spark, named)
+    key = dr.file_server_name(F.col("session_id"))
+    live = LiveDrift(spark, str(tmp_path / "live"), key, buckets=3)
+    for number, (a, b) in enumerate(((1, 3), (4, 7), (8, 10))):
+        live.absorb(rows.filter(F.substring("session_id", 7, 2).cast("int").between(a, b)), number)
+    s = Sessions(rows)
+    names = ["server_key", "session_id", "kind", "severity", "explanation", "item"]
+    expected = sorted(map(str, dr.drift(dr.fingerprints(s, key), dr.fingerprint_items(s)).select(*names).collect()))
+    assert sorted(map(str, live.findings().select(*names).collect())) == expected and len(expected) > 8

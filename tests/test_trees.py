@@ -98,8 +98,8 @@ def test_lines_of_hits(spark):
 
     rng = random.Random(3)
     parts = ["eval (", "eval\n(", "\n", "\n\n", "x ", "ignore\n all previous\ncontext", "é𝄞", "\r\n", "child_process", "\u200b", "new\nFunction("]
-    for _ in range(12):
-        text = "".join(rng.choice(parts) for _ in range(60))
+    for _ in range(4):
+        text = "".join(rng.choice(parts) for _ in range(120))
         expected = []
         for rule, pattern, body in (("exec-dynamic", r"\beval\s*\(|\bnew\s+Function\s*\(", text), ("cmd-exec", r"\bchild_process\b", text)):
             expected += [(rule, body.count("\n", 0, m.start()) + 1) for m in re.finditer(pattern, body)]
