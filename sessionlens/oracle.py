@@ -588,7 +588,7 @@ DOCUMENT_SQL = {
         UNION ALL SELECT repo, 3, (rank, rule, path), '{{"rule":"' || rule || '","severity":"' || severity || '","path":"' || path || '","line":' || line || ',"detail":"' ||
           replace(replace(detail, '\\', '\\\\'), '"', '\\"') || '","count":' || count || ',"why":"w","fix":"f"}}' FROM rk)
       SELECT document, section, {_COMMAS} || text AS text FROM parts
-      UNION ALL SELECT repo, 0, '{{"rubric_version":"0.3",' || CASE WHEN runtime IS NULL THEN '' ELSE '"profile":{{"runtime":"' || runtime || '","files_scanned":' || files_scanned || ',"dependency_count":' || dependency_count || '}},' END ||
+      UNION ALL SELECT repo, 0, '{{"rubric_version":"0.3",' || '"profile":{{"runtime":"' || coalesce(runtime, 'unknown') || '","files_scanned":' || coalesce(files_scanned, 0) || ',"dependency_count":' || coalesce(dependency_count, 0) || '}},' ||
           '"score":' || score || ',"grade":"' || grade || '","deductions":[' FROM grd LEFT JOIN prf USING (repo)
       UNION ALL SELECT repo, 2, '],"findings":[' FROM grd UNION ALL SELECT repo, 4, ']}}' FROM grd""",
     "fabricated_rows": f"{_ALL}, {_SESSION_PARTS} SELECT session_id, ord AS seq, tool FROM fab",
