@@ -578,6 +578,18 @@ _ERR = "SELECT session_id, ord AS position, '{{\"seq\":' || ord || ',\"message\"
 _ANY = f"SELECT session_id, (seq, subcategory, explanation) AS position, {_FOUND_JSON} AS text FROM f"
 
 DOCUMENT_SQL = {
+    "findings_view_top": f"""{_ALL}, x AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY severity DESC, seq, subcategory, explanation) AS rank,
+        count(*) OVER (PARTITION BY session_id) AS n FROM f)
+      SELECT session_id, rank, seq, severity, subcategory, greatest(0, n - 5) AS more_findings FROM x WHERE rank <= 5""",
+    "timeline_view_newest": f"""{_ALL}, {_SEVERE}, x AS (SELECT e.session_id, row_number() OVER (PARTITION BY e.session_id ORDER BY ord) - 1 AS row_index,
+          count(*) OVER (PARTITION BY e.session_id) AS n, coalesce(sv.severity, 0) AS severity, coalesce(is_info, false) AS is_info
+        FROM e LEFT JOIN sv ON sv.session_id = e.session_id AND sv.seq = e.ord)
+      SELECT session_id, row_index, severity, is_info, greatest(0, n - 10) AS collapsed_rows FROM x WHERE row_index >= n - 10""",
+    "drift_report": f"""WITH {_DAILY}, {_DRIFT}, parts AS (SELECT server_key AS document, 1 AS section,
+        '{{"session_id":"' || session_id || '","kind":"' || kind || '","severity":' || severity || ',"explanation":"' || explanation || '"}}' AS text FROM g)
+      SELECT document, section, CASE WHEN row_number() OVER (PARTITION BY document ORDER BY text) = 1 THEN '' ELSE ',' END || text AS text FROM parts
+      UNION ALL SELECT DISTINCT document, 0, '{{"findings":[' FROM parts UNION ALL SELECT DISTINCT document, 2, ']}}' FROM parts""",
+    "last_recorded_metrics": f"WITH {WIRE} SELECT session_id, max(ord) AS frames_seen, 2 * max(ord) AS log_bytes FROM e WHERE ord % 7 = 0 GROUP BY 1",
     "tree_findings": f"WITH {_TREE} SELECT repo, row_number() OVER (PARTITION BY repo ORDER BY rank, rule, path) AS nth, path, rule, severity, category, line, detail, count FROM rk",
     "tree_deductions": f"WITH {_TREE} SELECT repo, rule, severity, points, hits FROM ded",
     "tree_profiles": f"WITH {_TREE} SELECT * FROM prf",

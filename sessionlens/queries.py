@@ -24,7 +24,7 @@ from .plans.blocks import computed_once, with_row_number
 from .plans.durable import shared_dir, written
 from .session import configure
 from .sinks import reports
-from .sources.logs import parse_records, read_written, wire_frames
+from .sources.logs import metrics_records, parse_records, read_written, wire_frames
 from .streaming.history import LiveDrift
 from .streaming.live import LiveFindings, LiveView
 from .streaming.state import PAIRED, live_pairing, open_requests
@@ -795,3 +795,37 @@ def recorded_pairing(spark, folder):
     reports.write_lines(reports.log_lines(bridge.event_frames(bridge.table(spark, folder, "events"))), place)
     answers = d.Sessions(wire_frames(read_written(spark, place))).events.filter("role IN ('response', 'client_reply')")
     return answers.select("session_id", "seq", "responds_to", F.col("request.seq").alias("request_seq"), "orphaned")
+
+
+@query
+def drift_report(spark, folder):
+    found = dr.drift(*day_prints(spark, folder)).select("server_key", "session_id", "kind", "severity", "explanation")
+    return reports.drift_lines(written(found)).select("document", "section", "text")
+
+
+@query
+def last_recorded_metrics(spark, folder):
+    """The recorder's last metrics record of every log, read from files."""
+    frames = bridge.event_frames(bridge.table(spark, folder, "events"))
+    mine = frames.filter("ord % 7 = 0").select(
+        F.col("session_id").alias("document"), F.lit(0).alias("section"), F.col("ord").alias("position"),
+        F.format_string('{"type":"recorder.metrics","frames_seen":%d,"log_bytes":%d}', "ord", F.col("ord") * 2).alias("text"),
+    )
+    place = f"{shared_dir(spark)}/logs-{uuid.uuid4().hex}"
+    reports.write_lines(reports.log_lines(frames).unionByName(mine), place)
+    return r.last_metrics(metrics_records(read_written(spark, place))).select("session_id", "frames_seen", "log_bytes")
+
+
+@query
+def findings_view_top(spark, folder):
+    """The bounded view: five findings a session, and how many more there are."""
+    top = r.top_findings(wire_findings(logs(spark, folder).stored()), 5)
+    return top.select("session_id", "rank", "seq", "severity", "subcategory", "more_findings")
+
+
+@query
+def timeline_view_newest(spark, folder):
+    """The bounded view: the last ten rows of a session, and how many are folded away."""
+    s = logs(spark, folder).stored()
+    rows = r.newest_rows(r.timeline(s.events, wire_findings(s)), 10)
+    return rows.select("session_id", "row_index", "severity", "is_info", "collapsed_rows")
