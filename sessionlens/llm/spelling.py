@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.blocks import computed_once
-from ..plans.durable import written
+from ..plans.durable import discard, written
 from .fm_index import FMIndex
 
 RUNS = "[a-zÀ-ÿ]+"
@@ -174,14 +174,18 @@ def spelling_variants(
         "word", "n", F.coalesce("n_near", F.lit(0)).cast("bigint").alias("n_near"),
         F.when(has_form, F.col("best.near")).alias("form"), F.when(has_form, -F.col("best.less")).alias("form_n"),
     ))
+    discard(words)
     most = formed.filter("form IS NOT NULL").agg(F.max("form_n")).first()[0]
     roots = formed.filter("form IS NOT NULL").select("word", F.col("form").alias("root"))
     if most is not None:
         # each step multiplies the count, which begins at min_count or more
         steps = 1 + max(0, math.floor(math.log(most / min_count, ratio) + 1e-9))
+        done = []
         for _ in range(math.ceil(math.log2(steps))):
             further = roots.select(F.col("word").alias("root"), F.col("root").alias("next"))
             roots = written(roots.join(further, "root", "left").select("word", F.coalesce("next", "root").alias("root")))
+            done.append(roots)
+        discard(*done[:-1])
     return formed.join(roots, "word", "left").select(
         "word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n"
     )
