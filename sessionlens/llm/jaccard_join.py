@@ -12,9 +12,11 @@ Classes that share a prefix shingle are compared through its smallest class firs
 found connected need no further comparison, so a group of thousands of near copies costs a
 number of comparisons in proportion to its size.  Only the classes of shingles that still
 lie in several components are compared with each other, block against block inside tasks, by
-sizes, places in the order and sketches of 1,024 parities, each a bound on the overlap; pairs
-that no bound rules out leave the task.  Nothing is capped; the frequent shingles only choose
-the order.
+sizes, places in the order and sketches of 1,024 parities, each a bound on the overlap.  Of
+the pairs that no bound rules out, the lightest forest by sketches leaves a block first: as
+many pairs as join its components, fewer than it has classes.  Those that hold contract the
+components; all pairs that then still lie in two components leave their blocks and are
+compared.  Nothing is capped; the frequent shingles only choose the order.
 
 Comparisons of one class with many run over a trie of their ordered sets, held as sorted sets
 with the length of the prefix that neighbours share: overlaps of a shared prefix are counted
@@ -205,9 +207,36 @@ def near(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.join(ends["a"], "a").join(ends["b"], "b").filter((both - differ) * (num + den) >= both * 2 * num).select("a", "b")
 
 
-def across(side: DataFrame, num: int, den: int) -> DataFrame:
+def lightest_forest(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Edges of a lightest spanning forest: each component takes its lightest edge, round by round."""
+    order = np.argsort(weight, kind="stable")
+    nodes, ends = np.unique(np.concatenate([a, b])[np.r_[order, order + len(a)]], return_inverse=True)
+    x, y = ends[: len(a)], ends[len(a) :]
+    edge, taken = np.arange(len(a)), [np.zeros(0, np.int64)]
+    while len(edge):
+        best = np.full(len(nodes), len(a))
+        np.minimum.at(best, x, edge)
+        np.minimum.at(best, y, edge)
+        has = np.flatnonzero(best < len(a))
+        taken.append(np.unique(best[has]))
+        at = np.searchsorted(edge, best[has])
+        parent = np.arange(len(nodes))
+        parent[has] = np.where(x[at] == has, y[at], x[at])
+        # edges are of different rank, so two components at most take the same one and no other ring can be
+        both = parent[parent] == np.arange(len(nodes))
+        parent = np.where(both & (np.arange(len(nodes)) < parent), np.arange(len(nodes)), parent)
+        while (parent != parent[parent]).any():
+            parent = parent[parent]
+        x, y = parent[x], parent[y]
+        open_ = x != y
+        x, y, edge = x[open_], y[open_], edge[open_]
+    return order[np.concatenate(taken)]
+
+
+def across(side: DataFrame, num: int, den: int, forest: bool = False) -> DataFrame:
     """Pairs ``a, b`` of classes that share a shingle, lie in different components and are not
-    ruled out by sizes, places in their orders or sketches.
+    ruled out by sizes, places in their orders or sketches; with ``forest`` only the lightest
+    of each block that join its components.
 
     The classes of a shingle are dealt in blocks of about 1,024 and blocks compared inside
     tasks, so what leaves a task are the pairs that are left, not all pairs.
@@ -221,6 +250,7 @@ def across(side: DataFrame, num: int, den: int) -> DataFrame:
     names = ["token", "i", "j", "own", "set", "n", "at", "least", "root"]
 
     def compared(cols: dict[str, np.ndarray], sketches: np.ndarray, a: int, b: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         c = {k: v[a:b] for k, v in cols.items()}
         halves, words = c["i"][0] != c["j"][0], sketches[a:b]
         left = c["n"] - c["at"]
@@ -239,7 +269,15 @@ def across(side: DataFrame, num: int, den: int) -> DataFrame:
             differ = np.bitwise_count((words[p] ^ words[q]).view(np.uint64)).sum(axis=1, dtype=np.int64)
             both = c["n"][p] + c["n"][q]
             rest = (both - differ) * (num + den) >= both * 2 * num
-            yield c["set"][p[rest]], c["set"][q[rest]]
+            if not forest:
+                yield c["set"][p[rest]], c["set"][q[rest]]
+                continue
+            # the forest of a forest and further edges is that of all edges
+            held = [np.r_[v, w] for v, w in zip(held, (p[rest], q[rest], (differ / both)[rest]), strict=True)]
+            chosen = lightest_forest(c["root"][held[0]], c["root"][held[1]], held[2])
+            held = [v[chosen] for v in held]
+        if forest:
+            yield c["set"][held[0]], c["set"][held[1]]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols = {k: np.zeros(0, np.int64) for k in names}
@@ -278,16 +316,24 @@ def links(sets: DataFrame, num: int, den: int) -> DataFrame:
     groups = components(first, "a", "b")
 
     # shingles of three classes or more that lie in several components: block against block
+    for forest in (True, False):
+        side = open_sides(posting, tokens, groups, sets)
+        more = verified(written(across(side, num, den, forest).distinct()), sets, num, den)
+        first = written(first.unionByName(more))
+        if forest:
+            groups = components(first, "a", "b")
+    return first
+
+
+def open_sides(posting: DataFrame, tokens: DataFrame, groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """Postings of the shingles whose classes lie in several components."""
     root = F.coalesce("root", "set").alias("root")
     placed = (
         posting.join(tokens.filter("classes > 2").select("token", F.col("a").alias("least"), "classes"), "token")
         .join(groups.withColumnRenamed("node", "set"), "set", "left").select("token", "set", "n", "at", "least", "classes", root)
     )
     open_tokens = placed.groupBy("token").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s")
-    side = placed.join(open_tokens.select("token"), "token").join(sets.select("set", "sketch"), "set")
-    rest = across(side, num, den).distinct()
-    second = written(verified(written(rest), sets, num, den))
-    return first.unionByName(second)
+    return placed.join(open_tokens.select("token"), "token").join(sets.select("set", "sketch"), "set")
 
 
 def jaccard_groups(documents: DataFrame, width: int, num: int, den: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

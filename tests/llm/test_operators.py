@@ -13,7 +13,7 @@ from compare import compare, database
 from sessionlens.llm import jaccard_join, queries
 from sessionlens.llm.cover_tree import near_duplicates
 from sessionlens.llm.html_extract import extracted, main_text
-from sessionlens.llm.jaccard_join import across, jaccard_groups, probe, sketch
+from sessionlens.llm.jaccard_join import across, jaccard_groups, lightest_forest, probe, sketch
 from sessionlens.llm.mixing import mixed_documents
 from sessionlens.llm.packing import best_fit, local_search, packed_documents
 from sessionlens.llm.places import with_place
@@ -118,6 +118,40 @@ def test_blocks_lose_no_similar_pair(spark, monkeypatch):
     assert len(similar) > 10 and similar <= set(found)
     assert len(found) == len(set(found)) < 39 * 38 / 2
     assert across(side.limit(0), 90, 100).count() == 0
+    # the forest of each block joins what its pairs join, with fewer pairs than components
+    monkeypatch.setattr(jaccard_join, "CLASSES_PER_BLOCK", 1024)
+    monkeypatch.setattr(jaccard_join, "PAIRS_AT_ONCE", 200)
+    forest = [(r.a, r.b) for r in across(side, 90, 100, True).collect()]
+    pairs = [(r.a, r.b) for r in across(side, 90, 100).collect()]
+    assert set(forest) <= set(pairs) and len(forest) < 20 < len(pairs)
+    assert joined((a // 2, b // 2) for a, b in forest) == joined((a // 2, b // 2) for a, b in pairs)
+
+
+def joined(edges):
+    parts = []
+    for edge in edges:
+        met = [p for p in parts if p & set(edge)]
+        parts = [p for p in parts if not p & set(edge)] + [set(edge).union(*met)]
+    return {frozenset(p) for p in parts}
+
+
+def test_lightest_forest():
+    rng = np.random.default_rng(11)
+    for nodes, edges in ((2, 1), (30, 20), (30, 200), (300, 400), (5, 0)):
+        a, b = rng.integers(0, nodes, edges), rng.integers(0, nodes, edges)
+        a, b = 7 * a[a != b], 7 * b[a != b]
+        weight = rng.integers(0, 9, len(a)) / 9
+        chosen, parts = lightest_forest(a, b, weight), []
+        total = 0.0
+        for k in np.argsort(weight, kind="stable").tolist():
+            of = [next((i for i, p in enumerate(parts) if v in p), None) for v in (a[k], b[k])]
+            if of[0] is None or of[0] != of[1]:
+                total += weight[k]
+                merged = {a[k], b[k]}.union(*(parts[i] for i in of if i is not None))
+                parts = [p for i, p in enumerate(parts) if i not in of] + [merged]
+        assert abs(weight[chosen].sum() - total) < 1e-9
+        assert len(set(chosen.tolist())) == len(chosen) == sum(len(p) - 1 for p in parts)
+        assert joined(zip(a[chosen].tolist(), b[chosen].tolist())) == joined(zip(a.tolist(), b.tolist()))
 
 
 def test_secret_scan(documents, nothing):
