@@ -49,9 +49,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     groups = written(jaccard_groups(docs, 5, 80, 100).filter("group_id IS NOT NULL").select("doc_id", "_file", "_row", "group_id"))
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "_file", "_row")
     first = groups.groupBy("group_id").agg(F.min(rank).alias("first"))
-    gone = written(
-        groups.join(first, "group_id").filter((F.col("_file") != F.col("first._file")) | (F.col("_row") != F.col("first._row"))).select("_file", "_row")
-    )
+    # by place, as one group may hold any share of the rows
+    stay = first.select("first._file", "first._row")
+    gone = written(groups.select("_file", "_row").join(stay, ["_file", "_row"], "left_anti"))
     rows, names = _placed(docs)
     return _named(rows.join(gone, ["_file", "_row"], "left_anti"), names, docs)
 
@@ -98,7 +98,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     words = F.filter(F.split(text, WORDS), lambda w: w != "")
     whole = F.array_repeat(text, F.floor(F.col("taken") / F.col("size")).cast("int"))
     texts = F.concat(whole, F.when(part > 0, F.array(F.array_join(F.slice(words, F.lit(1), part), " "))).otherwise(F.array().cast("array<string>")))
-    out = rows.join(mix, ["_file", "_row"]).withColumn("_text", F.explode(texts)).withColumn(column["text"], F.col("_text"))
+    # the mix grows with the documents, so at no size is it broadcast
+    out = rows.join(mix.hint("merge"), ["_file", "_row"]).withColumn("_text", F.explode(texts)).withColumn(column["text"], F.col("_text"))
     if "n_chars" in column:
         out = out.withColumn(column["n_chars"], F.length("_text").cast(docs.schema["n_chars"].dataType))
     return _named(out, names, docs)
