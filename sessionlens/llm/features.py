@@ -17,7 +17,7 @@ def hashed_counts(text: pa.Array, buckets: int = BUCKETS):
     1 + log(count), scaled to length one in each row.  A text without words has none.
     """
     raw, offsets = text_buffer(text)
-    for a, b in slices(offsets, 1 << 20):
+    for a, b in slices(offsets, 1 << 18):
         part, own = raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         starts, lengths, firsts = word_spans(part, own)
         h = hash_spans(part, starts, lengths)
