@@ -14,8 +14,8 @@ from ..functions.jsonvalue import text_at
 from ..operators.events import classify_frames
 from ..operators.policy import HOLD_SECONDS
 
-#: Shards of a session's requests.
-SHARDS = 64
+#: Shards of the state of open requests, and pieces into which the sessions of a block are dealt.
+SHARDS = 256
 
 
 def _struct(**fields) -> StructType:
@@ -28,7 +28,7 @@ def with_epoch(frames: DataFrame) -> DataFrame:
 
 # ---- pairing ------------------------------------------------------------------------------
 
-_ID = _struct(space=StringType, id_key=StringType)
+_ID = _struct(session_id=StringType, epoch=LongType, space=StringType, id_key=StringType)
 _OPEN = _struct(ord=LongType, seq=LongType, label=StringType, call=BooleanType)
 _REQUEST = ["ord", "seq", "label", "call"]
 STEPS = (
@@ -43,12 +43,13 @@ PAIRED = (
 
 
 def _inside_blocks(shards: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Steps of one block: answers that find the row before them in the block (done), answers
-    that are the first of their group there (ask), and the last row of each group (tail)."""
+    """Steps of the sessions of one piece of a block: answers that find the row before them in the
+    block (done), answers that are the first of their group there (ask), and the last row of each
+    group (tail)."""
 
     def steps(block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values("ord", kind="stable").reset_index(drop=True)
-        groups = block.groupby(["pair_space", "id_key"], sort=False)
+        groups = block.groupby(["session_id", "epoch", "pair_space", "id_key"], sort=False, dropna=False)
         before = groups[["opens", *_REQUEST]].shift(1)
         first, last = groups.cumcount() == 0, groups.cumcount(ascending=False) == 0
         open_before = before["opens"].eq(True)
@@ -69,8 +70,8 @@ def _inside_blocks(shards: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
 
 def _pairing(idle_ms: int | None) -> Callable[[], StatefulProcessor]:
     class Pairing(StatefulProcessor):
-        """Open requests of one shard of a session, by initiator and id: the carry between the
-        blocks of a session, and between batches."""
+        """Open requests of one shard, by session, initiator and id: the carry between the blocks
+        of a session, and between batches."""
 
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.open = handle.getMapState("open", _ID, _OPEN, idle_ms)
@@ -80,27 +81,33 @@ def _pairing(idle_ms: int | None) -> Callable[[], StatefulProcessor]:
             batch = pd.concat(list(rows))
             done = batch[batch["step"] == "done"]
             moving = batch[batch["step"] != "done"].sort_values("ord", kind="stable")
-            kept = {tuple(k): tuple(v) for k, v in self.open.iterator()} if len(moving) else {}
-            held, asked = dict(kept), []
-            for row in moving.itertuples():
-                name = (row.pair_space, row.id_key)
-                if row.step == "ask":
-                    asked.append(held.pop(name, (None, None, None, None)))
-                elif row.opens:
-                    held[name] = (int(row.ord), None if pd.isna(row.seq) else int(row.seq), row.label, bool(row.call))
+            # only what the batch asks for is read, and each group it touches is written once
+            held, asked, none = {}, [], (None, None, None, None)
+            columns = ["session_id", "epoch", "pair_space", "id_key", "step", "opens", *_REQUEST]
+            for *name, step, opens, ord_, seq, label, call in zip(*[moving[c].tolist() for c in columns], strict=True):
+                name = tuple(name)
+                if step == "ask":
+                    if name in held:
+                        found = held[name]
+                    else:
+                        found = self.open.getValue(name) if self.open.containsKey(name) else None
+                    asked.append(tuple(found) if found else none)
+                    held[name] = None
+                elif opens:
+                    held[name] = (int(ord_), None if pd.isna(seq) else int(seq), label, bool(call))
                 else:
-                    held.pop(name, None)
-            for name in kept.keys() - held.keys():
-                self.open.removeKey(name)
+                    held[name] = None
             for name, request in held.items():
-                if kept.get(name) != request:
+                if request is None:
+                    self.open.removeKey(name)
+                else:
                     self.open.updateValue(name, request)
             ask = moving[moving["step"] == "ask"].copy()
             for k, name in enumerate(_REQUEST):
                 ask[f"before_{name}"] = pd.Series([a[k] for a in asked], index=ask.index, dtype=object)
             for part in (done, ask):
                 yield pd.DataFrame({
-                    "session_id": pd.Series(key[0], index=part.index, dtype=object), "epoch": key[1],
+                    "session_id": part["session_id"], "epoch": part["epoch"],
                     "ord": part["ord"], "seq": part["seq"].astype("Int64"), "role": part["role"],
                     "responds_to": part["before_label"], "answers_call": part["before_call"].astype("boolean"),
                     "request_ord": part["before_ord"].astype("Int64"), "request_seq": part["before_seq"].astype("Int64"),
@@ -114,22 +121,25 @@ def live_pairing(frames: DataFrame, idle_hours: float | None = None, shards: int
     """Stream of answers with the request each one answers: ``build_events``' pairing.
 
     It has two levels.  Inside the part of a block that a batch brings, an answer looks at the
-    row before it in its group.  What is open across blocks and batches is state, in shards
-    of a session by initiator and id: it is asked by the first row of a group in a block and
-    changed by the last.  So neither a session nor an id that many requests reuse is one task.
+    row before it in its group; the sessions of a block are dealt into ``shards`` pieces, so many
+    short sessions share a pass.  What is open across blocks and batches is state, in ``shards``
+    shards by session, initiator and id: it is asked by the first row of a group in a block and
+    changed by the last.  So neither a session nor an id that many requests reuse is one task, and
+    the passes of a batch grow with its blocks, not with its sessions.
     With ``idle_hours`` requests unanswered for so long are forgotten.  A raised epoch has keys
     of its own, so nothing of a replaced log answers.  Needs the RocksDB state store.
     """
     opens = F.col("role").isin("call", "client_request", "server_message")
     rows = classify_frames(with_epoch(frames), "epoch").filter("pair_space IS NOT NULL").select(
-        "session_id", "epoch", "block", F.pmod(F.xxhash64("pair_space", "id_key"), F.lit(shards)).alias("shard"),
+        "session_id", "epoch", "block", F.pmod(F.xxhash64("session_id", "epoch"), F.lit(shards)).alias("piece"),
+        F.pmod(F.xxhash64("session_id", "epoch", "pair_space", "id_key"), F.lit(shards)).alias("shard"),
         "ord", "seq", "role", "pair_space", "id_key", opens.alias("opens"),
         F.coalesce("call_name", F.concat(F.lit("<"), F.col("method"), F.lit(">"))).alias("label"),
         (F.col("role") == "call").alias("call"),
     )
     idle = None if idle_hours is None else int(idle_hours * 3_600_000)
-    steps = rows.groupBy("session_id", "epoch", "block").applyInPandas(_inside_blocks(shards), STEPS)
-    return steps.groupBy("session_id", "epoch", "shard").transformWithStateInPandas(
+    steps = rows.groupBy("block", "piece").applyInPandas(_inside_blocks(shards), STEPS)
+    return steps.groupBy("shard").transformWithStateInPandas(
         _pairing(idle)(), outputStructType=PAIRED, outputMode="Append",
         timeMode="None" if idle is None else "ProcessingTime",
     )
@@ -139,7 +149,7 @@ def open_requests(spark: SparkSession, checkpoint: str) -> DataFrame:
     """The requests without an answer that a pairing query holds, read from its state."""
     state = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "open").load()
     return state.select(
-        "key.session_id", "key.epoch", "user_map_key.space", "user_map_key.id_key",
+        "user_map_key.session_id", "user_map_key.epoch", "user_map_key.space", "user_map_key.id_key",
         "user_map_value.ord", "user_map_value.seq", "user_map_value.label",
     )
 

@@ -170,6 +170,20 @@ def test_pairing_state(spark, tmp_path):
     assert held == {("a", "client", "5", "web_search")}
 
 
+def test_pairing_keys_do_not_grow_with_sessions(spark, tmp_path):
+    sessions = {f"s{n}": [call(1), result(1), call(2)] for n in range(40)}
+    _, stream = staged(spark, sessions, (3,), tmp_path / "in")
+    query = (
+        live_pairing(stream, shards=4).writeStream.format("parquet").option("path", str(tmp_path / "out"))
+        .option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+    )
+    assert query.awaitTermination(180) and query.exception() is None
+    state = spark.read.format("statestore").option("path", str(tmp_path / "check")).option("stateVarName", "open").load()
+    assert state.select("key").distinct().count() <= 4
+    held = {(r.session_id, r.id_key) for r in open_requests(spark, str(tmp_path / "check")).collect()}
+    assert held == {(f"s{n}", "2") for n in range(40)}
+
+
 def test_changes_of_a_view(spark, tmp_path):
     sessions = {
         "a": [call(3, "late"), call(4, "ghost"), *handshake()[:4], s2c(id=2, result={"tools": [{"name": "late"}]}), call(5, "late")],
