@@ -5,6 +5,7 @@ import json
 import random
 
 import pytest
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sessionlens.functions import scan
@@ -208,3 +209,22 @@ def test_hosts(spark):
     assert one(spark, is_trusted, ["a.b.azure.com", "azure.com", "notazure.com", "localhost", "azure.com.evil.io"]) == [
         True, True, False, True, False,
     ]
+
+
+def test_inline_values_as_a_column(spark):
+    values = ["web_search", "a b", GITHUB, "x" * 70, "`rm`", "ünï", "ｇ" + GITHUB[1:], "слово", "", " a\tb ", None]
+    rows = spark.createDataFrame(list(enumerate(values)), "n int, word string").repartition(2)
+    got = scan.with_inline_value(rows, F.col("word"), "shown", "tool").orderBy("n")
+    assert got.columns == ["n", "word", "shown"]
+    # the form that all patterns read is a column of its own, not repeated in each of them
+    assert got.select("shown")._jdf.queryExecution().optimizedPlan().toString().count("[\\x00-\\x1f\\x7f]") == 1
+    expected = [one(spark, lambda c: scan.inline_value(c, "tool"), [v]) for v in values]
+    assert [[r.shown] for r in got.collect()] == expected
+
+
+def test_texts_that_need_no_folding_cost_nothing():
+    def unread(text):
+        raise AssertionError(text)
+
+    assert scan._mapped(pa.nulls(3, pa.string()), unread).to_pylist() == [None] * 3
+    assert scan._mapped(pa.array(["a", None]), str.upper).to_pylist() == ["A", None]
