@@ -11,12 +11,15 @@ from pyspark.sql.types import MapType
 
 from ..functions.catalogue import ScanConfig
 from ..operators.detectors import DETECTORS, Detector, Sessions, detect
+from ..operators.events import FRAME_COLUMNS, ROLE_TYPES, with_roles
 
 FRAME_TYPES = (
     "session_id string, epoch bigint, block bigint, ord bigint, seq bigint, ts string, dir string, "
     "frame variant, raw string, gate variant"
 )
 FRAME_NAMES = [c.split()[0] for c in FRAME_TYPES.split(", ")]
+LINE_TYPES = f"{FRAME_TYPES}, {ROLE_TYPES}"
+LINE_COLUMNS = [*FRAME_COLUMNS, *(c.split()[0] for c in ROLE_TYPES.split(", "))]
 VERSIONS = "session_id string, epoch bigint"
 BUCKETS = 64
 
@@ -25,11 +28,13 @@ class BucketTable:
     """A table of rows by bucket of their key, a session by default, and by batch.
 
     A batch overwrites its own parts only, so repeating it changes nothing, and readers of
-    some keys list and read only the buckets of these.
+    some keys list and read only the buckets of these.  A bucket is written by several tasks,
+    which share its rows by ``spread``, so that few buckets do not mean few tasks.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, buckets: int, key: str = "session_id"):
+    def __init__(self, spark: SparkSession, folder: str, buckets: int, key: str = "session_id", spread: str | None = None):
         self.spark, self.folder, self.buckets, self.key = spark, folder, buckets, key
+        self.spread = spread or key
         path = spark._jvm.org.apache.hadoop.fs.Path
         system = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
         self._exists = lambda place: system.exists(path(place))
@@ -39,7 +44,9 @@ class BucketTable:
 
     def write(self, rows: DataFrame, number: int) -> None:
         placed = rows.withColumn("bucket", self.bucket()).withColumn("batch", F.lit(number).cast("bigint"))
-        placed.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        slices = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // self.buckets)
+        part = F.pmod(F.xxhash64(F.lit("slice"), self.spread), F.lit(slices))
+        placed.repartition("bucket", part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
             "bucket", "batch"
         ).parquet(self.folder)
 
@@ -75,23 +82,24 @@ class LiveView:
         config: ScanConfig = ScanConfig(), buckets: int = BUCKETS,
     ):
         self.spark, self.folder, self.view, self.config = spark, folder, view, config
-        self.frames, self.versions, self.rows = (
-            BucketTable(spark, f"{folder}/{name}", buckets) for name in ("frames", "versions", "rows")
-        )
+        self.frames = BucketTable(spark, f"{folder}/frames", buckets, spread="ord")
+        self.versions, self.rows = (BucketTable(spark, f"{folder}/{name}", buckets) for name in ("versions", "rows"))
 
     def absorb(self, batch: DataFrame, number: int) -> None:
         """Add a batch of frames, and write the new rows of its sessions and the changes."""
         if "epoch" not in batch.columns:
             batch = batch.withColumn("epoch", F.lit(0).cast("bigint"))
-        self.frames.write(batch.select(*FRAME_NAMES), number)
+        # a frame is parsed when it arrives and not again by the detectors of later batches
+        self.frames.write(with_roles(batch.select(*FRAME_NAMES), "epoch"), number)
         # a batch is read back by its number, as its source may not give the same rows again
-        arrived = self.frames.read(FRAME_TYPES, batch=number)
+        arrived = self.frames.read(LINE_TYPES, batch=number)
         self.versions.write(arrived.groupBy("session_id").agg(F.max("epoch").alias("epoch")), number)
         versions = self.versions.read(VERSIONS, batch=number)
         touched = [r.bucket for r in versions.select("bucket").distinct().collect()]
         now = versions.select("session_id", "epoch")
-        counting = self.frames.read(FRAME_TYPES, touched).filter(F.col("batch") <= number).join(now, ["session_id", "epoch"])
-        made = plain_columns(self.view(Sessions(counting.drop("batch", "bucket", "epoch"), self.config)))
+        counting = self.frames.read(LINE_TYPES, touched).filter(F.col("batch") <= number).join(now, ["session_id", "epoch"])
+        lines = counting.filter("role IS NOT NULL").select(*LINE_COLUMNS)
+        made = plain_columns(self.view(Sessions(counting.select(*FRAME_COLUMNS), self.config, lines_table=lines)))
         self.rows.write(made, number)
         schema = sql_schema(made)
         new = self.rows.read(schema, touched, number).drop("batch", "bucket")

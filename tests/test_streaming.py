@@ -6,7 +6,7 @@ from sessionlens.operators.detectors import Sessions, call_order, detect, fabric
 from sessionlens.sources.logs import read_records, wire_frames
 from sessionlens.operators.events import build_events, classify_frames
 from sessionlens.operators.rollups import session_counters
-from sessionlens.streaming.live import LiveFindings, LiveView
+from sessionlens.streaming.live import BucketTable, LiveFindings, LiveView
 from sessionlens.streaming.state import live_pairing, live_policy, open_requests, state_sizes
 from sessionlens.streaming.tail import LogTail, completed_lines
 from wire import c2s, call, frames, handshake, log_text, result, s2c
@@ -210,6 +210,29 @@ def test_changes_of_a_view(spark, tmp_path):
     assert ("a", "fabricated_tool_call", 1) in {(r.session_id, r.subcategory, r.seq) for r in retracted}
 
 
+def test_frames_are_parsed_once_and_a_bucket_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    plans = []
+
+    def view(s):
+        plans.append(s.lines._jdf.queryExecution().optimizedPlan().toString())
+        return fabricated_calls(s)
+
+    sessions = {"a": [call(n, "ghost") for n in range(60)] + [{"dir": "c2s", "frame": None}]}
+    rows, _ = staged(spark, sessions, (2,), tmp_path / "in")
+    live = LiveView(spark, str(tmp_path / "live"), view, buckets=1)
+    live.absorb(rows, 0)
+    assert "Generate" not in plans[0]
+    assert live.current().count() == 60
+    held = BucketTable(spark, str(tmp_path / "few"), 2)
+    # Spark joins small partitions again unless told not to
+    monkeypatch.setattr(held, "spark", spark.newSession())
+    held.spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    held.spark.conf.set("spark.sql.shuffle.partitions", "8")
+    held.write(held.spark.range(1000).selectExpr("cast(id AS string) AS session_id"), 0)
+    assert held.read("session_id string").count() == 1000
+    assert len(list((tmp_path / "few").glob("bucket=*/batch=0/part-*.parquet"))) > 2
+
+
 def test_policy_stream(spark, tmp_path):
     logs = tmp_path / "logs"
     logs.mkdir()
