@@ -101,7 +101,14 @@ def read_records(
 
 def read_written(spark: SparkSession, folder: str, self_prefix: str = "[A-Za-z0-9_-]+") -> DataFrame:
     """Records of the logs that ``write_lines`` wrote: a folder a log, its files in order."""
-    lines = read_lines(spark, f"{folder}/document=*", "part-*")
+    # Spark lists up to 10,000 folders in a task each, which costs more than the listing
+    setting = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, min(int(before), 4 * spark.sparkContext.defaultParallelism))
+    try:
+        lines = read_lines(spark, f"{folder}/document=*", "part-*")
+    finally:
+        spark.conf.set(setting, before)
     part = F.regexp_extract("file_name", r"^part-(\d+)", 1).cast("bigint")
     # a file of a log is under 1 TiB, so its splits fit below the number of the file
     block = F.shiftleft(part, SPLIT_BITS) + F.col("block")

@@ -4,6 +4,7 @@ import io
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from sessionlens.operators import rollups as r
@@ -11,7 +12,7 @@ from sessionlens.operators.detectors import Sessions, detect
 from sessionlens.sinks import reports
 from sessionlens.sources.capture import OVERSIZE, TERMINATOR, completed_events, read_captures, sse_frames
 from sessionlens.sources.logs import (
-    list_logs, metrics_records, numbered_lines, read_lines, read_records, wire_frames,
+    list_logs, metrics_records, numbered_lines, read_lines, read_records, read_written, wire_frames,
 )
 from wire import call, frames, handshake, log_text, result
 
@@ -83,6 +84,35 @@ def test_writer_round_trip(spark, tmp_path):
     assert back[6]["raw"] == "raw line" and back[6]["frame"] is None
 
 
+def test_written_logs_are_listed_by_few_tasks_and_read_back(spark, tmp_path):
+    # names with signs Spark escapes, the empty and the missing one, empty lines, many logs
+    names = ["a=b/c", 'q"\'%:?*#', "[x]^{y}\\z", "ä b", "", None, *[f"n{k}" for k in range(60)]]
+    rows = [(n, s, p, None if p == 2 else f'{{"seq":{100 * s + p}}}') for n in names for s in (0, 1) for p in (3, 2, 1)]
+    lines = spark.createDataFrame(rows, "document string, section int, position bigint, text string")
+    place, plain = tmp_path / "out", tmp_path / "plain"
+    reports.write_lines(lines, str(place))
+    lines.orderBy("document", "section", "position").select("document", "text").coalesce(1).write.partitionBy("document").text(str(plain))
+
+    def texts(folder):
+        return {d.name: "".join(p.read_text() for p in sorted(d.glob("part-*"))) for d in folder.glob("document=*")}
+
+    assert texts(place)["document=n0"] == '{"seq":1}\n\n{"seq":3}\n{"seq":101}\n\n{"seq":103}\n'
+    assert set(texts(place)) == set(texts(plain)) and len(texts(plain)) == 65
+    assert {k: sorted(v) for k, v in texts(place).items()} == {k: sorted(v) for k, v in texts(plain).items()}
+    assert not [p for p in place.rglob("*") if p.name.startswith(("_part", ".part"))] and (place / "_SUCCESS").exists()
+    group = "listing of written logs"
+    spark.sparkContext.setJobGroup(group, group)
+    back = read_written(spark, str(place))
+    listing = spark.sparkContext.statusTracker().getJobIdsForGroup(group)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    jobs = [spark.sparkContext.statusTracker().getJobInfo(j) for j in listing]
+    stages = [spark.sparkContext.statusTracker().getStageInfo(k) for j in jobs for k in j.stageIds]
+    assert max(k.numTasks for k in stages) <= 4 * spark.sparkContext.defaultParallelism
+    assert back.filter("session_id = 'n7'").orderBy("ord").count() == 4
+    with pytest.raises(FileExistsError):
+        reports.write_lines(lines, str(place))
+
+
 def test_session_sarif_points_into_the_log(spark, tmp_path):
     write(tmp_path, "s", ["", *log_text(handshake() + [call(3, "ghost"), call(4, q="bob@example.org")])])
     records = read_records(spark, str(tmp_path))
