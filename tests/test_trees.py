@@ -5,6 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from sessionlens.functions.python_facts import facts_of
+from sessionlens import bridge
 from sessionlens.operators import audit as a
 from sessionlens.operators import provenance as pv
 from sessionlens.sinks import reports
@@ -233,3 +234,14 @@ def test_pattern_file(spark, tmp_path, capsys):
         read_patterns(spark, str(bad))
     assert read_patterns(spark, str(bad), strict=False).custom == ()
     assert "ignored" in capsys.readouterr().out
+
+
+def test_supplier_dependencies_are_told_apart_by_numbers(spark):
+    rows = spark.createDataFrame(
+        [(1, 2), (1, 2), (1, 3), (2, 2), (None, 2), (None, 2), (1, None), (1, None), (None, None)], "l_suppkey bigint, l_partkey bigint"
+    )
+    deps = bridge.supplier_deps(rows)
+    assert "Aggregate [l_suppkey" in deps._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, deps.select("repo", "ecosystem", "name").collect()), key=str) == sorted([
+        ("s1", "npm", "p2"), ("s1", "pypi", "p3"), ("s2", "npm", "p2"), (None, "npm", "p2"), ("s1", "pypi", None), (None, "pypi", None),
+    ], key=str)
