@@ -60,9 +60,10 @@ class LiveDrift:
         config: ScanConfig = ScanConfig(), buckets: int = BUCKETS,
     ):
         self.spark, self.folder, self.server_key, self.config = spark, folder, server_key, config
-        self.prints, self.items, self.servers = (
-            BucketTable(spark, f"{folder}/{name}", buckets, "server_key") for name in ("prints", "items", "servers")
+        self.prints, self.items = (
+            BucketTable(spark, f"{folder}/{name}", buckets, "server_key", spread="session_id") for name in ("prints", "items")
         )
+        self.servers = BucketTable(spark, f"{folder}/servers", buckets, "server_key")
 
     def absorb(self, batch: DataFrame, number: int) -> None:
         """Write the drift of a batch's sessions, and the index after them."""

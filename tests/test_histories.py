@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from sessionlens.operators import drift as dr
 from sessionlens.operators.detectors import Sessions
-from sessionlens.streaming.history import LiveDrift
+from sessionlens.streaming.history import ITEMS, LiveDrift
 from wire import call, frames, handshake, result, s2c, tool
 
 OTHER = {"type": "object", "properties": {"query": {"type": "integer"}}}
@@ -93,3 +93,13 @@ def test_drift_of_batches_equals_drift_of_all(spark, tmp_path):
     names = ["server_key", "session_id", "kind", "severity", "explanation", "item"]
     expected = sorted(map(str, dr.drift(dr.fingerprints(s, key), dr.fingerprint_items(s)).select(*names).collect()))
     assert sorted(map(str, live.findings().select(*names).collect())) == expected and len(expected) > 8
+
+
+def test_items_of_one_server_are_written_by_many_tasks(spark, tmp_path):
+    live = LiveDrift(spark.newSession(), str(tmp_path / "live"), buckets=2)
+    live.spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    live.spark.conf.set("spark.sql.shuffle.partitions", "8")
+    items = live.spark.range(400).selectExpr("cast(id AS string) AS session_id", "'declared' AS kind", "'x' AS item", "'h' AS hash", "'one' AS server_key")
+    live.items.write(items, 0)
+    assert len(list((tmp_path / "live/items").glob("bucket=*/batch=0/part-*.parquet"))) > 1
+    assert live.items.read(ITEMS).count() == 400
