@@ -3,12 +3,13 @@
 import base64
 import json
 import random
+import re
 
 import pytest
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from sessionlens.functions import scan
+from sessionlens.functions import scan, unicode
 from sessionlens.functions.catalogue import (
     ABA_ROUTING, COLUMN_VALIDATORS, CRYPTO_ADDRESS, HIGH_ENTROPY_TOKEN, VALUE_VALIDATORS, Pattern, ScanConfig,
     declared_patterns,
@@ -228,3 +229,23 @@ def test_texts_that_need_no_folding_cost_nothing():
 
     assert scan._mapped(pa.nulls(3, pa.string()), unread).to_pylist() == [None] * 3
     assert scan._mapped(pa.array(["a", None]), str.upper).to_pylist() == ["A", None]
+
+
+def test_punctuation_of_labels_is_read_without_python():
+    for text in ("tool result · t5 · ERROR", "tools/call · read", "“quoted” – «so» — 5 €"):
+        assert re.match(unicode.STABLE_TEXT, text) and re.match(unicode.PLAIN_TEXT, text)
+    for char in map(chr, range(0x80, 0x110000)):
+        if re.match(unicode.STABLE_TEXT, char):
+            assert unicode.normalized(char) == (char, [0])
+            assert unicode.revealed(char) == char
+            assert "À" <= char <= "ÿ" or not re.match(r"[\w\s]", char)
+
+
+def test_a_key_between_label_dots_is_redacted(spark):
+    key = "sk-ant-" + "api03-" + "x" * 24
+    rows = spark.createDataFrame([(f"tools/call · {key} · é",), (f"· token: '{'Ab1' * 9}' ·",), ("plain · text",), (None,)], "t string")
+    shown = [r.out for r in scan.redacted(rows, out=F.col("t")).collect()]
+    assert shown[0] == f"tools/call · [anthropic_key redacted · {len(key)} chars] · é"
+    assert shown[2:] == ["plain · text", None]
+    exact = scan._TextScanner(ScanConfig().patterns)
+    assert shown[:3] == [exact.redact(r.t) for r in rows.limit(3).collect()]
