@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from ..functions.jsonvalue import field, members, text_at
-from ..functions.python_facts import project_names, python_facts
+from ..functions.python_facts import FACTS, project_names, python_facts
 from ..functions.source_rules import (
     NETWORK_MODULES,
     PYTHON_CALLS,
@@ -125,9 +125,14 @@ def project_facts():
     return facts
 
 
+def with_kind(sources: DataFrame) -> DataFrame:
+    """Every scanned file with its kind."""
+    return sources.withColumn("kind", file_kind(F.col("path"))).filter("kind IS NOT NULL")
+
+
 def scan_files(sources: DataFrame) -> DataFrame:
     """Every scanned file with its kind, depth and, for Python, its calls and imports."""
-    files = sources.withColumn("kind", file_kind(F.col("path"))).filter("kind IS NOT NULL")
+    files = with_kind(sources)
     scanned = computed_once(files, python_facts()(F.when(F.col("kind") == "python", F.col("text"))).alias("facts"))
     depth = F.when(F.col("facts").isNotNull(), "ast").when(F.col("kind").isin("python", "script"), "pattern")
     return scanned.select("repo", "path", "kind", "text", depth.alias("depth"), "facts")
@@ -139,6 +144,8 @@ def scan_files(sources: DataFrame) -> DataFrame:
 _CALLS = len(TEXT_RULES)
 _MARKER = _CALLS + 1
 _HITS = "array<struct<rule:string,line:bigint,detail:string,same:string>>"
+#: Stands around matches while a text is cut; no text holds this noncharacter, else it is searched thrice.
+_CUT = "\uffff"
 
 
 def _quoted(text: Column) -> Column:
@@ -208,20 +215,46 @@ def _matched() -> Column:
     return F.when(F.col("once"), F.slice(hits, 1, 1)).otherwise(hits)
 
 
-def rule_hits(files: DataFrame, markers: tuple[str, ...] = MARKERS) -> DataFrame:
+def _cut() -> list[Column]:
+    """What a row's rule finds in its text, its values and the text between: one search, however
+    many matches, from the columns ``searched``, ``regex`` and ``group``."""
+    text, regex, group = F.col("searched"), F.col("regex"), F.col("group")
+    marks = F.concat(F.lit(f"{_CUT}$0{_CUT}$"), group.cast("string"), F.lit(_CUT))
+    parts = F.split(F.regexp_replace(text, regex, marks), _CUT, -1)
+
+    def each_third(first: int, apart: Column) -> Column:
+        together = F.filter(parts, lambda _, k: k % 3 == first)
+        return F.when(F.contains(text, F.lit(_CUT)), apart).otherwise(together)
+
+    return [
+        each_third(1, F.regexp_extract_all(text, regex, F.lit(0))).alias("found"),
+        each_third(2, F.regexp_extract_all(text, regex, group)).alias("shown"),
+        each_third(0, F.split(text, regex, -1)).alias("pieces"),
+    ]
+
+
+def rule_hits(files: DataFrame, markers: tuple[str, ...] = MARKERS, parsed: DataFrame | None = None) -> DataFrame:
     """Every hit that its line does not suppress: ``repo, path, no, nth, rule, line, detail, same``.
 
     One map over the files finds the rules that match, then the rows of these rules only are
-    searched for places.  Hits, not texts, are shuffled, by file.
+    searched for places.  Hits, not texts, are shuffled, by file.  Calls and imports come from
+    ``files``, or from the rows of ``parsed``.
     """
     remark = suppression(markers)
     rules = (*TEXT_RULES, None, remark)
     text, kind = F.col("text"), F.col("kind")
     visible = F.regexp_replace(text, HIDDEN, "")
     ends = F.regexp_replace(text, "\r\n|[\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]", "\n")
-    read = computed_once(files.select("repo", "path", "kind", "text", "facts"), folded(visible).alias("small"), F.when(text.rlike(HIDDEN), visible).alias("visible"))
+    # nothing of an ASCII text is hidden or folds to a letter
+    ascii_only = F.octet_length(text) == F.length(text)
+    read = computed_once(
+        files.select("repo", "path", "kind", "text", "facts"),
+        F.when(ascii_only, F.lower(text)).otherwise(folded(visible)).alias("small"),
+        F.when(~ascii_only & text.rlike(HIDDEN), visible).alias("visible"),
+    )
     tried = [
-        candidate(r, F.coalesce("visible", "text") if r.reads == "visible" else text, F.col("small"), kind)
+        F.col("visible").isNotNull() if r is UNSEEN
+        else candidate(r, F.coalesce("visible", "text") if r.reads == "visible" else text, F.col("small"), kind)
         for r in TEXT_RULES
     ]
     tried.append(F.size(F.coalesce("facts", F.array())) > 0)
@@ -239,15 +272,13 @@ def rule_hits(files: DataFrame, markers: tuple[str, ...] = MARKERS) -> DataFrame
         of_rule(lambda r: r.regex()).alias("regex"), of_rule(lambda r: r.rule).alias("rule"), of_rule(lambda r: r.label).alias("label"),
         of_rule(lambda r: r.group).alias("group"), F.coalesce(of_rule(lambda r: r.once), F.lit(False)).alias("once"),
     )
-    searched = computed_once(
-        known,
-        F.regexp_extract_all("searched", F.col("regex"), F.lit(0)).alias("found"),
-        F.regexp_extract_all("searched", F.col("regex"), F.col("group")).alias("shown"),
-        F.split("searched", F.col("regex"), -1).alias("pieces"),
-    )
+    searched = computed_once(known, *_cut())
     placed = computed_once(searched, _lines(F.col("pieces"), F.col("found")).alias("lines"))
     hits = F.when(F.col("no") == _CALLS, _called(F.col("facts"))).otherwise(_matched()).cast(_HITS)
     each = placed.select("repo", "path", "no", F.posexplode(hits).alias("nth", "hit")).select("repo", "path", "no", "nth", "hit.*")
+    if parsed is not None:
+        called = parsed.select("repo", "path", F.lit(_CALLS).alias("no"), F.posexplode(_called(F.col("facts")).cast(_HITS)).alias("nth", "hit"))
+        each = each.unionByName(called.select("repo", "path", "no", "nth", "hit.*"))
     own_line = Window.partitionBy("repo", "path", "line")
     is_remark = F.col("no") == _MARKER
     remarked = each.repartition("repo", "path").withColumn(
@@ -282,17 +313,24 @@ def project_rows(sources: DataFrame) -> DataFrame:
     )
 
 
-def audit_findings(sources: DataFrame, markers: tuple[str, ...] = MARKERS) -> DataFrame:
-    """One finding per (repository, rule, file): worst place first, with the hit count."""
-    files = scan_files(sources)
+def audit_findings(sources: DataFrame, markers: tuple[str, ...] = MARKERS, parsed: DataFrame | None = None) -> DataFrame:
+    """One finding per (repository, rule, file): worst place first, with the hit count.
+
+    ``parsed`` are the rows of ``scan_files`` where the caller keeps them: Python files are then
+    not parsed again.
+    """
+    if parsed is None:
+        files = scan_files(sources)
+    else:
+        files = with_kind(sources).withColumn("facts", F.lit(None).cast(FACTS))
     first = F.min(F.struct("no", "nth", "line", "detail"))
-    once = rule_hits(files, markers).groupBy(
+    once = rule_hits(files, markers, parsed).groupBy(
         "repo", "path", "rule", "line", F.coalesce("same", F.concat_ws("/", "no", "nth")).alias("same")
     ).agg(first.alias("first"))
     in_text = once.groupBy("repo", "path", "rule").agg(F.min("first").alias("first"), F.count("*").alias("count")).select(
         "repo", "path", "rule", "first.line", "first.detail", "count", rule_severity(F.col("rule")).alias("severity")
     )
-    manifests = package_facts(files).unionByName(project_rows(sources))
+    manifests = package_facts(with_kind(sources)).unionByName(project_rows(sources))
     surface = manifests.filter(F.col("dependency_count") > LARGE).select(
         "repo", "path", F.lit("dep-surface").alias("rule"), F.lit(1).cast("bigint").alias("line"),
         F.format_string("%d direct dependencies declared", "dependency_count").alias("detail"),
@@ -355,9 +393,9 @@ def scores(repos: DataFrame, findings: DataFrame) -> DataFrame:
     )
 
 
-def profiles(sources: DataFrame) -> DataFrame:
-    """Runtime, depth, size and package facts of every repository."""
-    files = scan_files(sources)
+def profiles(sources: DataFrame, parsed: DataFrame | None = None) -> DataFrame:
+    """Runtime, depth, size and package facts of every repository; ``parsed`` as in ``audit_findings``."""
+    files = scan_files(sources) if parsed is None else parsed
     counted = files.groupBy("repo").agg(
         F.count("*").alias("files_scanned"),
         F.count_if(F.col("kind") == "python").alias("python_files"),
@@ -367,7 +405,7 @@ def profiles(sources: DataFrame) -> DataFrame:
     )
     named = F.when(F.col("package_name") != "", F.col("package_name"))
     versioned = F.when(F.col("version") != "", F.col("version"))
-    packages = package_facts(files).groupBy("repo").agg(
+    packages = package_facts(with_kind(sources)).groupBy("repo").agg(
         F.max_by(named, F.when(named.isNotNull(), F.col("path"))).alias("package_name"),
         F.max_by(versioned, F.when(versioned.isNotNull(), F.col("path"))).alias("version"),
         F.max_by(

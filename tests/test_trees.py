@@ -4,10 +4,11 @@ import json
 
 from pyspark.sql import functions as F
 
-from sessionlens.functions.python_facts import facts_of
+from sessionlens.functions.python_facts import FACTS, facts_of
 from sessionlens import bridge
 from sessionlens.operators import audit as a
 from sessionlens.operators import provenance as pv
+from sessionlens.plans.durable import written
 from sessionlens.sinks import reports
 from sessionlens.sources.tables import read_patterns, read_registry
 from sessionlens.sources.trees import read_trees
@@ -92,6 +93,36 @@ def test_python_calls(spark):
     assert facts_of("x" + ".a()" * 3000) in (None, [(1, "call", "x.a", False, None)])
 
 
+def test_kept_facts_spare_python(spark):
+    """Findings and profiles from kept rows of the parser are the same, and no file is parsed again."""
+    src = sources(spark, FILES)
+    parsed = written(a.scan_files(src).drop("text"))
+    plain = lambda df: sorted(map(repr, df.collect()))
+    assert plain(a.audit_findings(src, parsed=parsed)) == plain(a.audit_findings(src))
+    assert plain(a.profiles(src, parsed)) == plain(a.profiles(src))
+    for rows in (a.rule_hits(a.with_kind(src).withColumn("facts", F.lit(None).cast(FACTS)), parsed=parsed), a.package_facts(a.with_kind(src))):
+        assert "Python" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_one_search_cuts_a_text(spark):
+    """Matches, values and places as three searches give them, also of a text that holds the cut mark."""
+    text = f"eval('1')\n K = '{TOKEN}' token = '{'b' * 20}'\nx\neval ('2')eval('3') {TOKEN}"
+    hits = file_hits(spark, text, "x.js")
+    assert [(r, line) for r, line, _ in hits] == [("exec-dynamic", 1), ("exec-dynamic", 4), ("exec-dynamic", 4)] + [("secret-hardcoded", 2), ("secret-hardcoded", 2), ("secret-hardcoded", 4)]
+    assert [d for _, _, d in hits if "possible" in d] == ["possible hardcoded API key/secret: 'bbbb…(redacted)'"]
+    assert file_hits(spark, text + "\uffff", "x.js") == hits
+    searches = a.rule_hits(a.scan_files(sources(spark, {"r": {"x.js": text}})))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace(searched" in searches
+
+
+def test_letters_of_a_tree(spark):
+    texts = ["aZ\n[`{@ é\U0001f600_9\r\t\x00\u2028k", "", None]
+    rows = spark.createDataFrame([(13 + 16 * n, t, "s", "l") for n, t in enumerate(texts)], "doc_id long, text string, source string, lang string")
+    shown = {r.path: r.text for r in bridge.document_tree(rows).collect()}
+    assert shown["d13.py"] == "# aZ\n# " + " " * 13 + "k\nx = 1"
+    assert shown["d29.py"] == shown["d45.py"] == "# \nx = 1"
+
+
 def test_lines_of_hits(spark):
     """Places of matches against a plain count of the newlines before them."""
     import random
