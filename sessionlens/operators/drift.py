@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hosts import netloc_hosts
 from ..functions.jsonvalue import field, text_at
-from ..plans.durable import with_dense_number
+from ..plans.durable import with_dense_number, written
 from .detectors import Sessions
 from .events import server_welcome
 
@@ -108,7 +108,8 @@ def drift(prints: DataFrame, items: DataFrame) -> DataFrame:
         ["server_key"], ["_first_ts", "session_id"], "nth",
     ).drop("_first_ts")
     place = numbered.select("session_id", "server_key", "nth")
-    placed = items.join(place, "session_id")
+    # written once: nine branches read the items, each of which parses frames otherwise
+    placed = written(items.join(place, "session_id"))
 
     def rows(df: DataFrame, kind: Column | str, severity: Column | int, text: Column, item: Column):
         def column(v):

@@ -103,3 +103,17 @@ def test_items_of_one_server_are_written_by_many_tasks(spark, tmp_path):
     live.items.write(items, 0)
     assert len(list((tmp_path / "live/items").glob("bucket=*/batch=0/part-*.parquet"))) > 1
     assert live.items.read(ITEMS).count() == 400
+
+
+def test_items_are_made_once(spark):
+    """No branch of the comparison makes the items again."""
+    prints = spark.createDataFrame(
+        [("a", "s", "t1", "n", "1", False), ("b", "s", "t2", "n", "2", False)],
+        "session_id string, server_key string, first_ts string, server_name string, server_version string, tail_only boolean",
+    )
+    raw = spark.createDataFrame([("a", "declared", "x", "1"), ("b", "declared", "x", "2"), ("b", "called", "x", None)], "session_id string, kind string, item string, hash string")
+    items = raw.withColumn("item", F.reverse(F.reverse("item")))
+    found = dr.drift(prints, items)
+    assert "reverse" in items._jdf.queryExecution().optimizedPlan().toString()
+    assert "reverse" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.session_id, r.kind) for r in found.collect()) == [("b", "new_called_tool"), ("b", "schema_changed"), ("b", "server_version_changed")]
