@@ -11,7 +11,7 @@ import pytest
 import corpus_pipeline
 from compare import compare, database
 from sessionlens.llm import jaccard_join, queries
-from sessionlens.llm.cover_tree import near_duplicates
+from sessionlens.llm.cover_tree import Tree, first_reach, matrix, met, near_duplicates, summed
 from sessionlens.llm.html_extract import extracted, main_text
 from sessionlens.llm.jaccard_join import across, jaccard_groups, lightest_forest, probe, sketch
 from sessionlens.llm.mixing import mixed_documents
@@ -421,6 +421,43 @@ def test_near_duplicate_vectors(spark):
     assert near_duplicates(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", [3, 64])
+@pytest.mark.parametrize("cosine", [0.3, 0.9, 0.99])
+def test_trees_open_few_nodes(size, cosine):
+    rng = np.random.default_rng(4)
+    limit = float(np.sqrt(2 - 2 * cosine))
+
+    def vectors(n):
+        x = rng.normal(size=(n, size))
+        x[n // 2 : n // 2 + 150] = x[0] + 0.2 * rng.normal(size=(150, size))
+        x[-20:] = x[1]
+        return matrix(pa.array(x.tolist(), pa.list_(pa.float64())))
+
+    x, y = vectors(900), vectors(700)
+    a, b = Tree(x, first_reach(limit)), Tree(y, first_reach(limit))
+    for p, q, other, same in ((x, x, a, True), (x, y, b, False)):
+        linked = p @ q.T >= cosine
+        if same:
+            np.fill_diagonal(linked, False)
+        links, label = summed(a, other, np.full(len(p), 2), np.full(len(q), 3 if not same else 2), cosine, same)
+        back = np.argsort(a.order)
+        assert links[: len(p)][back].tolist() == (linked.sum(axis=1) * (2 if same else 3)).tolist()
+        if not same:
+            assert links[len(p) :][np.argsort(b.order)].tolist() == (linked.sum(axis=0) * 2).tolist()
+        place = np.r_[a.order, b.order + len(x)] if not same else a.order
+        at = np.argsort(place)
+        edges = zip(*(v.tolist() for v in np.nonzero(linked)), strict=True)
+        group = {}
+        for part in joined((i, j if same else j + len(x)) for i, j in edges):
+            group |= dict.fromkeys(part, min(part))
+        ours = label[at]
+        assert len(set(zip(ours.tolist(), (group.get(k, k) for k in range(len(at))), strict=True))) == len(set(ours.tolist())) == len({group.get(k, k) for k in range(len(at))})
+    opened = sum(len(i) for i, _ in met(a, b, limit))
+    if size == 64 and cosine == 0.9:
+        # vectors that are far apart are told apart on the first level
+        assert opened < 0.01 * len(x) * len(y)
+
+
 def test_html(spark):
     page = (
         '<html><head><title>t</title><style>p{}</style></head><body class="has-sidebar"><nav><a>Home</a></nav><article><header><h1>A &amp; B</h1></header>'
