@@ -111,10 +111,13 @@ class Encoder:
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         """Ids of each piece; a word of Latin letters is one split, so it goes to the merges directly."""
-        model, out, rest = self.tokenizer.model, [], []
+        model, space, out, rest = self.tokenizer.model, self.shown[0x20], [], []
         for text in texts:
             word = text[1:] if text[0] == " " else text
-            if word.isalpha() and max(word) < "\u0250":
+            if text.isascii() and word.isalpha():
+                # of its bytes only the space is shown as another character
+                out.append([t.id for t in model.tokenize(text if word is text else space + word)])
+            elif word.isalpha() and max(word) < "\u0250":
                 out.append([t.id for t in model.tokenize(text.encode().decode("latin-1").translate(self.shown))])
             else:
                 out.append(None)

@@ -10,7 +10,7 @@ import pytest
 
 import corpus_pipeline
 from compare import compare, database
-from sessionlens.llm import jaccard_join, queries
+from sessionlens.llm import jaccard_join, queries, token_files
 from sessionlens.llm.cover_tree import Tree, first_reach, matrix, met, near_duplicates, summed
 from sessionlens.llm.html_extract import extracted, main_text
 from sessionlens.llm.jaccard_join import across, jaccard_groups, lightest_forest, probe, sketch
@@ -20,7 +20,7 @@ from sessionlens.llm.places import with_place
 from sessionlens.llm.quality import fit_quality, judged, statistics
 from sessionlens.llm.secret_scan import Rule, secret_spans, trigram_query
 from sessionlens.llm.substring_dedup import substring_dedup
-from sessionlens.llm.token_files import decode_chunks, encode_chunk, read_token_files, write_token_files
+from sessionlens.llm.token_files import decode_chunks, encode_chunk, read_token_files, runs, write_token_files
 from sessionlens.llm.tokens import encoder, vocabulary
 from sessionlens.llm.toxicity import DISCOUNT, PREFIXES, fit_toxicity, toxic_scores, words_of
 
@@ -299,6 +299,40 @@ def test_coder_round_trip(size):
         decode_chunks([bytes(damaged)])
 
 
+def test_coder_shares_steps_and_spends_no_more_bits(spark, documents, tmp_path, monkeypatch):
+    rng = np.random.default_rng(8)
+    ids = np.minimum(rng.zipf(1.3, 300_000), 50_256).astype(np.uint16)
+    ids[1000:3000] = np.tile(ids[:20], 100)
+    ids[5000:9000] = 65_535
+    ids[9000:9100] = 0
+    sizes = [300_000, 1, 7_777, 1_024]
+    coded = [encode_chunk(ids[:n]) for n in sizes]
+    assert [x.tolist() for x in decode_chunks(coded)] == [ids[:n].tolist() for n in sizes]
+    # the coder of 16-bit words took 361,500 bytes
+    assert len(coded[0]) < 361_500
+    for at in range(8, 16):
+        damaged = bytearray(coded[1])
+        damaged[at] ^= 255
+        with pytest.raises(ValueError):
+            decode_chunks([bytes(damaged)])
+    # many blocks take a step together: eight million ids a chunk, where there are as many
+    assert token_files.CHUNK >= 8192 * token_files.BLOCK
+    assert list(runs([])) == [] and list(runs([5, token_files.CHUNK, 3, 4])) == [(0, 1), (1, 2), (2, 4)]
+    # chunks of few documents give the same rows
+    whole, parts = str(tmp_path / "whole"), str(tmp_path / "parts")
+    write_token_files(documents, whole, vocabulary())
+    rows = read_token_files(spark, whole).orderBy("start").drop("part", "chunk", "at").collect()
+    monkeypatch.setattr(token_files, "CHUNK", 100)
+    write_token_files(documents, parts, vocabulary())
+    assert read_token_files(spark, parts).orderBy("start").drop("part", "chunk", "at").collect() == rows
+
+
+def test_words_of_ascii_letters_have_the_ids_of_the_tokenizer():
+    texts = [" counterfeit", "counterfeit", " ", " a", "É", " Élan", "ÿz", " ab1", "a b", "  ab", " \u0250x"]
+    ids, bounds = encoder(vocabulary()).encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [encoded(t) for t in texts]
+
+
 def test_token_files(spark, documents, nothing, tmp_path):
     write_token_files(documents, str(tmp_path / "some"), vocabulary())
     rows = read_token_files(spark, str(tmp_path / "some")).orderBy("start").collect()
