@@ -1,6 +1,7 @@
 """The training-data operators against brute force on small tables with awkward rows."""
 
 import re
+import threading
 import zlib
 from collections import Counter
 
@@ -10,7 +11,7 @@ import pytest
 
 import corpus_pipeline
 from compare import compare, database
-from sessionlens.llm import jaccard_join, queries, token_files
+from sessionlens.llm import cover_tree, jaccard_join, queries, token_files
 from sessionlens.llm.cover_tree import Tree, first_reach, matrix, met, near_duplicates, summed
 from sessionlens.llm.html_extract import extracted, main_text
 from sessionlens.llm.jaccard_join import across, jaccard_groups, lightest_forest, probe, sketch
@@ -455,6 +456,75 @@ def test_near_duplicate_vectors(spark):
     assert near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_near_duplicate_vectors_shuffle_no_trees(spark, monkeypatch):
+    monkeypatch.setattr(cover_tree, "CHUNK_VECTORS", 50)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(1500, 128))
+    x[1000:1200] = x[0] + 0.01 * rng.normal(size=(200, 128))
+    x[1200:1400] = x[1:201] + 0.3 * rng.normal(size=(200, 128))
+    x[1400:] = x[200]
+    x = x.astype(np.float32)
+    frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id bigint, embedding array<float>").repartition(4).localCheckpoint()
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    linked = unit @ unit.T >= 0.9
+    np.fill_diagonal(linked, False)
+    label = {}
+    for part in joined(zip(*(v.tolist() for v in np.nonzero(linked)), strict=True)):
+        label |= dict.fromkeys(part, min(part))
+
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f.getName(): f.length() for f in (files.apply(k) for k in range(files.size())) if f.getName().startswith("shuffle_")}
+
+    before, most, over = shuffled(), [0], threading.Event()
+
+    def watch():
+        # files go when a query ends
+        while not over.wait(0.02):
+            most[0] = max(most[0], sum(size for name, size in shuffled().items() if name not in before))
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_duplicates(frame).collect()}
+    finally:
+        over.set()
+        watcher.join()
+    assert got == {k: (int(linked[k].sum()), label.get(k, k), label.get(k, k) == k) for k in range(len(x))}
+    # thirty trees meet in pairs, but a vector is shuffled once, with its key
+    assert 0 < most[0] < 3 * x.nbytes
+
+
+def test_sums_of_links_and_edges():
+    rng = np.random.default_rng(7)
+    sizes = {3: 7, 4: 5, 9: 8}
+    links, edges, sums = Counter(), [], cover_tree.Sums()
+    for _ in range(4):
+        for p in sizes:
+            for q in (q for q in sizes if q >= p):
+                n = sizes[p] + (sizes[q] if p != q else 0)
+                number = [(c << cover_tree.POSITION_BITS) + k for c in dict.fromkeys([p, q]) for k in range(sizes[c])]
+                pairs = rng.integers(0, n, size=(rng.integers(0, 3), 2)).tolist()
+                label = np.arange(n)
+                for part in joined(pairs):
+                    label[list(part)] = min(part)
+                found = np.bincount(np.array(pairs, int).ravel(), minlength=n)
+                sums.add(list(dict.fromkeys([p, q])), found, label, sizes[p])
+                links.update({number[k]: v for k, v in enumerate(found.tolist()) if v})
+                edges += [(number[i], number[j]) for i, j in pairs]
+        rows = [r for batch in sums.out() for r in batch.to_pylist()]
+        ours = Counter()
+        for r in rows:
+            ours[r["id"]] += r["links"]
+        assert +ours == links
+
+        def parts(pairs):
+            return {frozenset(part) for part in joined(pairs) if len(set(part)) > 1}
+
+        assert parts((r["id"], r["root"]) for r in rows) == parts(edges)
+        links, edges = Counter(), []
+
+
 @pytest.mark.parametrize("size", [3, 64])
 @pytest.mark.parametrize("cosine", [0.3, 0.9, 0.99])
 def test_trees_open_few_nodes(size, cosine):
