@@ -495,6 +495,20 @@ def test_near_duplicate_vectors_shuffle_no_trees(spark, monkeypatch):
     assert 0 < most[0] < 3 * x.nbytes
 
 
+def test_linked_vectors_are_told_a_bounded_number_at_a_time(monkeypatch):
+    monkeypatch.setattr(cover_tree, "PAIR_VALUES", 64 * 500)
+    rng = np.random.default_rng(8)
+    # all linked, but too far apart to be taken whole above the last levels
+    x = cover_tree.unit(rng.normal(size=64) / 8 + 0.02 * rng.normal(size=(700, 64)))
+    a, b = (Tree(v, first_reach(float(np.sqrt(0.2)))) for v in (x[:400], x[400:]))
+    for other, same, pairs in ((b, False, 400 * 300), (a, True, 400 * 399 // 2)):
+        told = list(cover_tree.dual(a, other, 0.9, same))
+        assert max(len(i) * 2 + len(whole) for i, _, whole in told) <= 500 * cover_tree.FEW_PAIRS
+        assert sum(len(i) + sum((a1 - a0) * (b1 - b0) for a0, a1, b0, b1 in whole) for i, _, whole in told) == pairs
+        links, label = summed(a, other, np.ones(400, int), np.ones(len(other.points), int), 0.9, same)
+        assert links.tolist() == ([399] * 400 if same else [300] * 400 + [400] * 300) and set(label.tolist()) == {0}
+
+
 def test_sums_of_links_and_edges():
     rng = np.random.default_rng(7)
     sizes = {3: 7, 4: 5, 9: 8}
